@@ -118,3 +118,128 @@ def total_score_sql(s1: str, s2: str) -> str:
         f"round(({s1} * 1.0 + coalesce({s2}, 0) * 0.5) / "
         f"(1.0 + CASE WHEN {s2} IS NOT NULL THEN 0.5 ELSE 0 END), 2)"
     )
+
+
+# ---- text expressions restated in DuckDB SQL ------------------------------------
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join(sql_str(w) for w in words) + "]"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def normalize_sql(c: str) -> str:
+    return f"lower(replace(replace({strip_sql(c)}, chr(13) || chr(10), ' '), chr(10), ' '))"
+
+
+def clean_sql(c: str, lower: bool = False) -> str:
+    s = f"replace(replace({c}, chr(10), ' '), '•', '- ')"
+    if lower:
+        s = f"lower({s})"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+def drop_words_sql(arr: str, words) -> str:
+    return f"list_filter({arr}, lambda t: t <> '' AND NOT list_contains({sql_list(words)}, t))"
+
+
+def preprocess_tags_sql(c: str) -> str:
+    from codelens.functions.text import STOP_WORDS
+
+    s = f"lower(regexp_replace(regexp_replace({c}, '<.*?>', ' ', 'g'), '[^a-zA-Z\\s]', '', 'g'))"
+    return f"array_to_string({drop_words_sql(f'regexp_split_to_array({s}, ' + sql_str(chr(92) + 's+') + ')', STOP_WORDS)}, ' ')"
+
+
+def preprocess_domain_sql(c: str) -> str:
+    from codelens.functions.text import DOMAIN_WORDS, PUNCTUATION, STOP_WORDS
+
+    s = f"regexp_replace(translate(lower({c}), {sql_str(PUNCTUATION)}, ''), '\\d+', '', 'g')"
+    arr = f"regexp_split_to_array({s}, '\\s+')"
+    return f"array_to_string({drop_words_sql(arr, STOP_WORDS + DOMAIN_WORDS)}, ' ')"
+
+
+def tokenize_sql(c: str, letters: str = "ascii") -> str:
+    pat = "[^a-z]+" if letters == "ascii" else "[^\\p{L}]+"
+    return f"list_filter(regexp_split_to_array(lower({c}), '{pat}'), lambda t: t <> '')"
+
+
+def tag_activity_sql(c: str) -> str:
+    from codelens.functions.text import BUSINESS_PATTERNS, OTHER_ACTIVITY
+
+    whens = " ".join(f"WHEN regexp_matches({c}, {sql_str(p)}) THEN {sql_str(a)}" for a, p in BUSINESS_PATTERNS)
+    return f"CASE {whens} ELSE {sql_str(OTHER_ACTIVITY)} END"
+
+
+def junk_sql(c: str, literal_nan: bool = False) -> str:
+    nan = f"contains(lower({c}), 'nan')" if literal_nan else f"regexp_matches(lower({c}), '(^|[^a-z0-9_])nan([^a-z0-9_]|$)')"
+    return (f"({c} IS NULL OR length({c}) < 4 OR contains(lower({c}), '403') "
+            f"OR contains(lower({c}), '404 not found') OR {nan})")
+
+
+def decode_entities_sql(c: str) -> str:
+    from codelens.functions.html import ENTITIES
+
+    s = c
+    for ent, ch in ENTITIES:
+        s = f"replace({s}, {sql_str(ent)}, {sql_str(ch)})"
+    return s
+
+
+def html_to_text_sql(c: str) -> str:
+    from codelens.functions.html import COMMENT_RE, DOCTYPE_RE, REMOVE_STRINGS, SCRIPT_RE, STYLE_RE, TAG_RE
+
+    s = c
+    for pat in (SCRIPT_RE, STYLE_RE, COMMENT_RE, DOCTYPE_RE):
+        s = f"regexp_replace({s}, {sql_str(pat)}, '', 'g')"
+    s = f"regexp_replace({s}, {sql_str(TAG_RE)}, ' ', 'g')"
+    s = f"regexp_replace({s}, ' {{2,}}', ' ', 'g')"
+    s = decode_entities_sql(s)
+    for r in REMOVE_STRINGS:
+        s = f"replace({s}, {sql_str(r) if r != chr(10) else 'chr(10)'}, '')"
+    return f"nullif({strip_sql(s)}, '')"
+
+
+def extract_links_sql(c: str) -> str:
+    from codelens.functions.html import HREF_RE
+
+    return f"list_transform(regexp_extract_all({c}, {sql_str(HREF_RE)}, 1), lambda x: replace(x, '&amp;', '&'))"
+
+
+def filter_links_sql(arr: str, keywords) -> str:
+    cond = " OR ".join(f"contains(lower(x), {sql_str(k)})" for k in keywords)
+    return f"list_sort(list_distinct(list_filter({arr}, lambda x: {cond})))"
+
+
+def site_root_sql(c: str) -> str:
+    return f"regexp_extract({c}, '^(https?://[^/?#]+)', 1)"
+
+
+def resolve_links_sql(arr: str, site: str) -> str:
+    return (f"list_transform({arr}, lambda x: CASE WHEN starts_with(x, 'http') THEN x "
+            f"ELSE {site} || CASE WHEN starts_with(x, '/') THEN x ELSE '/' || x END END)")
+
+
+def force_https_sql(c: str) -> str:
+    return (f"CASE WHEN starts_with({c}, 'https://') THEN {c} WHEN starts_with({c}, 'http://') "
+            f"THEN replace({c}, 'http://', 'https://') ELSE 'https://' || {c} END")
+
+
+def first_tag_text_sql(c: str, tag: str, css_class: str | None = None, must_contain: str | None = None) -> str:
+    from codelens.functions.html import TAG_RE
+
+    if css_class:
+        open_re = rf"<{tag}\b[^>]*\bclass\s*=\s*\"[^\"]*\b{css_class}\b[^\"]*\"[^>]*>"
+    else:
+        open_re = rf"<{tag}\b[^>]*>"
+    pat = rf"(?is){open_re}(.*?)</{tag}\s*>"
+    items = (f"list_transform(regexp_extract_all({c}, {sql_str(pat)}, 1), "
+             f"lambda x: {strip_sql(decode_entities_sql(f'regexp_replace(x, {sql_str(TAG_RE)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})'))})")
+    if must_contain:
+        items = f"list_filter({items}, lambda x: contains(x, {sql_str(must_contain)}))"
+    return f"coalesce({items}[1], '')"

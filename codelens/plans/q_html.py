@@ -1 +1,146 @@
-"""Registered queries."""
+"""Registered page/HTML queries and the page-text job."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codelens.functions import html as H
+from codelens.functions import text as X
+from codelens.operators import ranking as R
+from codelens.operators import reconcile as RC
+from codelens.plans.catalog import register
+from codelens.plans.oracle import (
+    extract_links_sql,
+    filter_links_sql,
+    first_tag_text_sql,
+    force_https_sql,
+    html_to_text_sql,
+    junk_sql,
+    normalize_sql,
+    resolve_links_sql,
+    site_root_sql,
+    with_views,
+)
+from codelens.sources import fixtures as FX
+from codelens.sources.tables import read_table
+
+# Keywords for the fixture pages: the default 'about'/'profile' plus words the
+# generated hrefs use, so the filter keeps some links.
+FIXTURE_LINK_KEYWORDS = H.LINK_KEYWORDS + ["the", "de"]
+
+
+@register("html_to_text", f"SELECT page_id, {html_to_text_sql('html')} AS text FROM pages")
+def html_to_text(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", H.html_to_text("html").alias("text"))
+
+
+@register("extract_links", f"SELECT page_id, {extract_links_sql('html')} AS links FROM pages")
+def extract_links(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", H.extract_links("html").alias("links"))
+
+
+_FILTERED = f"{filter_links_sql(extract_links_sql('html'), FIXTURE_LINK_KEYWORDS)}"
+
+
+@register("filter_links", f"SELECT page_id, {_FILTERED} AS links FROM pages")
+def filter_links(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", H.filter_links(H.extract_links("html"), FIXTURE_LINK_KEYWORDS).alias("links"))
+
+
+def _resolved(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    site = H.site_root("url")
+    return p.select(
+        "page_id", site.alias("site"),
+        H.resolve_links(H.filter_links(H.extract_links("html"), FIXTURE_LINK_KEYWORDS), site).alias("links"),
+    )
+
+
+_RESOLVED_SQL = (f"SELECT page_id, {site_root_sql('url')} AS site, "
+                 f"{resolve_links_sql(_FILTERED, site_root_sql('url'))} AS links FROM pages")
+
+
+@register("resolve_links", _RESOLVED_SQL)
+def resolve_links(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@register("explode_site_links", f"""
+    WITH r AS ({_RESOLVED_SQL})
+    SELECT page_id, link FROM (
+      SELECT page_id, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS link
+      FROM (SELECT page_id, list_concat(CASE WHEN site IS NULL THEN [] ELSE [site] END, links) AS l FROM r) x) y""")
+def explode_site_links(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
+    return r.select("page_id", F.explode_outer(H.site_and_links("site", "links")).alias("link"))
+
+
+def _profile_fields(spark, sf_dir):
+    pt = FX.page_text(spark, sf_dir).where(F.col("kind") == "main")
+    return pt.select(
+        "company",
+        F.col("url").alias("page_url"),
+        H.first_tag_text("html", "div", "ad").alias("category"),
+        H.first_tag_text("html", "footer", must_contain="example.com").alias("website"),
+        H.first_tag_text("html", "p").alias("text"),
+    )
+
+
+_PROFILE_SQL = (f"SELECT company, url AS page_url, {first_tag_text_sql('html', 'div', 'ad')} AS category, "
+                f"{first_tag_text_sql('html', 'footer', must_contain='example.com')} AS website, "
+                f"{first_tag_text_sql('html', 'p')} AS text FROM page_text WHERE kind = 'main'")
+
+
+@register("extract_profile_fields", with_views(["page_text"], body=_PROFILE_SQL))
+def extract_profile_fields(spark, sf_dir):
+    return _profile_fields(spark, sf_dir)
+
+
+@register("placeholder_rows", with_views(["page_text", "truth"], ("prof", _PROFILE_SQL), body="""
+    SELECT t.company,
+           CASE WHEN p.page_url IS NOT NULL THEN p.page_url ELSE 'linkedin page not found' END AS page_url,
+           CASE WHEN p.page_url IS NOT NULL THEN coalesce(p.category, '') ELSE '' END AS category,
+           CASE WHEN p.page_url IS NOT NULL THEN coalesce(p.website, '') ELSE '' END AS website,
+           CASE WHEN p.page_url IS NOT NULL THEN coalesce(p.text, '') ELSE '' END AS text
+    FROM (SELECT DISTINCT regexp_replace(company, '\\.\\z', '') AS company FROM truth) t
+    LEFT JOIN prof p ON t.company = p.company"""))
+def placeholder_rows(spark, sf_dir):
+    companies = FX.truth(spark, sf_dir).select(X.strip_trailing_dot("company").alias("company")).distinct()
+    return RC.placeholder_rows(companies, _profile_fields(spark, sf_dir))
+
+
+# ---- the page-text job: pages -> clean text -> one text per company and code
+
+def page_text_job(spark, sf_dir):
+    pt = FX.page_text(spark, sf_dir)
+    t = pt.select("page_id", "company", "ord", H.html_to_text("html").alias("text"))
+    t = t.where(~X.is_junk_text("text")).withColumn("text", X.normalize_text("text"))
+    # dedupe by text within each page kind; the smallest page id survives
+    t = R.dedupe(t, ["ord", "text"], order="page_id")
+    coded = RC.reconcile(t, FX.truth(spark, sf_dir)).where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull())
+    return RC.concat_texts(coded, ["company", "ssic_code"], "text", ["ord", "page_id"])
+
+
+@register("page_text_by_company", with_views(["page_text", "truth"],
+    ("t0", f"SELECT page_id, company, ord, {html_to_text_sql('html')} AS text FROM page_text"),
+    ("t1", f"SELECT page_id, company, ord, {normalize_sql('text')} AS text FROM t0 WHERE NOT {junk_sql('text')}"),
+    ("t2", "SELECT * FROM t1 QUALIFY row_number() OVER (PARTITION BY ord, text ORDER BY page_id) = 1"),
+    ("ex", "SELECT company, min(ssic_code) AS c1 FROM truth WHERE ssic_code IS NOT NULL GROUP BY company"),
+    ("lo", "SELECT regexp_replace(company, '\\.\\z', '') AS company, min(ssic_code) AS c2 FROM truth "
+           "WHERE ssic_code IS NOT NULL GROUP BY 1"),
+    ("t3", "SELECT t2.*, coalesce(ex.c1, lo.c2) AS ssic_code FROM t2 LEFT JOIN ex ON t2.company = ex.company "
+           "LEFT JOIN lo ON t2.company = lo.company"),
+    body="""SELECT company, ssic_code, string_agg(text, ' ' ORDER BY ord, page_id) AS text
+            FROM t3 WHERE ssic_code IS NOT NULL AND text IS NOT NULL GROUP BY company, ssic_code"""))
+def page_text_by_company(spark, sf_dir):
+    return page_text_job(spark, sf_dir)
+
+
+@register("concat_by_company", with_views(["page_text"], body=f"""
+    SELECT company, string_agg(t, ' ' ORDER BY ord, page_id) AS text
+    FROM (SELECT company, ord, page_id, {html_to_text_sql('html')} AS t FROM page_text) x
+    WHERE t IS NOT NULL GROUP BY company"""))
+def concat_by_company(spark, sf_dir):
+    pt = FX.page_text(spark, sf_dir).select("company", "ord", "page_id", H.html_to_text("html").alias("text"))
+    return RC.concat_texts(pt.where(F.col("text").isNotNull()), ["company"], "text", ["ord", "page_id"])
