@@ -69,35 +69,49 @@ def nearest_neighbours(
     r_payload: list[str] | None = None,
     block_rows: int = 8192,
     min_query_blocks: int | None = None,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Exact top-k by cosine similarity for every query row.
 
-    Output: q_id, r_id (renamed ``ref_id`` when the names clash), sim, nb_rank
-    (1-based), then the payload columns. Payload names must not clash.
+    ``by``: optional key columns present on both sides (a trial, a fold);
+    neighbours are searched only within equal keys, all keys in one job.
+
+    Output: [by], q_id, r_id (renamed ``ref_id`` when the names clash), sim,
+    nb_rank (1-based), then the payload columns. Payload names must not clash.
     """
     q_payload = list(q_payload or [])
     r_payload = list(r_payload or [])
+    by = list(by or [])
     spark = query.sparkSession
     ref_out = r_id if r_id != q_id else "ref_id"
 
-    n_q = query.count()
-    n_r = ref.count()
+    if by:
+        # block sizes follow the largest group on each side (one small action each)
+        n_q = query.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        n_r = ref.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    else:
+        n_q = query.count()
+        n_r = ref.count()
     par = spark.sparkContext.defaultParallelism if min_query_blocks is None else min_query_blocks
     b_r = max(1, math.ceil(n_r / block_rows))
     b_q = max(1, math.ceil(n_q / block_rows), min(par, math.ceil(n_q / 256)))
 
+    # key columns get fresh names on each side: both sides may come from one
+    # DataFrame (trials, folds), and a cogroup on shared attributes is ambiguous
+    bq = [f"_by{i}" for i in range(len(by))]
     q = query.select(
-        F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qvec"), *[F.col(c) for c in q_payload]
+        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qvec"), *[F.col(c) for c in q_payload]
     ).withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(b_q)).cast("int"))
     q = q.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))))
     r = ref.select(
-        F.col(r_id).alias("_rid"), F.col(vec_col).alias("_rvec"), *[F.col(c) for c in r_payload]
+        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(r_id).alias("_rid"), F.col(vec_col).alias("_rvec"), *[F.col(c) for c in r_payload]
     ).withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)).cast("int"))
     r = r.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1))))
 
     qid_type = query.schema[q_id].dataType
     rid_type = ref.schema[r_id].dataType
-    fields = [
+    fields = [T.StructField(b, query.schema[c].dataType) for c, b in zip(by, bq)]
+    fields += [
         T.StructField("_qid", qid_type),
         T.StructField("_rid", rid_type),
         T.StructField("sim", T.DoubleType()),
@@ -114,22 +128,23 @@ def nearest_neighbours(
         r_mat = np.stack(rpdf["_rvec"].to_numpy()).astype(np.float64)
         r_ids = rpdf["_rid"].to_numpy()
         qi, ri, s = _top_k_block(qpdf["_qid"].to_numpy(), q_mat, r_ids, r_mat, k)
-        out = {"_qid": qpdf["_qid"].to_numpy()[qi], "_rid": r_ids[ri], "sim": s}
+        out = {b: np.repeat(qpdf[b].iloc[0], len(qi)) for b in bq}
+        out.update({"_qid": qpdf["_qid"].to_numpy()[qi], "_rid": r_ids[ri], "sim": s})
         for c in q_payload:
             out[c] = qpdf[c].to_numpy()[qi]
         for c in r_payload:
             out[c] = rpdf[c].to_numpy()[ri]
         return pd.DataFrame(out, columns=names)
 
-    partial = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInPandas(block_pair, schema)
-    if b_r == 1:
-        # One reference block: each query row was seen once, its list is final.
-        w = Window.partitionBy("_qid").orderBy(F.col("sim").desc(), F.col("_rid"))
-        ranked = partial.withColumn("nb_rank", F.row_number().over(w))
-    else:
-        w = Window.partitionBy("_qid").orderBy(F.col("sim").desc(), F.col("_rid"))
-        ranked = partial.withColumn("nb_rank", F.row_number().over(w)).where(F.col("nb_rank") <= k)
+    keys = [*bq, "_qb", "_rb"]
+    partial = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(block_pair, schema)
+    w = Window.partitionBy(*bq, "_qid").orderBy(F.col("sim").desc(), F.col("_rid"))
+    ranked = partial.withColumn("nb_rank", F.row_number().over(w))
+    if b_r > 1:
+        # several reference blocks each sent up to k candidates: keep the best k
+        ranked = ranked.where(F.col("nb_rank") <= k)
     return ranked.select(
+        *[F.col(b).alias(c) for c, b in zip(by, bq)],
         F.col("_qid").alias(q_id),
         F.col("_rid").alias(ref_out),
         "sim",
