@@ -1 +1,120 @@
-"""Registered queries."""
+"""Registered MLlib queries (seeded; checked rows-only)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from codelens.functions import html as H
+from codelens.functions import text as X
+from codelens.operators import ml as ML
+from codelens.operators import recommend as RM
+from codelens.operators import split as S
+from codelens.operators import taxonomy as TX
+from codelens.plans.catalog import register
+from codelens.session import shared_path
+from codelens.sources import fixtures as FX
+from codelens.sources.tables import read_table
+
+LEVEL_PREFIX = {"Section": None, "Division": 2, "Group": 3, "Class": 4}
+TOP_N = 3
+
+
+def training_table(spark, sf_dir, level: str = "Division"):
+    """Dictionary descriptions labelled with the code at ``level``."""
+    f = TX.flatten(FX.dictionary(spark, sf_dir))
+    text = X.build_description(F.col("title"), X.clean_text("definition"), X.clean_text("examples"))
+    n = LEVEL_PREFIX[level]
+    label = F.col("section") if n is None else F.substring("code", 1, n)
+    return f.select("code", text.alias("text"), label.alias("label")).where(F.col("label").isNotNull())
+
+
+def fit_classifier(spark, sf_dir, level="Division"):
+    return ML.train_text_classifier(training_table(spark, sf_dir, level), "text", "label", model="nb")
+
+
+@register("train_text_classifier")
+def train_text_classifier(spark, sf_dir):
+    """Fit the Division-level classifier on the dictionary; in-sample predictions."""
+    model = fit_classifier(spark, sf_dir)
+    tr = training_table(spark, sf_dir)
+    return ML.score_top_n(model, tr, "code", "text", 1, keep=["label"]).select("code", "label", "pred_code", "score")
+
+
+@register("score_companies")
+def score_companies(spark, sf_dir):
+    """Top-3 Division codes with probabilities for every company text."""
+    model = fit_classifier(spark, sf_dir)
+    ct = FX.company_text(spark, sf_dir).select("doc_id", "company", "text")
+    return ML.score_top_n(model, ct, "doc_id", "text", TOP_N, keep=["company"])
+
+
+@register("save_load_model")
+def save_load_model(spark, sf_dir):
+    """Round trip: fit, save under the shared folder, load, score with the loaded model."""
+    model = fit_classifier(spark, sf_dir, "Section")
+    path = shared_path(spark, f"models/section-{uuid.uuid4().hex}")
+    ML.save_model(model, path)
+    loaded = ML.load_model(path)
+    ct = FX.company_text(spark, sf_dir).select("doc_id", "text")
+    return ML.score_top_n(loaded, ct, "doc_id", "text", 1)
+
+
+def _page_clean(spark, sf_dir):
+    pt = FX.page_text(spark, sf_dir).where(F.col("kind") == "main")
+    return pt.select("page_id", "company", X.preprocess_tags(H.html_to_text("html")).alias("cleaned"))
+
+
+@register("kmeans_pages")
+def kmeans_pages(spark, sf_dir):
+    """10 clusters of main-page TF-IDF vectors (seed 0)."""
+    return ML.kmeans_clusters(_page_clean(spark, sf_dir), "cleaned", k=10, seed=0).select("page_id", "company", "cluster")
+
+
+@register("cluster_members")
+def cluster_members(spark, sf_dir):
+    """Companies per cluster, as (cluster, company) rows with the cluster size.
+    A list per cluster would put an unbounded group in one row."""
+    from pyspark.sql import Window
+
+    c = ML.kmeans_clusters(_page_clean(spark, sf_dir), "cleaned", k=10, seed=0).select("cluster", "company")
+    return c.withColumn("n_members", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
+
+
+def _company_docs(spark, sf_dir):
+    """Company texts (lower-cased) with their reconciled, padded code."""
+    from codelens.functions.codes import pad_code
+    from codelens.operators.reconcile import reconcile
+
+    ct = FX.company_text(spark, sf_dir).select("doc_id", "company", "text")
+    r = reconcile(ct, FX.truth(spark, sf_dir)).where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull())
+    return r.select("doc_id", "company", pad_code("ssic_code").alias("ssic_code"), X.normalize_text("text").alias("text"))
+
+
+@register("train_doc_vectors")
+def train_doc_vectors(spark, sf_dir):
+    """64-d Word2Vec document vectors from company and dictionary text."""
+    docs = _company_docs(spark, sf_dir)
+    dict_rows = training_table(spark, sf_dir).select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+    corpus = docs.select("doc_id", "text").unionByName(dict_rows)
+    _, embed = ML.doc_vectors(corpus, "text", size=64, min_count=2, max_iter=1, seed=42)
+    return embed(docs.select("doc_id", "text")).select("doc_id", "embedding")
+
+
+@register("recommend_codes")
+def recommend_codes(spark, sf_dir):
+    """The whole recommender function on text: pad codes, hash split by
+    company, add dictionary rows to training, fit doc vectors, top-5
+    neighbours of each test company, ranked."""
+    docs = _company_docs(spark, sf_dir)
+    train, _ = S.train_test_split(docs, "company", 70)
+    test = S.anti_split_test(docs, train, "company")
+    dict_rows = training_table(spark, sf_dir).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("company"),
+        F.col("code").alias("ssic_code"), "text")
+    train_all = train.unionByName(dict_rows)
+    _, embed = ML.doc_vectors(train_all, "text", size=64, min_count=2, max_iter=1, seed=42)
+    tr = embed(train_all).withColumn("rid", F.xxhash64("text", "ssic_code"))
+    te = embed(test).withColumn("rid", F.col("doc_id"))
+    return RM.recommend(tr, te, 5, "rid", "company", "ssic_code")
