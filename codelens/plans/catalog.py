@@ -31,6 +31,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from codelens.plans import (  # noqa: F401
         q_html,
+        q_io,
         q_judge,
         q_ml,
         q_neighbours,
