@@ -59,8 +59,7 @@ def html_to_text(c) -> Column:
     s = decode_entities(s)
     for r in REMOVE_STRINGS:
         s = F.replace(s, F.lit(r), F.lit(""))
-    s = strip_ws(s)
-    return F.when(s != "", s)
+    return F.nullif(strip_ws(s), F.lit(""))
 
 
 def extract_links(c) -> Column:

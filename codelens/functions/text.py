@@ -107,8 +107,19 @@ def tokenize_words(c, letters: str = "ascii") -> Column:
 
 
 def _drop_words(tokens: Column, words: list[str]) -> Column:
-    banned = F.array(*[F.lit(w) for w in words])
-    return F.filter(tokens, lambda t: (t != "") & ~F.array_contains(banned, t))
+    # ``isin`` over many literals is planned as a hash set (InSet): O(1) per token
+    return F.filter(tokens, lambda t: (t != "") & ~t.isin(*words))
+
+
+def bind_once(c, fn) -> Column:
+    """Evaluate ``fn`` on one evaluation of ``c``.
+
+    A filter that names a computed column several times is pushed below the
+    projection with the column's expression inlined at every reference, so an
+    expensive expression (a regex chain over a whole page) would run once per
+    reference. Binding it to a lambda variable evaluates it once.
+    """
+    return F.exists(F.array(_c(c)), fn)
 
 
 def preprocess_tags(c) -> Column:
@@ -144,10 +155,22 @@ def is_junk_text(c, literal_nan: bool = False) -> Column:
 
     ``literal_nan=True`` uses the substring rule, which also drops 'finance'.
     """
-    c = _c(c)
-    low = F.lower(c)
+
+    return bind_once(c, lambda t: junk_rule(t, literal_nan))
+
+
+def junk_rule(t: Column, literal_nan: bool = False) -> Column:
+    low = F.lower(t)
     nan_hit = low.contains("nan") if literal_nan else low.rlike(r"(^|[^a-z0-9_])nan([^a-z0-9_]|$)")
-    return c.isNull() | (F.length(c) < 4) | low.contains("403") | low.contains("404 not found") | nan_hit
+    return t.isNull() | (F.length(t) < 4) | low.contains("403") | low.contains("404 not found") | nan_hit
+
+
+def kept_value(c, keep) -> Column:
+    """Generator column: the value of ``c`` when ``keep(value)`` holds, else
+    no row. Use in ``select`` as a filter that evaluates ``c`` exactly once
+    (a plain ``where`` on a computed column re-evaluates it in the pushed
+    predicate)."""
+    return F.explode(F.filter(F.array(_c(c)), keep))
 
 
 def company_from_filename(c) -> Column:

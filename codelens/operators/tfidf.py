@@ -10,7 +10,13 @@ so the formula is written out). Data stay as (doc, term, weight) rows:
 * the (doc, term) x idf join is an equi-join on term; AQE broadcasts the idf
   side when it is small and splits skewed term partitions otherwise;
 * the document count enters as a one-row aggregate joined in (no driver
-  round trip).
+  round trip);
+* documents are hash-partitioned by their id once (``by_doc``): term counts,
+  the per-document norm window and the (doc, term) joins of condense/summary
+  then all run on that one partitioning, with no further exchange of token
+  rows (needs ``spark.sql.requireAllClusterKeysForCoPartition=false``, set by
+  ``codelens.session.configure``). A document is bounded (<= 20k words), so
+  this partitioning cannot be skewed by one hot key.
 """
 
 from __future__ import annotations
@@ -24,11 +30,16 @@ WEIGHT_DECIMALS = 6
 MIN_TOKEN_LEN = 2
 
 
+def by_doc(docs: DataFrame, doc: str) -> DataFrame:
+    """Hash-partition documents by id (one exchange shared by every per-doc step)."""
+    return docs.repartition(doc)
+
+
 def doc_terms(docs: DataFrame, doc: str, text: str, letters: str = "unicode") -> DataFrame:
     """(doc, term, tf): term counts per document; terms have >= 2 letters."""
-    toks = docs.select(F.col(doc), F.explode(tokenize_words(text, letters)).alias("term"))
-    toks = toks.where(F.length("term") >= MIN_TOKEN_LEN)
-    return toks.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = F.filter(tokenize_words(text, letters), lambda t: F.length(t) >= MIN_TOKEN_LEN)
+    return docs.select(F.col(doc), F.explode(toks).alias("term")).groupBy(doc, "term").agg(
+        F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(tf: DataFrame, max_features: int) -> DataFrame:
@@ -40,6 +51,7 @@ def top_terms(tf: DataFrame, max_features: int) -> DataFrame:
 
 def tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None = None, letters: str = "unicode") -> DataFrame:
     """(doc, term, tf, weight) with the smoothed, L2-normalised TF-IDF weight."""
+    docs = by_doc(docs, doc)
     tf = doc_terms(docs, doc, text, letters)
     if max_features:
         tf = tf.join(F.broadcast(top_terms(tf, max_features)), "term", "left_semi")
@@ -62,6 +74,7 @@ def condense_text(docs: DataFrame, doc: str, text: str, weights: DataFrame, thre
     """Words of the text (whitespace split, original order, repeats kept) whose
     term weight in that document is >= threshold; the first ``top_tokens``
     joined with spaces. Documents with none get ''."""
+    docs = by_doc(docs, doc)
     words = docs.select(F.col(doc), F.posexplode(F.split(F.col(text), r"\s+")).alias("pos", "term"))
     keep = important_terms(weights, threshold).select(doc, "term")
     hits = words.join(keep, [doc, "term"], "left_semi")
@@ -87,6 +100,7 @@ def extractive_summary(docs: DataFrame, doc: str, text: str, weights: DataFrame,
     """Best sentences by summed term weight, kept while the running word count
     (best first) stays within ``max_words`` (the best sentence is always kept),
     then printed in original order."""
+    docs = by_doc(docs, doc)
     sent = docs.select(F.col(doc), F.posexplode(split_sentences(F.col(text))).alias("s_pos", "sentence"))
     sent = sent.withColumn("sentence", strip_ws("sentence")).where(F.length("sentence") > 0)
     sent = sent.withColumn("n_words", F.size(F.split("sentence", r"\s+")))

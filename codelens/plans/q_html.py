@@ -114,8 +114,10 @@ def placeholder_rows(spark, sf_dir):
 
 def page_text_job(spark, sf_dir):
     pt = FX.page_text(spark, sf_dir)
-    t = pt.select("page_id", "company", "ord", H.html_to_text("html").alias("text"))
-    t = t.where(~X.is_junk_text("text")).withColumn("text", X.normalize_text("text"))
+    # extract once, drop junk, normalize (the extraction runs once per page)
+    t = pt.select("page_id", "company", "ord",
+                  X.kept_value(H.html_to_text("html"), lambda v: ~X.junk_rule(v)).alias("text"))
+    t = t.withColumn("text", X.normalize_text("text"))
     # dedupe by text within each page kind; the smallest page id survives
     t = R.dedupe(t, ["ord", "text"], order="page_id")
     coded = RC.reconcile(t, FX.truth(spark, sf_dir)).where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull())

@@ -16,6 +16,13 @@ from pyspark.sql import SparkSession
 # partitions at runtime; skew-join splits hot keys in sort-merge joins.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
+    # Broadcast only on measured sizes: the static planner's estimates can be
+    # far off after explode/aggregate, so it never broadcasts by itself; AQE
+    # broadcasts a join side whose actual shuffle output is small. Explicit
+    # F.broadcast is kept for tables bounded by construction (code levels).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -44,6 +51,25 @@ def get_spark(master: str | None = None, app: str = "codelens", shuffle_partitio
     return spark
 
 
+# Runtime SQL settings the jobs rely on; applied to any session handed in.
+RUNTIME_SQL_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    # a join on (doc, term) may reuse a partitioning by doc alone
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the broadcast/AQE policy to a session created elsewhere."""
+    for k, v in RUNTIME_SQL_CONF.items():
+        spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory.
 
