@@ -118,3 +118,13 @@ def write_result_bundle(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("read_cached_reference", with_views(["truth"], body="SELECT * FROM truth"))
+def read_cached_reference(spark, sf_dir):
+    """Reference table read once and cached in executor memory; a refresh
+    drops and re-reads it."""
+    p = _scratch(spark, "reference_csv")
+    IO.write_table(FX.truth(spark, sf_dir), p, "csv")
+    ref = IO.CachedReference(spark, p, schema="uen string, company string, ssic_code string, ssic_code2 string")
+    return ref.refresh()

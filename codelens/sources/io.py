@@ -87,8 +87,8 @@ class CachedReference:
     """A reference table read once and kept in executor memory; ``refresh``
     drops and re-reads it (the original expired it after 600 s)."""
 
-    def __init__(self, spark: SparkSession, path: str, fmt: str = "csv"):
-        self.spark, self.path, self.fmt = spark, path, fmt
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None):
+        self.spark, self.path, self.fmt, self.schema = spark, path, fmt, schema
         self._df: DataFrame | None = None
 
     def get(self) -> DataFrame:
@@ -96,6 +96,8 @@ class CachedReference:
             r = self.spark.read
             if self.fmt == "csv":
                 r = r.options(**CSV_OPTIONS)
+            if self.schema is not None:
+                r = r.schema(self.schema)
             self._df = r.format(self.fmt).load(self.path).cache()
         return self._df
 
