@@ -76,10 +76,10 @@ def kmeans_pages(spark, sf_dir):
 def cluster_members(spark, sf_dir):
     """Companies per cluster, as (cluster, company) rows with the cluster size.
     A list per cluster would put an unbounded group in one row."""
-    from pyspark.sql import Window
-
     c = ML.kmeans_clusters(_page_clean(spark, sf_dir), "cleaned", k=10, seed=0).select("cluster", "company")
-    return c.withColumn("n_members", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
+    # sizes by partial aggregate; the size table has k rows, so it is broadcast
+    sizes = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"))
+    return c.join(F.broadcast(sizes), "cluster")
 
 
 def _company_docs(spark, sf_dir):
