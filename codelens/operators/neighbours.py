@@ -138,11 +138,11 @@ def nearest_neighbours(
 
     keys = [*bq, "_qb", "_rb"]
     partial = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(block_pair, schema)
+    # Several reference blocks each send up to k candidates: keep the best k.
+    # The window also leaves the output hash-partitioned by the query id, so
+    # per-query aggregates and windows downstream need no further exchange.
     w = Window.partitionBy(*bq, "_qid").orderBy(F.col("sim").desc(), F.col("_rid"))
-    ranked = partial.withColumn("nb_rank", F.row_number().over(w))
-    if b_r > 1:
-        # several reference blocks each sent up to k candidates: keep the best k
-        ranked = ranked.where(F.col("nb_rank") <= k)
+    ranked = partial.withColumn("nb_rank", F.row_number().over(w)).where(F.col("nb_rank") <= k)
     return ranked.select(
         *[F.col(b).alias(c) for c, b in zip(by, bq)],
         F.col("_qid").alias(q_id),
