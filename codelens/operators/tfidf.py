@@ -49,17 +49,38 @@ def top_terms(tf: DataFrame, max_features: int) -> DataFrame:
     return totals.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features).select("term")
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None = None, letters: str = "unicode") -> DataFrame:
-    """(doc, term, tf, weight) with the smoothed, L2-normalised TF-IDF weight."""
+# idf is broadcast only when the counted vocabulary is at most this many
+# terms (about 50 bytes each); beyond it the join shuffles by term and AQE
+# splits skewed term partitions.
+BROADCAST_MAX_TERMS = 2_000_000
+
+
+def tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None = None, letters: str = "unicode",
+          materialize: bool = True) -> DataFrame:
+    """(doc, term, tf, weight) with the smoothed, L2-normalised TF-IDF weight.
+
+    With ``materialize`` the document-frequency table (one row per term) is
+    written with a reliable checkpoint (under ``spark.checkpoint.dir``) and
+    its rows counted, so idf is broadcast only under a checked size. The term
+    counts stay in the stream, partitioned by document, so the join with a
+    broadcast idf and the norm window need no exchange.
+    """
+    n_docs = docs.count() if materialize else None
     docs = by_doc(docs, doc)
     tf = doc_terms(docs, doc, text, letters)
     if max_features:
         tf = tf.join(F.broadcast(top_terms(tf, max_features)), "term", "left_semi")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = df.crossJoin(F.broadcast(n_docs)).select(
-        "term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf")
-    )
+    if materialize:
+        tf = tf.checkpoint(eager=True)
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).checkpoint(eager=True)
+        n_terms = df.count()
+        idf = df.select("term", (F.log(F.lit(n_docs + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
+        if n_terms <= BROADCAST_MAX_TERMS:
+            idf = F.broadcast(idf)
+    else:
+        n = docs.agg(F.count(F.lit(1)).alias("_n"))
+        idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
     w = tf.join(idf, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return w.select(doc, "term", "tf", F.round(F.col("_w") / norm, WEIGHT_DECIMALS).alias("weight"))
