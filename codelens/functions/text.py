@@ -165,12 +165,13 @@ def junk_rule(t: Column, literal_nan: bool = False) -> Column:
     return t.isNull() | (F.length(t) < 4) | low.contains("403") | low.contains("404 not found") | nan_hit
 
 
-def kept_value(c, keep) -> Column:
-    """Generator column: the value of ``c`` when ``keep(value)`` holds, else
-    no row. Use in ``select`` as a filter that evaluates ``c`` exactly once
-    (a plain ``where`` on a computed column re-evaluates it in the pushed
-    predicate)."""
-    return F.explode(F.filter(F.array(_c(c)), keep))
+def kept_value(c, keep, then=None) -> Column:
+    """Generator column: ``then(value)`` (or the value) of ``c`` when
+    ``keep(value)`` holds, else no row. Use in ``select`` as a filter that
+    evaluates ``c`` exactly once (a plain ``where`` on a computed column
+    re-evaluates it in the pushed predicate)."""
+    kept = F.filter(F.array(_c(c)), keep)
+    return F.explode(F.transform(kept, then) if then is not None else kept)
 
 
 def company_from_filename(c) -> Column:

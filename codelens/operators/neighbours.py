@@ -2,10 +2,15 @@
 
 Plan: both sides are cut into hash blocks of bounded size. Every (query block,
 reference block) pair meets in one cogroup task, where numpy multiplies the two
-blocks and keeps only the k best references per query row. A final window keeps
-the global k best. No pair is ever emitted as a row, no task sees more than two
-bounded blocks, and nothing passes through the driver; the only driver work is
-two ``count()`` actions that size the blocks.
+blocks (in chunks of query rows, so memory is bounded) and keeps only the k
+best references per query row. A final window keeps the global k best. No pair
+is ever emitted as a row, no task sees more than two bounded blocks, and
+nothing passes through the driver; the only driver work is two ``count()``
+actions that size the blocks.
+
+Cost: exact search is O(n_q * n_r) multiply-adds by nature. The shuffle
+carries each query row once per reference block and each reference row once
+per query block: n_q * ceil(n_r / B) + n_r * b_q rows for block size B.
 
 Ties: similarity is rounded to 6 decimals and ties go to the smaller reference
 id, which is also the order the SQL oracle uses.
@@ -22,6 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIM_DECIMALS = 6
+# Similarities are computed for at most this many (query, reference) pairs at
+# a time inside a task (8 bytes each, plus a few temporaries): task memory
+# stays bounded whatever the block sizes are.
+MAX_PAIRS_PER_CHUNK = 1 << 22
 
 
 def _top_k_block(q_ids, q_mat, r_ids, r_mat, k):
@@ -67,7 +76,7 @@ def nearest_neighbours(
     vec_col: str = "embedding",
     q_payload: list[str] | None = None,
     r_payload: list[str] | None = None,
-    block_rows: int = 8192,
+    block_rows: int = 32768,
     min_query_blocks: int | None = None,
     by: list[str] | None = None,
 ) -> DataFrame:
@@ -127,7 +136,15 @@ def nearest_neighbours(
         q_mat = np.stack(qpdf["_qvec"].to_numpy()).astype(np.float64)
         r_mat = np.stack(rpdf["_rvec"].to_numpy()).astype(np.float64)
         r_ids = rpdf["_rid"].to_numpy()
-        qi, ri, s = _top_k_block(qpdf["_qid"].to_numpy(), q_mat, r_ids, r_mat, k)
+        q_ids = qpdf["_qid"].to_numpy()
+        step = max(1, MAX_PAIRS_PER_CHUNK // max(1, r_mat.shape[0]))
+        parts = []
+        for lo in range(0, q_mat.shape[0], step):
+            a, b, c = _top_k_block(q_ids[lo:lo + step], q_mat[lo:lo + step], r_ids, r_mat, k)
+            parts.append((a + lo, b, c))
+        qi = np.concatenate([p[0] for p in parts])
+        ri = np.concatenate([p[1] for p in parts])
+        s = np.concatenate([p[2] for p in parts])
         out = {b: np.repeat(qpdf[b].iloc[0], len(qi)) for b in bq}
         out.update({"_qid": qpdf["_qid"].to_numpy()[qi], "_rid": r_ids[ri], "sim": s})
         for c in q_payload:

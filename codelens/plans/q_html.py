@@ -77,14 +77,14 @@ def explode_site_links(spark, sf_dir):
 
 
 def _profile_fields(spark, sf_dir):
-    pt = FX.page_text(spark, sf_dir).where(F.col("kind") == "main")
-    return pt.select(
-        "company",
-        F.col("url").alias("page_url"),
-        H.first_tag_text("html", "div", "ad").alias("category"),
-        H.first_tag_text("html", "footer", must_contain="example.com").alias("website"),
-        H.first_tag_text("html", "p").alias("text"),
-    )
+    fields = {
+        "page_url": F.col("url"),
+        "category": H.first_tag_text("html", "div", "ad"),
+        "website": H.first_tag_text("html", "footer", must_contain="example.com"),
+        "text": H.first_tag_text("html", "p"),
+    }
+    pt = FX.page_text(spark, sf_dir, fields).where(F.col("kind") == "main")
+    return pt.select("company", "page_url", "category", "website", "text")
 
 
 _PROFILE_SQL = (f"SELECT company, url AS page_url, {first_tag_text_sql('html', 'div', 'ad')} AS category, "
@@ -113,11 +113,10 @@ def placeholder_rows(spark, sf_dir):
 # ---- the page-text job: pages -> clean text -> one text per company and code
 
 def page_text_job(spark, sf_dir):
-    pt = FX.page_text(spark, sf_dir)
-    # extract once, drop junk, normalize (the extraction runs once per page)
-    t = pt.select("page_id", "company", "ord",
-                  X.kept_value(H.html_to_text("html"), lambda v: ~X.junk_rule(v)).alias("text"))
-    t = t.withColumn("text", X.normalize_text("text"))
+    # extract once per page, drop junk, normalize -- all before the company
+    # join, so only clean text is shuffled
+    kept = X.kept_value(H.html_to_text("html"), lambda v: ~X.junk_rule(v), then=X.normalize_text)
+    t = FX.page_text(spark, sf_dir, {"text": kept}).select("page_id", "company", "ord", "text")
     # dedupe by text within each page kind; the smallest page id survives
     t = R.dedupe(t, ["ord", "text"], order="page_id")
     coded = RC.reconcile(t, FX.truth(spark, sf_dir)).where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull())
@@ -144,5 +143,5 @@ def page_text_by_company(spark, sf_dir):
     FROM (SELECT company, ord, page_id, {html_to_text_sql('html')} AS t FROM page_text) x
     WHERE t IS NOT NULL GROUP BY company"""))
 def concat_by_company(spark, sf_dir):
-    pt = FX.page_text(spark, sf_dir).select("company", "ord", "page_id", H.html_to_text("html").alias("text"))
+    pt = FX.page_text(spark, sf_dir, {"text": H.html_to_text("html")}).select("company", "ord", "page_id", "text")
     return RC.concat_texts(pt.where(F.col("text").isNotNull()), ["company"], "text", ["ord", "page_id"])

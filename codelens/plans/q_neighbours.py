@@ -28,10 +28,11 @@ def recommend_base(spark, sf_dir):
     """(vec_id, company, ssic_code, embedding): document vectors of companies
     whose name reconciles to a declared code (code padded, text present)."""
     v = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    ct = FX.company_text(spark, sf_dir).select("doc_id", "company", "text")
+    # only the presence of text is needed: project it to a flag before any shuffle
+    ct = FX.company_text(spark, sf_dir, {"has_text": F.col("text").isNotNull()})
     b = v.join(ct, v.vec_id == ct.doc_id).drop("doc_id")
     b = RC.reconcile(b, FX.truth(spark, sf_dir))
-    b = b.where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull())
+    b = b.where(F.col("ssic_code").isNotNull() & F.col("has_text"))
     return b.select("vec_id", "company", C.pad_code("ssic_code").alias("ssic_code"), "embedding")
 
 

@@ -81,8 +81,15 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def company_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+def company_text(spark: SparkSession, sf_dir: str, cols: dict | None = None) -> DataFrame:
+    """doc_id, company, then ``cols`` (default: text, lang).
+
+    ``cols`` maps output names to expressions over ``documents``; they are
+    evaluated before the join with ``customer``, so the shuffle carries their
+    results (a flag, extracted text) rather than whole documents.
+    """
+    cols = cols if cols is not None else {"text": F.col("text"), "lang": F.col("lang")}
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", *[e.alias(n) for n, e in cols.items()])
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = docs.join(cust, docs.doc_id == cust.c_custkey, "left")
     company = (
@@ -90,21 +97,27 @@ def company_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 10 == 9, F.concat("c_name", F.lit(" Holdings")))
         .otherwise(F.col("c_name"))
     )
-    return j.select("doc_id", company.alias("company"), "text", "lang")
+    return j.select("doc_id", company.alias("company"), *cols)
 
 
-def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+def page_text(spark: SparkSession, sf_dir: str, cols: dict | None = None) -> DataFrame:
+    """page_id, company, kind, ord, then ``cols`` (default: url, html).
+
+    ``cols`` are expressions over ``pages`` evaluated before the join with
+    ``customer`` (one of them may be a generator, e.g. a filter that keeps
+    extracted text), so raw HTML need not be shuffled.
+    """
+    cols = cols if cols is not None else {"url": F.col("url"), "html": F.col("html")}
+    pages = read_table(spark, sf_dir, "pages").select("page_id", *[e.alias(n) for n, e in cols.items()])
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     p = pages.withColumn("ckey", F.floor(F.col("page_id") / 2).cast("bigint"))
     j = p.join(cust, p.ckey == cust.c_custkey, "left")
     return j.select(
         "page_id",
         F.coalesce("c_name", F.concat(F.lit("Company#"), F.col("ckey").cast("string"))).alias("company"),
-        "url",
-        "html",
         F.when(F.col("page_id") % 2 == 0, F.lit("main")).otherwise(F.lit("sub")).alias("kind"),
         (F.col("page_id") % 2).cast("int").alias("ord"),
+        *cols,
     )
 
 

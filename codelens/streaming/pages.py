@@ -23,9 +23,8 @@ PAGES_SCHEMA = "page_id bigint, url string, html string"
 def page_text_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
     """Streaming (page_id, site, text): extracted, junk dropped, normalized."""
     pages = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
-    kept = pages.select("page_id", H.site_root("url").alias("site"),
-                        X.kept_value(H.html_to_text("html"), lambda v: ~X.junk_rule(v)).alias("text"))
-    return kept.withColumn("text", X.normalize_text("text"))
+    return pages.select("page_id", H.site_root("url").alias("site"),
+                        X.kept_value(H.html_to_text("html"), lambda v: ~X.junk_rule(v), then=X.normalize_text).alias("text"))
 
 
 def start_page_text(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str | None = None,
