@@ -20,7 +20,11 @@ from codelens.functions.codes import synthetic_code
 from codelens.sources.tables import read_table
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dictionary(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The code dictionary (at most ~111,000 rows: bounded by the 5-character
+    code domain). It is derived through several aggregates and used by several
+    branches of every taxonomy job, so it is written once with a reliable
+    checkpoint and all branches read that."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     sub_rows = part.select(
         synthetic_code("p_partkey").alias("code"),
@@ -61,12 +65,13 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("listagg(concat('•', d, ' Division ', d), '\\n') WITHIN GROUP (ORDER BY d)").alias("groups")
     )
     section_rows = level_rows(section_groups, "Section", F.col("groups"))
-    return (
+    out = (
         section_rows.unionByName(division_rows)
         .unionByName(level_rows(grp, "Group"))
         .unionByName(level_rows(cls, "Class"))
         .unionByName(sub)
     )
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
