@@ -32,6 +32,10 @@ DOMAIN_WORDS = [
 
 # ASCII punctuation removed by ``preprocess_domain``.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# ASCII punctuation and digits as one character class: code points 33-64
+# (punctuation and 0-9), 91-96 and 123-126. Removing both in one pass equals
+# removing punctuation and then digit runs (both only delete characters).
+PUNCT_AND_DIGITS_RE = r"[!-@\[-`{-~]+"
 
 # Ordered business-activity patterns; the first that matches wins.
 BUSINESS_PATTERNS = [
@@ -132,9 +136,7 @@ def preprocess_tags(c) -> Column:
 
 def preprocess_domain(c, extra_words: list[str] | None = None) -> Column:
     """lower, drop punctuation and digits, drop stop words and domain words."""
-    s = F.lower(_c(c))
-    s = F.translate(s, PUNCTUATION, "")
-    s = F.regexp_replace(s, r"\d+", "")
+    s = F.regexp_replace(F.lower(_c(c)), PUNCT_AND_DIGITS_RE, "")
     words = STOP_WORDS + (DOMAIN_WORDS if extra_words is None else extra_words)
     return F.array_join(_drop_words(F.split(s, r"\s+"), words), " ")
 

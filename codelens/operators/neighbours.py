@@ -5,8 +5,8 @@ reference block) pair meets in one cogroup task, where numpy multiplies the two
 blocks (in chunks of query rows, so memory is bounded) and keeps only the k
 best references per query row. A final window keeps the global k best. No pair
 is ever emitted as a row, no task sees more than two bounded blocks, and
-nothing passes through the driver; the only driver work is two ``count()``
-actions that size the blocks.
+nothing passes through the driver; the only driver work is one small job that
+counts both sides to size the blocks.
 
 Cost: exact search is O(n_q * n_r) multiply-adds by nature. The shuffle
 carries each query row once per reference block and each reference row once
@@ -94,13 +94,16 @@ def nearest_neighbours(
     spark = query.sparkSession
     ref_out = r_id if r_id != q_id else "ref_id"
 
+    # Block sizes follow the largest group on each side; both sizes come back
+    # from one small job (two one-row aggregates).
     if by:
-        # block sizes follow the largest group on each side (one small action each)
-        n_q = query.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        n_r = ref.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        sq = query.groupBy(*by).count().agg(F.max("count").alias("_nq"))
+        sr = ref.groupBy(*by).count().agg(F.max("count").alias("_nr"))
     else:
-        n_q = query.count()
-        n_r = ref.count()
+        sq = query.agg(F.count(F.lit(1)).alias("_nq"))
+        sr = ref.agg(F.count(F.lit(1)).alias("_nr"))
+    sizes = sq.crossJoin(sr).first()
+    n_q, n_r = sizes["_nq"] or 0, sizes["_nr"] or 0
     par = spark.sparkContext.defaultParallelism if min_query_blocks is None else min_query_blocks
     b_r = max(1, math.ceil(n_r / block_rows))
     b_q = max(1, math.ceil(n_q / block_rows), min(par, math.ceil(n_q / 256)))

@@ -157,9 +157,9 @@ def preprocess_tags_sql(c: str) -> str:
 
 
 def preprocess_domain_sql(c: str) -> str:
-    from codelens.functions.text import DOMAIN_WORDS, PUNCTUATION, STOP_WORDS
+    from codelens.functions.text import DOMAIN_WORDS, PUNCT_AND_DIGITS_RE, STOP_WORDS
 
-    s = f"regexp_replace(translate(lower({c}), {sql_str(PUNCTUATION)}, ''), '\\d+', '', 'g')"
+    s = f"regexp_replace(lower({c}), {sql_str(PUNCT_AND_DIGITS_RE)}, '', 'g')"
     arr = f"regexp_split_to_array({s}, '\\s+')"
     return f"array_to_string({drop_words_sql(arr, STOP_WORDS + DOMAIN_WORDS)}, ' ')"
 

@@ -80,3 +80,23 @@ def test_pad_code_matches_zfill(spark, values):
 def test_tokenize_matches_python(spark, values):
     want = [[t for t in re.split("[^a-z]+", v.lower()) if t] for v in values]
     assert _apply(spark, X.tokenize_words, values) == want
+
+
+WORDS = st.sampled_from(["the", "Company", "retail", "shop's", "a1b2", "x-ray", "Trading!", "fish", "(it)", "2023",
+                         "holding", "café", "e.g.", "##", "Principal", "ok?"])
+PHRASES = st.lists(st.lists(WORDS, max_size=12).map(" ".join), min_size=1, max_size=30)
+
+
+def py_domain(text):
+    import string
+
+    text = text.lower().translate(str.maketrans("", "", string.punctuation))
+    text = re.sub(r"\d+", "", text)
+    text = " ".join(w for w in text.split() if w not in set(X.STOP_WORDS))
+    return " ".join(w for w in text.split() if w not in X.DOMAIN_WORDS)
+
+
+@SETTINGS
+@given(PHRASES)
+def test_preprocess_domain_matches_python(spark, values):
+    assert _apply(spark, X.preprocess_domain, values) == [py_domain(v) for v in values]
