@@ -13,7 +13,6 @@ from codelens.plans.oracle import (
     extract_links_sql,
     filter_links_sql,
     first_tag_text_sql,
-    force_https_sql,
     html_to_text_sql,
     junk_sql,
     normalize_sql,

@@ -15,7 +15,6 @@ from codelens.operators import taxonomy as TX
 from codelens.plans.catalog import register
 from codelens.session import shared_path
 from codelens.sources import fixtures as FX
-from codelens.sources.tables import read_table
 
 LEVEL_PREFIX = {"Section": None, "Division": 2, "Group": 3, "Class": 4}
 TOP_N = 3

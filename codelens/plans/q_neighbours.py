@@ -9,7 +9,6 @@ from codelens.functions import text as X
 from codelens.operators import recommend as RM
 from codelens.operators import reconcile as RC
 from codelens.operators import split as S
-from codelens.operators.neighbours import nearest_neighbours
 from codelens.plans import judge as PJ
 from codelens.plans.catalog import register
 from codelens.plans.oracle import bucket_sql, cosine_sql, with_views
