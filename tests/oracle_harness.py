@@ -4,6 +4,7 @@ compare row count, column names/types and order-insensitive values."""
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 from pyspark.sql import types as T
@@ -38,13 +39,17 @@ def duck_connect(sf_dir: str):
     return con
 
 
-def _norm(v, digits=6):
+# Floats are compared exactly by default; ORACLE_DIGITS=n rounds them first.
+DIGITS = int(os.environ.get("ORACLE_DIGITS", "-1"))
+
+
+def _norm(v, digits=DIGITS):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, digits)
+        return round(v, digits) if digits >= 0 else v
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x, digits) for x in v)
     if hasattr(v, "tolist"):
