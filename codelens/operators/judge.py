@@ -128,10 +128,12 @@ def worst_fraction(scored: DataFrame, frac: float, score: str, entity: str, larg
 
     Uses a bounded top-k (TakeOrderedAndProject) when k is small; otherwise a
     range-partitioned sort and per-partition offsets, so no single task or the
-    driver ever holds k rows.
+    driver ever holds k rows. The scored table (one row per entity) is
+    checkpointed first, so counting it does not rerun the work behind it.
     """
     from codelens.operators.ranking import top_rows
 
+    scored = scored.checkpoint(eager=True)
     k = int(scored.count() * frac)
     order = [F.col(score).desc() if largest else F.col(score).asc(), F.col(entity).asc()]
     return top_rows(scored, k, order)

@@ -104,7 +104,8 @@ def write_result_bundle(spark, sf_dir):
 
     base = recommend_base(spark, sf_dir)
     train, test = _split(base)
-    recs = recommendations(spark, sf_dir)
+    # computed once: the outputs and the stats tables both read it
+    recs = recommendations(spark, sf_dir).checkpoint(eager=True)
     tables = {
         "outputs": recs,
         "stats": RM.recommendation_stats(recs, "company"),
