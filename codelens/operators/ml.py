@@ -76,7 +76,8 @@ def score_top_n(model: PipelineModel, df: DataFrame, entity: str, text_col: str,
     keep = keep or []
     # the label indexer is a training stage: scoring rows have no label
     scorer = PipelineModel([st for st in model.stages if st.__class__.__name__ != "StringIndexerModel"])
-    pred = scorer.transform(df.select(entity, text_col, *keep))
+    in_col = model.stages[0].getInputCol()  # the text column the model was fitted on
+    pred = scorer.transform(df.select(entity, F.col(text_col).alias(in_col), *keep))
     probs = pred.select(entity, *keep, F.posexplode(vector_to_array("probability")).alias("_idx", "score"))
     w = Window.partitionBy(entity).orderBy(F.col("score").desc(), F.col("_idx"))
     top = probs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

@@ -117,3 +117,32 @@ def recommend_codes(spark, sf_dir):
     tr = embed(train_all).withColumn("rid", F.xxhash64("text", "ssic_code"))
     te = embed(test).withColumn("rid", F.col("doc_id"))
     return RM.recommend(tr, te, 5, "rid", "company", "ssic_code")
+
+
+TOP_N_PREDICTIONS = 15
+
+
+@register("judge_classifier_report")
+def judge_classifier_report(spark, sf_dir):
+    """The classifier route of the judge: report text joined to declared codes
+    by UEN -> domain cleaning -> TF-IDF condense (first 10 weighty words) ->
+    Division classifier top-15 -> rank -> exp scores for the declared primary
+    and secondary Division -> per-company min, weighted total, top-3 flag."""
+    from codelens.functions.codes import code_prefix
+    from codelens.operators import judge as J
+    from codelens.operators import tfidf as TF
+
+    truth = FX.truth(spark, sf_dir)
+    ct = FX.company_text(spark, sf_dir, {"t": X.preprocess_domain("text")})
+    reports = truth.join(ct.select("doc_id", "t"), truth.uen == ct.doc_id.cast("string"), "inner")
+    docs = reports.select("doc_id", "t")
+    condensed = TF.condense_text(docs, "doc_id", "t", TF.tfidf(docs, "doc_id", "t"))
+    declared = reports.select("doc_id", "uen", "company",
+                              code_prefix("ssic_code", 2).alias("primary_code"),
+                              code_prefix("ssic_code2", 2).alias("secondary_code"))
+    model = fit_classifier(spark, sf_dir, "Division")
+    preds = ML.score_top_n(model, condensed, "doc_id", "condensed", TOP_N_PREDICTIONS)
+    ranked = preds.join(declared, "doc_id")
+    judged = J.judge_entities(ranked, "uen", "pred_code", "rank", "primary_code", "secondary_code",
+                              top_n_predictions=TOP_N_PREDICTIONS, n=3)
+    return judged

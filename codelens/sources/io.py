@@ -123,3 +123,34 @@ def write_result_bundle(tables: dict[str, DataFrame], base: str, fmt: str = "par
         write_table(df, p, fmt)
         out[name] = p
     return out
+
+
+# Column names of the declared-codes list and of the link lists.
+DECLARED_COLUMNS = {"UEN": "uen", "entity_name": "company", "ssic_code": "ssic_code", "ssic_code2": "ssic_code2"}
+LIST_ITEM_RE = r"'([^']*)'"
+
+
+def read_declared_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Declared-codes CSV (UEN, entity_name, ssic_code, ssic_code2, ...) ->
+    the ``truth`` shape (uen, company, ssic_code, ssic_code2); codes stay
+    strings and are padded to 5 characters only when shorter."""
+    from codelens.functions.codes import pad_code
+
+    df = read_csv_strings(spark, path)
+    out = df.select(*[F.col(f"`{src}`").alias(dst) for src, dst in DECLARED_COLUMNS.items()])
+    return out.withColumn("ssic_code", pad_code("ssic_code")).withColumn(
+        "ssic_code2", F.when(F.col("ssic_code2").isNotNull(), pad_code("ssic_code2")))
+
+
+def parse_list_text(c) -> "F.Column":
+    """A Python-style list saved as text ("['a', 'b']") -> array<string>."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.regexp_extract_all(col, F.lit(LIST_ITEM_RE), 1)
+
+
+def read_link_lists(spark: SparkSession, path: str, site_col: str = "Org Website",
+                    links_col: str = "Filtered Links", name_col: str | None = "Company") -> DataFrame:
+    """Link-list CSV -> (company, site, links array)."""
+    df = read_csv_strings(spark, path)
+    cols = [F.col(f"`{name_col}`").alias("company")] if name_col else []
+    return df.select(*cols, F.col(f"`{site_col}`").alias("site"), parse_list_text(F.col(f"`{links_col}`")).alias("links"))

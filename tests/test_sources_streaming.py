@@ -102,3 +102,20 @@ def test_scoring_stream(spark, tmp_dir):
 
     per_doc = min(3, len(class_labels(model)))
     assert out.count() == per_doc * FX.company_text(spark, SF_SMALL).count()
+
+
+def test_read_declared_codes(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "declared.csv")
+    _write(p, "UEN,entity_name,ssic_code,ssic_code2,oth_desc,oth_desc2,gsearch\n"
+              "199900001A,ACME LTD.,1111,62011,x,,y\n199900002B,BETA,46900,,,,\n")
+    rows = IO.read_declared_codes(spark, p).collect()
+    assert [tuple(r) for r in rows] == [("199900001A", "ACME LTD.", "01111", "62011"), ("199900002B", "BETA", "46900", None)]
+
+
+def test_read_link_lists(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "links.csv")
+    _write(p, 'Company,Org Website,Filtered Links\nACME,https://acme.example,"[\'https://acme.example/about\', \'/profile\']"\n'
+              "BETA,,[]\n")
+    rows = IO.read_link_lists(spark, p).collect()
+    assert rows[0]["links"] == ["https://acme.example/about", "/profile"] and rows[1]["links"] == []
+    assert rows[1]["site"] is None
