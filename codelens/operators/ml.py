@@ -91,10 +91,14 @@ def doc_vectors(df: DataFrame, text_col: str, size: int = 64, min_count: int = 2
     """Fit Word2Vec on lower-cased tokens; returns (model, transform fn).
 
     Each document vector is the mean of its word vectors (Doc2Vec is not
-    available in MLlib; this is its distributed stand-in)."""
+    available in MLlib; this is its distributed stand-in). Training runs on
+    ``partitions`` partitions (default: the cluster's parallelism), never on
+    one task; MLlib averages the per-partition updates. The vocabulary
+    (words seen >= min_count times) is held by the model."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_GAPS, gaps=True, toLowercase=True)
+    parts = partitions or df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(inputCol="_tokens", outputCol="_vec", vectorSize=size, minCount=min_count, maxIter=max_iter,
-                   seed=seed, numPartitions=partitions or 1)
+                   seed=seed, numPartitions=parts)
     model = Pipeline(stages=[tok, w2v]).fit(df)
 
     def embed(d: DataFrame) -> DataFrame:
