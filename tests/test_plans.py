@@ -40,3 +40,24 @@ def test_parquet_scans_are_pruned(spark):
     plan = _plan(QUERIES["two_pass_reconcile"](spark, SF_SMALL))
     for m in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
         assert "text" not in m and "lang" not in m, m
+
+
+def test_runs_from_any_directory():
+    """Executors must not need the package installed: run the flagship (which
+    ships a pandas step to workers) in a fresh process started elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.entry(s).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
+    assert int(out.stdout.split("ROWS ")[1].split()[0]) > 0
