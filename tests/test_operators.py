@@ -140,3 +140,16 @@ def test_level_counts_cover_every_level(spark):
     counts = {r["level"]: r["s"] for r in TX.level_counts(flat).groupBy("level").agg(F.sum("n").alias("s")).collect()}
     n = flat.count()
     assert counts == {lvl: n for lvl in ("Section", "Division", "Group", "Class", "Sub-class")}
+
+
+def test_seeded_ml_is_repeatable(spark):
+    import __spark_entry__ as E
+
+    q = E.queries()
+    for name in ("kmeans_pages", "score_companies"):
+        a = sorted(tuple(r) for r in q[name](spark, SF_SMALL).collect())
+        b = sorted(tuple(r) for r in q[name](spark, SF_SMALL).collect())
+        assert a == b, name
+    labels = {r["pred_code"] for r in q["score_companies"](spark, SF_SMALL).collect()}
+    divisions = {r[0] for r in TX.flatten(FX.dictionary(spark, SF_SMALL)).select("division").distinct().collect()}
+    assert labels <= divisions
