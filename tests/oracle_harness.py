@@ -86,6 +86,7 @@ def compare(spark, fn, sql: str, sf_dir: str, con=None) -> dict:
     }
     out["values_match"] = out["cols_match"] and _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
     out["ok"] = out["values_match"] and out["types_match"] and len(s_rows) == len(d_rows)
+    out["plan"] = sdf._jdf.queryExecution().executedPlan().toString()
     if not out["values_match"] and out["cols_match"]:
         a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
         sa, sb = set(a), set(b)
