@@ -135,7 +135,7 @@ def judge_classifier_report(spark, sf_dir):
     truth = FX.truth(spark, sf_dir)
     ct = FX.company_text(spark, sf_dir, {"t": X.preprocess_domain("text")})
     reports = truth.join(ct.select("doc_id", "t"), truth.uen == ct.doc_id.cast("string"), "inner")
-    docs = reports.select("doc_id", "t")
+    docs = reports.select("doc_id", "t").checkpoint(eager=True)  # feeds weights and word positions
     condensed = TF.condense_text(docs, "doc_id", "t", TF.tfidf(docs, "doc_id", "t"))
     declared = reports.select("doc_id", "uen", "company",
                               code_prefix("ssic_code", 2).alias("primary_code"),
