@@ -126,3 +126,17 @@ def first_tag_text(c, tag: str, css_class: str | None = None, must_contain: str
     if must_contain:
         items = F.filter(items, lambda x: x.contains(must_contain))
     return F.coalesce(F.get(items, 0), F.lit(""))
+
+
+# Where the profile fields sit on a company profile page
+# (tag, class attribute, required text).
+PROFILE_FIELDS = {
+    "category": ("div", "org-top-card-summary-info-list__info-item", None),
+    "website": ("span", "link-without-visited-state", "http"),
+    "text": ("p", "break-words white-space-pre-wrap t-black--light text-body-medium", None),
+}
+
+
+def profile_fields(c, fields=PROFILE_FIELDS) -> dict[str, Column]:
+    """Category, website and description of a profile page ('' when absent)."""
+    return {name: first_tag_text(c, tag, cls, must) for name, (tag, cls, must) in fields.items()}

@@ -135,3 +135,15 @@ def test_first_tag_text(spark):
         H.first_tag_text("x", "h1").alias("none"),
     ).first()
     assert (r["cat"], r["site"], r["none"]) == ("Cat & Co", "http://site.example", "")
+
+
+def test_profile_fields_with_original_classes(spark):
+    page = ('<div class="org-top-card-summary-info-list__info-item">\n  IT Services  </div>'
+            '<span class="link-without-visited-state">Follow</span>'
+            '<span class="link-without-visited-state"> https://acme.example </span>'
+            '<p class="break-words white-space-pre-wrap t-black--light text-body-medium">We build &amp; run systems.</p>')
+    df = spark.createDataFrame([(page,), ("<html></html>",)], "x string")
+    rows = df.select(*[v.alias(k) for k, v in H.profile_fields("x").items()]).collect()
+    assert (rows[0]["category"], rows[0]["website"], rows[0]["text"]) == ("IT Services", "https://acme.example",
+                                                                         "We build & run systems.")
+    assert (rows[1]["category"], rows[1]["website"], rows[1]["text"]) == ("", "", "")
