@@ -28,7 +28,7 @@ from pyspark.ml.feature import (
     Word2Vec,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions.text import STOP_WORDS
@@ -72,16 +72,21 @@ def class_labels(model: PipelineModel) -> list[str]:
 
 def score_top_n(model: PipelineModel, df: DataFrame, entity: str, text_col: str, top_n: int,
                 keep: list[str] | None = None, out_col: str = "pred_code") -> DataFrame:
-    """Per entity: the top_n classes with probability and 1-based rank."""
+    """Per entity: the top_n classes with probability and 1-based rank.
+
+    The top-N is taken inside each row: the probability array is sorted as
+    (-probability, class index) structs and sliced, and only the kept N are
+    exploded. No row per class, no window, no shuffle."""
     keep = keep or []
     # the label indexer is a training stage: scoring rows have no label
     scorer = PipelineModel([st for st in model.stages if st.__class__.__name__ != "StringIndexerModel"])
     in_col = model.stages[0].getInputCol()  # the text column the model was fitted on
     pred = scorer.transform(df.select(entity, F.col(text_col).alias(in_col), *keep))
-    probs = pred.select(entity, *keep, F.posexplode(vector_to_array("probability")).alias("_idx", "score"))
-    w = Window.partitionBy(entity).orderBy(F.col("score").desc(), F.col("_idx"))
-    top = probs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    top = top.withColumn("_idx", F.col("_idx").cast("double"))
+    ranked = F.slice(F.sort_array(F.transform(
+        vector_to_array("probability"), lambda p, i: F.struct((-p).alias("neg"), i.alias("idx")))), 1, top_n)
+    top = pred.select(entity, *keep, F.posexplode(ranked).alias("_pos", "_s"))
+    top = top.select(entity, *keep, (F.col("_pos") + 1).alias("rank"), (-F.col("_s.neg")).alias("score"),
+                     F.col("_s.idx").cast("double").alias("_idx"))
     top = IndexToString(inputCol="_idx", outputCol=out_col, labels=class_labels(model)).transform(top)
     return top.select(entity, *keep, out_col, F.round("score", 6).alias("score"), "rank")
 

@@ -3,14 +3,13 @@
 The original has no stream; these run the same stateless column expressions
 on a file stream of stored pages (new files are picked up incrementally), with
 the checkpoint under the shared folder so a restarted query resumes where it
-stopped. Per-entity top-N scoring needs a window, which streams do not
-support, so it runs per micro-batch in ``foreachBatch``.
+stopped. Top-N scoring is row-local (the class probabilities are sorted inside
+each row), so a fitted classifier scores a stream directly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codelens.functions import html as H
@@ -38,15 +37,12 @@ def start_page_text(spark: SparkSession, source_dir: str, sink_dir: str, checkpo
 
 def start_scoring(spark: SparkSession, stream: DataFrame, model, entity: str, text_col: str, top_n: int,
                   sink_dir: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Score each micro-batch with a fitted classifier and append the top-N
-    codes per entity to parquet."""
+    """Score a stream with a fitted classifier and append the top-N codes per
+    entity to parquet (exactly-once through the checkpoint)."""
     from codelens.operators.ml import score_top_n
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        top = score_top_n(model, batch, entity, text_col, top_n).withColumn("batch_id", F.lit(batch_id))
-        top.write.mode("append").parquet(sink_dir)
-
     ckpt = checkpoint or shared_path(spark, "streams/scoring")
-    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    top = score_top_n(model, stream, entity, text_col, top_n)
+    w = top.writeStream.format("parquet").option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return w.start(sink_dir)
