@@ -125,7 +125,7 @@ def failed_in_top_n(spark, sf_dir):
 @register("company_view", with_views(["vectors"], *_judged_sql(exp_score_sql), body=
     "SELECT * FROM judged WHERE primary_code = 7"))
 def company_view(spark, sf_dir):
-    """Rows of one declared code (the reference looks at one company); the
+    """Rows of one declared code (the original looks at one company); the
     predicate is applied to the held-out entities before the search."""
     return P.judge_report(spark, sf_dir, entity_filter=F.col("primary_code") == 7)
 
