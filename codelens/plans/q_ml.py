@@ -146,3 +146,17 @@ def judge_classifier_report(spark, sf_dir):
     judged = J.judge_entities(ranked, "uen", "pred_code", "rank", "primary_code", "secondary_code",
                               top_n_predictions=TOP_N_PREDICTIONS, n=3)
     return judged
+
+
+@register("classifier_hit_rate")
+def classifier_hit_rate(spark, sf_dir):
+    """% of companies whose declared Division is among the classifier's top 3
+    (held out: the classifier is fitted on the dictionary only)."""
+    from codelens.functions.codes import code_prefix
+
+    docs = _company_docs(spark, sf_dir)
+    model = fit_classifier(spark, sf_dir, "Division")
+    top = ML.score_top_n(model, docs, "doc_id", "text", TOP_N, keep=["ssic_code"])
+    per = top.groupBy("doc_id").agg(
+        F.max((F.col("pred_code") == code_prefix("ssic_code", 2)).cast("int")).alias("hit"))
+    return per.agg(F.count(F.lit(1)).alias("n_companies"), F.round(F.avg("hit") * 100, 2).alias("hit_rate"))
