@@ -43,10 +43,13 @@ def train_text_classifier(spark, sf_dir):
 
 @register("score_companies")
 def score_companies(spark, sf_dir):
-    """Top-3 Division codes with probabilities for every company text."""
+    """Top-3 Division codes with probabilities and titles for every company
+    text (titles from the Division table, bounded by the code domain)."""
     model = fit_classifier(spark, sf_dir)
     ct = FX.company_text(spark, sf_dir).select("doc_id", "company", "text")
-    return ML.score_top_n(model, ct, "doc_id", "text", TOP_N, keep=["company"])
+    top = ML.score_top_n(model, ct, "doc_id", "text", TOP_N, keep=["company"])
+    titles = TX.level_table(FX.dictionary(spark, sf_dir), "Division").withColumnRenamed("division", "pred_code")
+    return top.join(F.broadcast(titles), "pred_code", "left")
 
 
 @register("save_load_model")
