@@ -92,6 +92,9 @@ def nearest_neighbours(
     r_payload = list(r_payload or [])
     by = list(by or [])
     spark = query.sparkSession
+    # a row without a vector has no similarity to anything
+    query = query.where(F.col(vec_col).isNotNull())
+    ref = ref.where(F.col(vec_col).isNotNull())
     ref_out = r_id if r_id != q_id else "ref_id"
 
     # Block sizes follow the largest group on each side; both sizes come back

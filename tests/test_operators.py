@@ -153,3 +153,10 @@ def test_seeded_ml_is_repeatable(spark):
     labels = {r["pred_code"] for r in q["score_companies"](spark, SF_SMALL).collect()}
     divisions = {r[0] for r in TX.flatten(FX.dictionary(spark, SF_SMALL)).select("division").distinct().collect()}
     assert labels <= divisions
+
+
+def test_knn_skips_null_vectors(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "qid long, embedding array<double>")
+    r = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [0.0, 1.0])], "rid long, embedding array<double>")
+    out = [(x["qid"], x["rid"]) for x in nearest_neighbours(q, r, 5, "qid", "rid").orderBy("nb_rank").collect()]
+    assert out == [(1, 10), (1, 12)]
