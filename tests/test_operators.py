@@ -160,3 +160,11 @@ def test_knn_skips_null_vectors(spark):
     r = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [0.0, 1.0])], "rid long, embedding array<double>")
     out = [(x["qid"], x["rid"]) for x in nearest_neighbours(q, r, 5, "qid", "rid").orderBy("nb_rank").collect()]
     assert out == [(1, 10), (1, 12)]
+
+
+def test_tfidf_shuffle_path_equals_broadcast_path(spark, monkeypatch):
+    docs = FX.company_text(spark, SF_SMALL).select("doc_id", F.col("text").alias("t"))
+    small = sorted(tuple(r) for r in TF.tfidf(docs, "doc_id", "t").collect())
+    monkeypatch.setattr(TF, "BROADCAST_MAX_TERMS", 0)  # vocabulary "too large": shuffle join by term
+    df = TF.tfidf(docs, "doc_id", "t")
+    assert sorted(tuple(r) for r in df.collect()) == small
