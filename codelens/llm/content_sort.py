@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from codelens.llm.common import shuffle_width, stored, text_or_empty
 
 SALTS = 64
+#: Characters of a text in a splitter.
+LEAD = 32
 
 
 def exact_groups(
@@ -15,11 +17,14 @@ def exact_groups(
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    ``repartitionByRange`` samples splitters over (text, salt) and deals the
-    normalised texts out by range; each task sorts its range on disk when
-    memory runs out, so equal texts are neighbours, and the window compares
-    each text with its neighbour in full. ``salt`` comes from the id: a text
-    that a third of all rows share is cut into ``salts`` runs in as many tasks.
+    ``repartitionByRange`` samples splitters and deals the normalised texts out
+    by range; each task sorts its range, on disk when memory runs out, so equal
+    texts are neighbours, and the window compares each text with its neighbour
+    in full. A splitter is the first ``LEAD`` characters, then a hash of the
+    whole text for those that begin alike, then ``salt``: the sample that the
+    driver sees is bounded however long texts are. ``salt`` comes from the id:
+    a text that a third of all rows share is cut into ``salts`` runs in as many
+    tasks.
     Every run leaves one row (its best id and its length), and runs of one text
     are joined by the SHA-256 of the text, so that the text is shuffled once.
 
@@ -36,12 +41,16 @@ def exact_groups(
     if normalise is not None:
         text = normalise(text)
     rows = docs.select(
-        F.col(id_col).alias("__id"), text.alias("__text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("__salt")
+        F.col(id_col).alias("__id"),
+        text.alias("__text"),
+        F.substring(text, 1, LEAD).alias("__lead"),
+        F.xxhash64(text).alias("__hash"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("__salt"),
     )
     spark = docs.sparkSession
-    ranged = rows.repartitionByRange(shuffle_width(spark), "__text", "__salt")
+    ranged = rows.repartitionByRange(shuffle_width(spark), "__lead", "__hash", "__salt")
     order = F.col("__id").desc_nulls_last() if keep == "largest" else F.col("__id").asc_nulls_last()
-    run = Window.partitionBy("__text", "__salt").orderBy(order)
+    run = Window.partitionBy("__lead", "__hash", "__salt", "__text").orderBy(order)
     marked = stored(
         ranged.select(
             "__id", F.row_number().over(run).alias("__place"), F.sha2(F.col("__text"), 256).alias("text_sha256")

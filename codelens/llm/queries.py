@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import content_sort, mixing, perspectives
+from codelens.llm import content_sort, mixing, packing, perspectives
 from codelens.llm.common import documents
 
 
@@ -18,6 +18,14 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, read on the driver and shipped to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -27,10 +35,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS, mixing.FRACTION, mixing.MAX_EPOCHS, mixing.SEED)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_json(), end_id=1).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_packing": op9_packing,
 }
 
 ORACLE: dict[str, str] = {
