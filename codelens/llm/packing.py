@@ -124,7 +124,7 @@ def pack(
     mean_size = n_tokens / max(n_docs, 1)
     shards = max(1, -(-int(n_tokens) // shard_tokens))
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         group = group.sort_by([("id", "ascending"), ("row", "ascending")])
         sizes = group["n_tokens"].to_numpy().astype(np.int64)
         blobs = group["ids"].to_pylist()
