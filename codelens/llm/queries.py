@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, mixing, packing, perspectives
+from codelens.llm import content_sort, mixing, packing, perspectives, toxicity
 from codelens.llm.common import documents
 
 
@@ -18,6 +19,21 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn=~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    threshold = model.threshold(F.col("lang"))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        threshold.alias("lang_threshold"),
+        (F.col("score") >= threshold).alias("rejected"),
+    )
+
+
 def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     """A public tokenizer's file, read on the driver and shipped to the tasks."""
     import public_tokenizers
@@ -41,6 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
