@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, mixing, packing, perspectives, toxicity
+from codelens.llm import content_sort, html_blocks, mixing, packing, perspectives, toxicity
 from codelens.llm.common import documents
 
 
@@ -19,6 +19,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_blocks.extract(pages, html_blocks.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn=~toxicity.held_out(F.col("doc_id")))
@@ -57,6 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
+    "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
