@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.common import stored
-from codelens.llm.tokens import encoded
+from codelens.llm.tokens import encoded, id_type
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
@@ -115,7 +115,8 @@ def pack(
     spark = docs.sparkSession
     table = encoded(docs, tokenizer_json, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     table = stored(table.select(F.col(id_col).alias("id"), "row", "n_tokens", "ids"), "packing-tokens")
-    vocabulary = table.select("n_tokens", "ids").mapInArrow(_document_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    stored_as = id_type(tokenizer_json, end_id)
+    vocabulary = table.select("n_tokens", "ids").mapInArrow(lambda b: _document_frequencies(b, stored_as), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     frequency = vocabulary.toPandas()
     n_docs, n_tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     df = np.zeros(int(frequency["term"].max()) + 1 if len(frequency) else 1)
@@ -128,7 +129,7 @@ def pack(
         group = group.sort_by([("id", "ascending"), ("row", "ascending")])
         sizes = group["n_tokens"].to_numpy().astype(np.int64)
         blobs = group["ids"].to_pylist()
-        ids = np.frombuffer(b"".join(blobs), "<u4")
+        ids = np.frombuffer(b"".join(blobs), stored_as).astype("<u4")
         edges = np.concatenate(([0], np.cumsum(sizes)))
         pieces = np.array(pack_shard(ids, sizes, idf.value, mean_size, window), np.int64).reshape(-1, 5)
         doc, start, length, sequence, offset = pieces.T
@@ -150,14 +151,14 @@ def pack(
     return packed.withColumnRenamed("id", id_col)
 
 
-def _document_frequencies(batches):
+def _document_frequencies(batches, stored_as):
     counts = np.zeros(0, np.int64)
     for batch in batches:
         blobs = batch.column(batch.schema.get_field_index("ids"))
         sizes = batch.column(batch.schema.get_field_index("n_tokens")).to_numpy()
         for first in range(0, len(sizes), 256):
             some = sizes[first : first + 256]
-            ids = np.frombuffer(b"".join(blobs.slice(first, 256).to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(blobs.slice(first, 256).to_pylist()), stored_as)
             doc = np.repeat(np.arange(len(some), dtype=np.uint64), some)
             terms = (np.unique((doc << np.uint64(32)) | ids) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             found = np.bincount(terms, minlength=len(counts))

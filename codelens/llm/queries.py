@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, html_blocks, mixing, packing, perspectives, toxicity
+from codelens.llm import content_sort, html_blocks, lm_scoring, mixing, packing, perspectives, toxicity
 from codelens.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.pseudo_likelihood(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -62,6 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,

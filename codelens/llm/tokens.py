@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 from codelens.llm.common import worker_state
 
 #: Words whose ids a worker remembers before it starts afresh (memory only).
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Bytes of text that are handled at once inside an Arrow batch (memory only).
 SLICE_BYTES = 4 << 20
 #: Letters up to here stay one letter under lower-casing and composition, but for these.
-_PLAIN_BELOW, _NOT_PLAIN = 0x250, {0x130, 0x149}
+_PLAIN_BELOW, _NOT_PLAIN = chr(0x250), {chr(0x130), chr(0x149)}
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -52,12 +53,11 @@ class WordEncoder:
         if len(self.index) > REMEMBERED:
             self.clear()
         words = [t.split() for t in texts]
-        index = self.index
-        new = {w for ws in words for w in ws if w not in index}
+        new = set(chain.from_iterable(words)).difference(self.index)
         if new:
             self._learn(new)
         per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((index[w] for ws in words for w in ws), np.int64, int(per_text.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
         size = self.size[at]
         ids = self._gather(at, size)
         edges = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
@@ -73,57 +73,54 @@ class WordEncoder:
         plain, tailed, other = [], [], []
         for w in new:
             stem = w.rstrip(_PUNCTUATION)
-            if stem and self._is_plain(stem):
-                (plain if len(stem) == len(w) else tailed).append(w if len(stem) == len(w) else (w, stem, w[len(stem):]))
-            else:
+            if not stem or not _is_plain(stem):
                 other.append(w)
-        missing = {x for _, stem, tail in tailed for x in (stem, tail)} - self.index.keys() - new
-        more_plain = [w for w in missing if self._is_plain(w)]
-        other += [w for w in missing if not self._is_plain(w)]
-        plain += more_plain
+            elif len(stem) == len(w):
+                plain.append(w)
+            else:
+                tailed.append((w, stem, w[len(stem):]))
+        stems, tails = {x[1] for x in tailed}, {x[2] for x in tailed}
+        plain += (stems - self.index.keys()).difference(plain)
+        other += (tails - self.index.keys()).difference(other)
         for i in range(0, len(plain), 512):
             self._learn_plain(plain[i : i + 512])
         self._learn_each(other)
-        for w, stem, tail in tailed:
-            self._put(w, np.concatenate((self._ids(stem), self._ids(tail))))
-
-    @staticmethod
-    def _is_plain(word: bytes) -> bool:
-        if word.isalpha():
-            return True
-        s = word.decode()
-        return s.isalpha() and all(ord(c) < _PLAIN_BELOW and ord(c) not in _NOT_PLAIN for c in s)
+        if tailed:
+            at = np.array([self.index[x] for _, stem, tail in tailed for x in (stem, tail)])
+            size = self.size[at]
+            self._put([x[0] for x in tailed], self._gather(at, size), size.reshape(-1, 2).sum(1))
 
     def _learn_plain(self, words: list[bytes]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            self._put(words, ids, np.diff(ends, prepend=0))
+        else:
             self._learn_each(words)
-            return
-        begin = 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self._put(w, ids[begin:end])
-            begin = end
 
     def _learn_each(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self._put(w, np.array(e.ids, np.uint32))
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        i = self.index[word]
-        return self.flat[self.begin[i] : self.begin[i] + self.size[i]]
-
-    def _put(self, word: bytes, ids: np.ndarray) -> None:
-        i, n = len(self.index), len(ids)
-        if word in self.index:
-            return
-        if i == len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * i), np.resize(self.size, 2 * i)
-        while self.used + n > len(self.flat):
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self._put(words, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.index), len(words)
+        while first + n > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.index[word], self.begin[i], self.size[i] = i, self.used, n
-        self.used += n
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.index.update(zip(words, range(first, first + n), strict=True))
+        self.used += len(ids)
+
+
+def _is_plain(word: bytes) -> bool:
+    """Letters that stay one letter each under lower-casing and composition."""
+    if word.isalpha():
+        return True
+    s = word.decode()
+    return s.isalpha() and max(s) < _PLAIN_BELOW and not _NOT_PLAIN.intersection(s)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -141,11 +138,20 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, lis
         yield first, run
 
 
+def id_type(tokenizer_json: str, end_id: int | None) -> str:
+    """Little-endian unsigned 16-bit if all ids fit, else 32-bit."""
+    from tokenizers import Tokenizer
+
+    most = max([*Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values(), end_id or 0])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids (little-endian unsigned 32-bit) of every row's whole text, ``end_id`` last."""
+    """id, n_tokens, ids (binary, of ``id_type``) of every row's whole text, ``end_id`` last."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(tokenizer_json)
-    tail = np.array([] if end_id is None else [end_id], np.uint32)
+    kind = id_type(tokenizer_json, end_id)
+    tail = np.array([] if end_id is None else [end_id], kind)
 
     def run(batches):
         state = worker_state()
@@ -156,11 +162,11 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None, id_col: st
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 ids, sizes = encoder.encode(texts)
-                parts = np.split(ids, np.cumsum(sizes)[:-1])
-                blobs = [np.concatenate((p, tail)).astype("<u4").tobytes() for p in parts]
+                parts = np.split(ids.astype(kind), np.cumsum(sizes)[:-1])
+                blobs = [p.tobytes() + tail.tobytes() for p in parts]
                 counts = pa.array(sizes + len(tail), pa.int64())
                 keys = batch.column(0).slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([keys, counts, pa.array(blobs, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids binary")
+    key_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {key_type}, n_tokens long, ids binary")
