@@ -22,15 +22,15 @@ from codelens.llm.tokens import slices
 class Settings:
     """``classes`` x ``per_class`` words have rows of their own; ``masked`` is the share of places learned from."""
 
-    classes: int = 64
+    classes: int = 32
     per_class: int = 64
     others: int = 256
-    reach: int = 3
+    reach: int = 2
     size: int = 16
-    hidden: int = 32
-    masked: float = 0.1
+    hidden: int = 24
+    masked: float = 0.06
     rounds: int = 3
-    batch: int = 1024
+    batch: int = 512
     rate: float = 0.1
     seed: int = 3
 
@@ -115,18 +115,21 @@ class Network:
         by_class = np.argsort(place, kind="stable")
         context, place = context[by_class], place[by_class]
         found = np.empty(len(target), np.float32)
+        # |h| is at most 1: sums of absolute weights bound the logits
+        safe = max((abs(v["wc"]).sum(0) + abs(v["bc"])).max(), (abs(v["ww"]).sum(1) + abs(v["bw"])).max()) < 80
         for first in range(0, len(target), 4096):
             t = place[first : first + 4096]
             n = len(t)
-            h = v["embedding"][context[first : first + n]].reshape(n, -1) @ v["w"]
+            h = v["embedding"].take(context[first : first + n].ravel(), axis=0).reshape(n, -1) @ v["w"]
             h += v["b"]
             np.tanh(h, out=h)
             k, j = t // s.per_class, t % s.per_class
-            score = _log_softmax_at(h @ v["wc"] + v["bc"], k)
+            score = _log_softmax_at(h @ v["wc"] + v["bc"], k, safe)
+            edges = np.searchsorted(k, np.arange(s.classes + 1))
             for q in range(int(k[0]), int(k[-1]) + 1):  # sorted: the rows of a class are next to each other
-                a, b = np.searchsorted(k, (q, q + 1))
+                a, b = edges[q], edges[q + 1]
                 if a < b:
-                    score[a:b] += _log_softmax_at(h[a:b] @ v["ww"][q] + v["bw"][q], j[a:b])
+                    score[a:b] += _log_softmax_at(h[a:b] @ v["ww"][q] + v["bw"][q], j[a:b], safe)
             found[first : first + n] = score
         out = np.empty(len(target))
         out[by_class] = found
@@ -190,8 +193,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(1)[:, None]
+def _log_softmax_at(x: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """Of each row, at one place; ``safe``: no exponential can overflow. Overwrites x."""
+    if not safe:
+        x -= x.max(1)[:, None]
     chosen = x[np.arange(len(x)), at]
     return chosen - np.log(np.exp(x, out=x).sum(1))
 
