@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, html_blocks, lm_scoring, mixing, packing, perspectives, toxicity
+from codelens.llm import content_sort, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, toxicity
 from codelens.llm.common import documents
 
 
@@ -19,6 +19,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.pseudo_likelihood(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+NEAR = minhash.Settings(words=4)
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), NEAR)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -67,6 +74,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_minhash_near_dedup": minhash.oracle_sql(NEAR.words, NEAR.percent),
     "op3_chat_formatting": perspectives.ORACLE_SQL,
     "op7_exact_dedup": content_sort.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
