@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, toxicity
+from codelens.llm import content_sort, embed_dedup, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, toxicity
 from codelens.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = html_blocks.extract(pages, html_blocks.fit(pages))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_minhash_near_dedup": minhash.oracle_sql(NEAR.words, NEAR.percent),
     "op3_chat_formatting": perspectives.ORACLE_SQL,
+    "op4_embedding_near_dedup": embed_dedup.oracle_sql(embed_dedup.Settings().cosine),
     "op7_exact_dedup": content_sort.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }
