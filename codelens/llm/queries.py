@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, embed_dedup, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, toxicity
+from codelens.llm import content_sort, embed_dedup, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, sanitise, toxicity
 from codelens.llm.common import documents
 
 
@@ -76,6 +76,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_json(), end_id=1).drop("ids")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
