@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,40 +36,68 @@ def exact_groups(
     its text one is kept. A null id stays only if its group has no other.
     Other columns are ignored. An empty table gives no rows.
     """
+    best = _best(keep)
+    marked = stored(
+        _runs(docs, keep, normalise, salts, id_col, text_col, payload=()).select("__id", "__place", "text_sha256"), "exact"
+    )
+    groups = marked.groupBy("text_sha256").agg(best("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    several = stored(groups.where("group_size > 1"), "exact-groups")
+    out = marked.join(several, "text_sha256", "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
+    return out.select(
+        F.col("__id").alias(id_col),
+        keep_id.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("__id").eqNullSafe(keep_id) & (F.col("__place") == 1)).alias("kept"),
+        "text_sha256",
+    )
+
+
+def _best(keep: str):
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
-    best = F.max if keep == "largest" else F.min
+    return F.max if keep == "largest" else F.min
+
+
+def _runs(docs: DataFrame, keep: str, normalise, salts: int, id_col: str, text_col: str, payload: Sequence[str]) -> DataFrame:
+    """Every row with its place in its run of equal texts (1: the best id), and ``payload`` as the struct ``__row``."""
     text = text_or_empty(text_col)
     if normalise is not None:
         text = normalise(text)
+    carried = [F.struct(*[F.col(c) for c in payload]).alias("__row")] if payload else []
     rows = docs.select(
         F.col(id_col).alias("__id"),
         text.alias("__text"),
         F.substring(text, 1, LEAD).alias("__lead"),
         F.xxhash64(text).alias("__hash"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("__salt"),
+        *carried,
     )
-    spark = docs.sparkSession
-    ranged = rows.repartitionByRange(shuffle_width(spark), "__lead", "__hash", "__salt")
+    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "__lead", "__hash", "__salt")
     order = F.col("__id").desc_nulls_last() if keep == "largest" else F.col("__id").asc_nulls_last()
     run = Window.partitionBy("__lead", "__hash", "__salt", "__text").orderBy(order)
-    marked = stored(
-        ranged.select(
-            "__id", F.row_number().over(run).alias("__place"), F.sha2(F.col("__text"), 256).alias("text_sha256")
-        ),
-        "exact",
-    )
-    groups = marked.groupBy("text_sha256").agg(best("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = stored(groups.where("group_size > 1"), "exact-groups")
-    out = marked.join(several, "text_sha256", "left")
-    keep_id = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
-    return out.select(
-        F.col("__id").alias(id_col),
-        keep_id.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("__id").eqNullSafe(keep_id) & (F.col("__place") == 1)).alias("kept"),
-        "text_sha256",
+    columns = ["__id", "__salt", *(["__row"] if payload else [])]
+    return ranged.select(*columns, F.row_number().over(run).alias("__place"), F.sha2(F.col("__text"), 256).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, keep: str = "largest", normalise=None, salts: int = SALTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts (see ``exact_groups``).
+
+    Rows travel through the one sort by content; the runs of a text that was
+    dealt to several tasks leave a head each, and all heads but the best are
+    taken out by their hash and salt.
+    """
+    best = _best(keep)
+    heads = _runs(docs, keep, normalise, salts, id_col, text_col, payload=docs.columns).where("__place = 1")
+    heads = stored(heads, "exact-heads")
+    # a null id is worse than any: it comes first under max, and is skipped by min only if there is another
+    rank = F.struct(F.col("__id").isNotNull().alias("known"), F.col("__id"), F.col("__salt")) if keep == "largest" else F.struct(
+        F.col("__id").isNull().alias("unknown"), F.col("__id"), F.col("__salt")
     )
+    groups = heads.groupBy("text_sha256").agg(best(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = stored(groups.select("text_sha256", F.col("best.__salt").alias("__kept")), "exact-several")
+    beaten = heads.select("text_sha256", "__salt").join(groups, "text_sha256").where("__salt <> __kept").select("text_sha256", "__salt")
+    return heads.join(stored(beaten, "exact-beaten"), ["text_sha256", "__salt"], "left_anti").select("__row.*")
 
 
 ORACLE_SQL = """

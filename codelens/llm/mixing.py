@@ -82,6 +82,7 @@ def _share(children: DataFrame, above: Sequence[str], level: str) -> DataFrame:
 def mix(
     docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, float]], fraction: float = 0.5,
     max_epochs: int = 4, seed: int = 17, runs: int = RUNS, id_col: str = "doc_id", tokens: Column | None = None,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """Documents chosen to fill the budgets: levels, id, tokens, epoch, n_epochs, leaf_tokens, budget.
 
@@ -96,6 +97,8 @@ def mix(
     Token sums per run say in which run the prefix ends; only the documents of
     that run are sorted, so a leaf with a third of all rows is never one task.
     Runs need no tuning for results: they only bound what is sorted together.
+    With ``whole_rows`` the rows of ``docs`` come back instead, as often as they
+    are chosen; their texts are not shuffled, but for those of the last runs.
 
     Nulls in a level are a group of their own; null and empty texts have no
     tokens and come with any epoch that is taken whole, and in a prefix if they
@@ -103,10 +106,8 @@ def mix(
     separate rows. Extra columns are ignored. An empty table gives no rows.
     """
     count = tokens if tokens is not None else word_count(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(
-        *[F.col(c) for c in levels], F.col(id_col).alias("__id"), count.cast("long").alias("tokens")
-    )
-    rows = stored(rows, "mix-rows")
+    light = [*[F.col(c) for c in levels], F.col(id_col).alias("__id"), count.cast("long").alias("tokens")]
+    rows = stored(docs.select(*light), "mix-rows")
     leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     leaves = stored(leaves, "mix-leaves")
     total = leaves.agg((F.sum("tokens") * F.lit(float(fraction))).alias("t")).first()[0] or 0.0
@@ -118,9 +119,13 @@ def mix(
     plan = plan.withColumn("whole", whole.cast("long"))
     plan = plan.withColumn("rest", F.floor(F.col("budget") - F.col("whole") * F.col("leaf_tokens")).cast("long"))
     plan = stored(plan, "mix-plan").select(*[F.col(c).alias(f"__{c}") for c in levels], "leaf_tokens", "budget", "whole", "rest")
-    placed = rows.join(plan, null_safe).drop(*[f"__{c}" for c in levels])
-    placed = placed.withColumn("draw", seeded_draw(F.col("__id"), seed, F.col("whole")))
-    placed = placed.withColumn("run", F.floor(F.col("draw") * runs / (1 << 28)).cast("int"))
+
+    def drawn(frame: DataFrame) -> DataFrame:
+        out = frame.join(plan, null_safe).drop(*[f"__{c}" for c in levels])
+        out = out.withColumn("draw", seeded_draw(F.col("__id"), seed, F.col("whole")))
+        return out.withColumn("run", F.floor(F.col("draw") * runs / (1 << 28)).cast("int"))
+
+    placed = drawn(rows)
     sums = placed.groupBy(*levels, "run").agg(
         F.sum("tokens").alias("run_tokens"), F.first("rest").alias("rest")
     )
@@ -129,6 +134,8 @@ def mix(
     ends = sums.where("before < rest and before + run_tokens >= rest")
     ends = ends.select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("run").alias("end_run"), F.col("before").alias("end_before"))
     ends = stored(ends, "mix-ends")
+    if whole_rows:
+        placed = drawn(docs.select(*light, F.struct(*[F.col(c) for c in docs.columns]).alias("__row")))
     named = placed.join(ends, null_safe, "left").drop(*[f"__{c}" for c in levels])
     inside = Window.partitionBy(*levels, "run").orderBy("draw", "__id").rowsBetween(Window.unboundedPreceding, -1)
     edge = named.where("run = end_run").withColumn(
@@ -137,12 +144,13 @@ def mix(
     prefix = named.where("run < end_run").drop("end_run", "end_before").union(
         edge.where("taken < rest").select(*[c for c in named.columns if c not in ("end_run", "end_before")])
     )
-    cols = [*levels, F.col("__id").alias(id_col), "tokens"]
+    cols = [F.col("__row")] if whole_rows else [*levels, F.col("__id").alias(id_col), "tokens"]
     epochs = placed.where("whole > 0").select(
         *cols, F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "leaf_tokens", "budget"
     )
     part = prefix.select(*cols, F.col("whole").alias("epoch"), "leaf_tokens", "budget")
-    return epochs.union(part)
+    chosen = epochs.union(part)
+    return chosen.select("__row.*") if whole_rows else chosen
 
 
 def domain() -> Column:
@@ -157,7 +165,7 @@ WEIGHTS = {
     "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0},
     "source": {},
 }
-FRACTION, MAX_EPOCHS, SEED = 0.5, 4, 17
+FRACTION, MAX_EPOCHS, SEED = 1.0, 4, 17
 
 
 def _oracle() -> str:
