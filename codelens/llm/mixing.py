@@ -39,22 +39,27 @@ def tree_budgets(
     of its level lacks weighs 1; a weight of 0 or less gives nothing.
     Every sum is over nodes, never over documents.
     """
-    nodes = leaves.select(*levels, (F.col("tokens") * max_epochs).cast("double").alias("room"))
+    closed = F.lit(False)
+    for level in levels:
+        closed |= _weight(level, weights) <= 0
+    nodes = leaves.select(*levels, F.when(closed, 0.0).otherwise((F.col("tokens") * max_epochs).cast("double")).alias("room"))
     parent, above = None, []
     for i, level in enumerate(levels):
         keys = list(levels[: i + 1])
-        table = {str(k): float(v) for k, v in weights.get(level, {}).items()}
-        weight = F.lit(1.0)
-        for value, w in table.items():
-            weight = F.when(F.col(level).cast("string") == value, F.lit(w)).otherwise(weight)
-        children = nodes.groupBy(*keys).agg(F.sum("room").alias("room")).withColumn("weight", weight)
-        children = children.withColumn("room", F.when(F.col("weight") > 0, F.col("room")).otherwise(0.0))
+        children = nodes.groupBy(*keys).agg(F.sum("room").alias("room")).withColumn("weight", _weight(level, weights))
         joined = _join_null_safe(children, parent, above) if above else children.withColumn("budget", F.lit(float(total)))
         parent = _share(joined, above, level).select(*keys, "budget")
         above = keys
     return parent
 
 
+def _weight(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
+    out = F.lit(1.0)
+    for value, w in weights.get(level, {}).items():
+        out = F.when(F.col(level).cast("string") == str(value), F.lit(float(w))).otherwise(out)
+    return out
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
