@@ -1,53 +1,88 @@
 """HTML and URL column expressions: regex chains instead of a parser.
 
-Contract (checked against SQL): script and style elements go first (a page may
-hold '</p>' inside a script), then comments and the doctype, then every tag
-becomes a space; space runs collapse; a fixed set of entities is decoded with
-'&amp;' last; '\\n', '>' and '|' are removed (which joins neighbouring words,
-as the original does); the result is stripped and empty text becomes null.
-Nested or broken markup beyond this is a documented limit.
+Contract (checked against SQL and against hand-made pages): script and style
+elements go first, up to the end of the page if they are never closed (a page
+may hold '</p>' inside a script), then comments and declarations; every tag
+becomes a space, where a quoted attribute may hold '>'; space runs collapse to
+one space (a choice of this library: the original keeps them); all named,
+decimal and hexadecimal entities that end in ';' are decoded, once; '\\n', '>'
+and '|' are removed (which joins neighbouring words, as the original does); the
+result is stripped and empty text becomes null.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codelens.functions.text import strip_ws
 
-# Entities decoded, in this order ('&amp;' last).
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&nbsp;", " "),
-    ("&#39;", "'"),
-    ("&quot;", '"'),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&amp;", "&"),
-]
+ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def named_entities() -> dict[str, str]:
+    """'&amp;' -> '&' and so on: the HTML standard's list (from the standard
+    library), frequent names first, and the numbers that stand for Windows-1252."""
+    first = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;"]
+    names = first + sorted(n for n in html5 if n.endswith(";") and n not in first)
+    out = {f"&{n}": html5[n] for n in names}
+    for code in range(0x80, 0xA0):
+        try:
+            out[f"&#{code};"] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
 # Strings removed from extracted text.
 REMOVE_STRINGS = ["\n", ">", "|"]
 # Keywords that mark an "about the company" link.
 LINK_KEYWORDS = ["about", "profile"]
 
-SCRIPT_RE = r"(?is)<script\b.*?</script\s*>"
-STYLE_RE = r"(?is)<style\b.*?</style\s*>"
+SCRIPT_RE = r"(?is)<script\b.*?(?:</script\s*>|\z)"
+STYLE_RE = r"(?is)<style\b.*?(?:</style\s*>|\z)"
 COMMENT_RE = r"(?s)<!--.*?-->"
-DOCTYPE_RE = r"(?i)<!doctype[^>]*>"
-TAG_RE = r"(?s)<[^>]*>"
-HREF_RE = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+DOCTYPE_RE = r"(?i)<![a-z][^>]*>"
+# quoted attribute values may hold '>'; the second form is for unbalanced quotes
+TAG_RE = r"""</?[A-Za-z](?:[^>"']+|"[^"]*"|'[^']*')*>|</?[A-Za-z][^>]*>"""
+# other attributes are stepped over whole, so neither data-href nor a value counts
+HREF_RE = (
+    r"""(?i)<a(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?"""
+    r"""\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+)
+QUOTES_RE = r"""^["']|["']$"""
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sql_string(s: str) -> str:
+    return "'" + "".join(c if c.isalnum() or c in "&#;" or ord(c) > 0xFFFF else f"\\u{ord(c):04X}" for c in s) + "'"
+
+
+def _entity_map() -> Column:
+    return F.expr("map(" + ", ".join(f"{_sql_string(k)}, {_sql_string(v)}" for k, v in named_entities().items()) + ")")
+
+
 def decode_entities(c) -> Column:
+    """Named, decimal and hexadecimal entities, each once; unknown names stay."""
     s = _c(c)
-    for ent, ch in ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
+    names = _entity_map()
+
+    def decoded(x: Column) -> Column:
+        digits = F.regexp_replace(x, "[&#xX;]", "")
+        code = F.when(x.rlike("^&#[0-9]"), digits.try_cast("bigint")).when(x.startswith("&#"), F.conv(digits, 16, 10).try_cast("bigint"))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(names[x], F.when(code.isNotNull(), char), x)
+
+    found = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RE), 0), decoded)
+    pieces = F.split(s, ENTITY_RE, -1)
+    joined = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(s.contains("&"), joined).otherwise(s)
 
 
 def html_to_text(c) -> Column:
@@ -63,8 +98,9 @@ def html_to_text(c) -> Column:
 
 
 def extract_links(c) -> Column:
-    """All anchor hrefs (double or single quoted), entity-decoded, in page order."""
-    return F.transform(F.regexp_extract_all(_c(c), F.lit(HREF_RE), 1), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    """All anchor hrefs (quoted or not), entity-decoded, in page order."""
+    found = F.regexp_extract_all(_c(c), F.lit(HREF_RE), 1)
+    return F.transform(found, lambda x: decode_entities(F.regexp_replace(x, QUOTES_RE, "")))
 
 
 def filter_links(links, keywords=LINK_KEYWORDS) -> Column:
@@ -106,19 +142,23 @@ def force_https(c) -> Column:
 
 
 def site_root(c) -> Column:
-    """scheme://host of a URL."""
-    return F.regexp_extract(_c(c), r"^(https?://[^/?#]+)", 1)
+    """scheme://host of a URL; null for a URL without a scheme."""
+    return F.nullif(F.regexp_extract(_c(c), r"^(https?://[^/?#]+)", 1), F.lit(""))
+
+
+def open_tag_re(tag: str, css_class: str | None) -> str:
+    if not css_class:
+        return rf"<{tag}\b[^>]*>"
+    inside = rf"(?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?"
+    return rf"<{tag}\s(?:[^>]*\s)?class\s*=\s*(?:\"{inside}\"|'{inside}')[^>]*>"
 
 
 def first_tag_text(c, tag: str, css_class: str | None = None, must_contain: str | None = None) -> Column:
     """Text of the first ``<tag class="... css_class ...">`` element (tags
-    inside it stripped, stripped of whitespace); '' when absent. With
-    ``must_contain`` the first element whose text contains it."""
-    if css_class:
-        open_re = rf"<{tag}\b[^>]*\bclass\s*=\s*\"[^\"]*\b{css_class}\b[^\"]*\"[^>]*>"
-    else:
-        open_re = rf"<{tag}\b[^>]*>"
-    pat = rf"(?is){open_re}(.*?)</{tag}\s*>"
+    inside it stripped, stripped of whitespace); '' when absent. ``css_class``
+    is matched by whole class names. With ``must_contain`` the first element
+    whose text contains it."""
+    pat = rf"(?is){open_tag_re(tag, css_class)}(.*?)</{tag}\s*>"
     items = F.transform(
         F.regexp_extract_all(_c(c), F.lit(pat), 1),
         lambda x: strip_ws(decode_entities(F.regexp_replace(x, TAG_RE, ""))),

@@ -183,12 +183,18 @@ def junk_sql(c: str, literal_nan: bool = False) -> str:
 
 
 def decode_entities_sql(c: str) -> str:
-    from codelens.functions.html import ENTITIES
+    """The standard list comes from the standard library on both sides; numbers are decoded by DuckDB's chr()."""
+    from codelens.functions.html import ENTITY_RE, named_entities
 
-    s = c
-    for ent, ch in ENTITIES:
-        s = f"replace({s}, {sql_str(ent)}, {sql_str(ch)})"
-    return s
+    names = ", ".join(f"{sql_str(k)}: {sql_str(v)}" for k, v in named_entities().items())
+    number = ("CASE WHEN regexp_matches(e, '^&#[0-9]') THEN TRY_CAST(substr(e, 3, length(e) - 3) AS BIGINT) "
+              "WHEN starts_with(e, '&#') THEN TRY_CAST('0x' || substr(e, 4, length(e) - 4) AS BIGINT) END")
+    valid = "list_filter([{n}], lambda k: k BETWEEN 1 AND 55295 OR k BETWEEN 57344 AND 1114111)[1]".format(n=number)
+    one = (f"coalesce(MAP {{{names}}}[e], CASE WHEN starts_with(e, '&#') THEN chr(CAST(coalesce({valid}, 65533) AS INTEGER)) END, e)")
+    pieces = f"regexp_split_to_array({c}, {sql_str(ENTITY_RE)})"
+    found = f"list_transform(regexp_extract_all({c}, {sql_str(ENTITY_RE)}), lambda e: {one})"
+    return (f"CASE WHEN contains({c}, '&') THEN list_aggregate(list_transform(list_zip({pieces}, {found}), "
+            f"lambda z: coalesce(z[1], '') || coalesce(z[2], '')), 'string_agg', '') ELSE {c} END")
 
 
 def html_to_text_sql(c: str) -> str:
@@ -206,9 +212,10 @@ def html_to_text_sql(c: str) -> str:
 
 
 def extract_links_sql(c: str) -> str:
-    from codelens.functions.html import HREF_RE
+    from codelens.functions.html import HREF_RE, QUOTES_RE
 
-    return f"list_transform(regexp_extract_all({c}, {sql_str(HREF_RE)}, 1), lambda x: replace(x, '&amp;', '&'))"
+    bare = f"list_transform(regexp_extract_all({c}, {sql_str(HREF_RE)}, 1), lambda q: regexp_replace(q, {sql_str(QUOTES_RE)}, '', 'g'))"
+    return f"list_transform({bare}, lambda x: {decode_entities_sql('x')})"
 
 
 def filter_links_sql(arr: str, keywords) -> str:
@@ -217,7 +224,7 @@ def filter_links_sql(arr: str, keywords) -> str:
 
 
 def site_root_sql(c: str) -> str:
-    return f"regexp_extract({c}, '^(https?://[^/?#]+)', 1)"
+    return f"nullif(regexp_extract({c}, '^(https?://[^/?#]+)', 1), '')"
 
 
 def resolve_links_sql(arr: str, site: str) -> str:
@@ -231,13 +238,9 @@ def force_https_sql(c: str) -> str:
 
 
 def first_tag_text_sql(c: str, tag: str, css_class: str | None = None, must_contain: str | None = None) -> str:
-    from codelens.functions.html import TAG_RE
+    from codelens.functions.html import TAG_RE, open_tag_re
 
-    if css_class:
-        open_re = rf"<{tag}\b[^>]*\bclass\s*=\s*\"[^\"]*\b{css_class}\b[^\"]*\"[^>]*>"
-    else:
-        open_re = rf"<{tag}\b[^>]*>"
-    pat = rf"(?is){open_re}(.*?)</{tag}\s*>"
+    pat = rf"(?is){open_tag_re(tag, css_class)}(.*?)</{tag}\s*>"
     items = (f"list_transform(regexp_extract_all({c}, {sql_str(pat)}, 1), "
              f"lambda x: {strip_sql(decode_entities_sql(f'regexp_replace(x, {sql_str(TAG_RE)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})'))})")
     if must_contain:
