@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIM_DECIMALS = 6
+_TEXT_SAFE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType, T.DateType)
 # Similarities are computed for at most this many (query, reference) pairs at
 # a time inside a task (8 bytes each, plus a few temporaries): task memory
 # stays bounded whatever the block sizes are.
@@ -114,12 +115,18 @@ def nearest_neighbours(
     # key columns get fresh names on each side: both sides may come from one
     # DataFrame (trials, folds), and a cogroup on shared attributes is ambiguous
     bq = [f"_by{i}" for i in range(len(by))]
+    # a nullable integer column would become floats in pandas: payload travels as text and is cast back
+    def as_text(df: DataFrame, c: str):
+        return F.col(c).cast("string") if isinstance(df.schema[c].dataType, _TEXT_SAFE) else F.col(c)
+
     q = query.select(
-        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qvec"), *[F.col(c) for c in q_payload]
+        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qvec"),
+        *[as_text(query, c).alias(c) for c in q_payload]
     ).withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(b_q)).cast("int"))
     q = q.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))))
     r = ref.select(
-        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(r_id).alias("_rid"), F.col(vec_col).alias("_rvec"), *[F.col(c) for c in r_payload]
+        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(r_id).alias("_rid"), F.col(vec_col).alias("_rvec"),
+        *[as_text(ref, c).alias(c) for c in r_payload]
     ).withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)).cast("int"))
     r = r.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1))))
 
@@ -131,8 +138,8 @@ def nearest_neighbours(
         T.StructField("_rid", rid_type),
         T.StructField("sim", T.DoubleType()),
     ]
-    fields += [T.StructField(c, query.schema[c].dataType) for c in q_payload]
-    fields += [T.StructField(c, ref.schema[c].dataType) for c in r_payload]
+    fields += [T.StructField(c, q.schema[c].dataType) for c in q_payload]
+    fields += [T.StructField(c, r.schema[c].dataType) for c in r_payload]
     schema = T.StructType(fields)
     names = [f.name for f in fields]
 
@@ -172,16 +179,7 @@ def nearest_neighbours(
         F.col("_rid").alias(ref_out),
         "sim",
         "nb_rank",
-        *q_payload,
-        *r_payload,
+        *[F.col(c).cast(query.schema[c].dataType).alias(c) for c in q_payload],
+        *[F.col(c).cast(ref.schema[c].dataType).alias(c) for c in r_payload],
     )
 
-
-def cosine_join_form(query: DataFrame, ref: DataFrame, q_id: str, r_id: str, vec_col: str = "embedding") -> DataFrame:
-    """All-pairs cosine as a Spark join. Test helper only: it emits every pair."""
-    a = query.select(F.col(q_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("a"))
-    b = ref.select(F.col(r_id).alias("_rid"), F.col(vec_col).cast("array<double>").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    na = F.sqrt(F.aggregate(F.transform("a", lambda x: x * x), F.lit(0.0), lambda acc, v: acc + v))
-    nb = F.sqrt(F.aggregate(F.transform("b", lambda x: x * x), F.lit(0.0), lambda acc, v: acc + v))
-    return a.crossJoin(b).select("_qid", "_rid", F.round(dot / (na * nb), SIM_DECIMALS).alias("sim"))

@@ -7,12 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def duplicate_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows that repeat an earlier value, per column (null counts as a value)."""
+    """Rows that repeat an earlier value, per column (null counts as a value).
+    Strings are compared by their SHA-256, so that no text is shuffled."""
+    def key(c: str) -> Column:
+        return F.sha2(F.col(c), 256) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+
     aggs = [
-        (F.count(F.lit(1)) - F.count_distinct(c) - F.max(F.col(c).isNull().cast("int")).cast("bigint")).alias(f"dup_{c}")
+        (F.count(F.lit(1)) - F.count_distinct(key(c)) - F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0)).cast("bigint")).alias(f"dup_{c}")
         for c in cols
     ]
     return df.agg(*aggs)

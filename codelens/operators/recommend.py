@@ -19,13 +19,17 @@ STAT_DECIMALS = 1
 
 def recommend(train: DataFrame, test: DataFrame, k: int, id_col: str, entity: str, code: str,
               vec_col: str = "embedding", by: list[str] | None = None) -> DataFrame:
-    """[by], entity, actual_code, rec_code, score, rank (1-based by score desc)."""
+    """[by], entity, actual_code, rec_code, score, rank.
+
+    ``rank`` is the 1-based place among all recommendations of the entity, over
+    all its documents: score desc, then document, then the document's own order."""
     by = list(by or [])
     q = test.select(*by, id_col, vec_col, F.col(entity), F.col(code).alias("actual_code"))
     r = train.select(*by, id_col, vec_col, F.col(code).alias("rec_code"))
     nb = nearest_neighbours(q, r, k=k, q_id=id_col, r_id=id_col, vec_col=vec_col,
                             q_payload=[entity, "actual_code"], r_payload=["rec_code"], by=by)
-    return nb.select(*by, entity, "actual_code", "rec_code", F.col("sim").alias("score"), F.col("nb_rank").alias("rank"))
+    place = Window.partitionBy(*by, entity).orderBy(F.col("sim").desc(), id_col, "nb_rank")
+    return nb.select(*by, entity, "actual_code", "rec_code", F.col("sim").alias("score"), F.row_number().over(place).alias("rank"))
 
 
 def with_matches(recs: DataFrame, prefix_len: int = DIVISION) -> DataFrame:

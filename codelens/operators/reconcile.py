@@ -28,16 +28,20 @@ def name_lookup(truth: DataFrame, name: str = "company", code: str = "ssic_code"
 
 def reconcile(df: DataFrame, truth: DataFrame, name: str = "company", code: str = "ssic_code") -> DataFrame:
     """Exact name match, else match after stripping a trailing '.' on the
-    truth side. One pass: two left joins on the same key, then coalesce."""
-    exact = name_lookup(truth, name, code).withColumnRenamed(code, "_exact")
-    loose = name_lookup(truth, name, code, strip_dot=True).withColumnRenamed(code, "_loose")
-    out = df.join(exact, name, "left").join(loose, name, "left")
-    return out.withColumn(code, F.coalesce("_exact", "_loose")).drop("_exact", "_loose")
+    truth side. One lookup keyed by both forms of the name, and one left join."""
+    t = truth.where(F.col(code).isNotNull())
+    none = F.lit(None).cast(truth.schema[code].dataType)
+    both = t.select(F.col(name), F.col(code).alias("_exact"), none.alias("_loose")).union(
+        t.select(strip_trailing_dot(name), none, F.col(code))
+    )
+    # written first: with a plain table on this side, Spark may split the rows of a hot name on the other
+    lookup = both.groupBy(name).agg(F.coalesce(F.min("_exact"), F.min("_loose")).alias(code)).checkpoint(eager=True)
+    return df.join(lookup, name, "left")
 
 
 def attach_code(df: DataFrame, truth: DataFrame, on: str = "company", code: str = "ssic_code") -> DataFrame:
     """Plain left join of text rows to declared codes (one code per key)."""
-    return df.join(name_lookup(truth, on, code), on, "left")
+    return df.join(name_lookup(truth, on, code).checkpoint(eager=True), on, "left")
 
 
 def join_two_sources(report: DataFrame, profile: DataFrame, key: str = "company", text: str = "text") -> DataFrame:

@@ -120,7 +120,7 @@ def extractive_summary(docs: DataFrame, doc: str, text: str, weights: DataFrame,
                        letters: str = "unicode") -> DataFrame:
     """Best sentences by summed term weight, kept while the running word count
     (best first) stays within ``max_words`` (the best sentence is always kept),
-    then printed in original order."""
+    then printed in original order. A document without sentences gets ''."""
     docs = by_doc(docs, doc)
     sent = docs.select(F.col(doc), F.posexplode(split_sentences(F.col(text))).alias("s_pos", "sentence"))
     sent = sent.withColumn("sentence", strip_ws("sentence")).where(F.length("sentence") > 0)
@@ -136,6 +136,7 @@ def extractive_summary(docs: DataFrame, doc: str, text: str, weights: DataFrame,
     s = s.withColumn("_cum", F.sum("n_words").over(w)).withColumn("_rk", F.row_number().over(
         Window.partitionBy(doc).orderBy(F.col("score").desc(), F.col("s_pos"))))
     picked = s.where((F.col("_cum") <= max_words) | (F.col("_rk") == 1))
-    return picked.groupBy(doc).agg(
+    found = picked.groupBy(doc).agg(
         F.expr("listagg(sentence, ' ') WITHIN GROUP (ORDER BY s_pos)").alias("summary")
     )
+    return docs.select(doc).join(found, doc, "left").select(doc, F.coalesce("summary", F.lit("")).alias("summary"))

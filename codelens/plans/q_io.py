@@ -74,9 +74,9 @@ def read_index(spark, sf_dir):
     f"SELECT DISTINCT company AS pdf_name, {force_https_sql('url')} AS url FROM page_text WHERE url IS NOT NULL"))
 def read_url_map(spark, sf_dir):
     """JSON lines {company: [urls]} -> (pdf_name, url), https forced."""
-    pt = FX.page_text(spark, sf_dir)
-    m = pt.groupBy("company").agg(F.collect_list("url").alias("urls"))
-    lines = m.select(F.to_json(F.create_map("company", "urls")).alias("value"))
+    # one line per url: a map file may hold a company any number of times
+    pt = FX.page_text(spark, sf_dir, {"url": F.col("url")})
+    lines = pt.select(F.to_json(F.create_map("company", F.array("url"))).alias("value"))
     p = _scratch(spark, "url_map_json")
     lines.write.mode("overwrite").text(p)
     return IO.read_url_map(spark, p)

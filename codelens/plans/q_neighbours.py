@@ -65,9 +65,10 @@ def _rec_ctes(k=K_RECOMMEND):
         ("te", "SELECT * FROM base WHERE company NOT IN (SELECT company FROM tr)"),
         ("pairs", f"SELECT te.vec_id, te.company, te.ssic_code AS actual_code, tr.vec_id AS ref_id, "
                   f"tr.ssic_code AS rec_code, {cosine_sql('te.e', 'tr.e')} AS score FROM te CROSS JOIN tr"),
-        ("recs", f"SELECT company, actual_code, rec_code, score, "
-                 f"CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ref_id) AS INTEGER) AS rank "
-                 f"FROM pairs QUALIFY rank <= {k}"),
+        ("nb", f"SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ref_id) AS nb_rank "
+               f"FROM pairs QUALIFY nb_rank <= {k}"),
+        ("recs", "SELECT company, actual_code, rec_code, score, "
+                 "CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, vec_id, nb_rank) AS INTEGER) AS rank FROM nb"),
     )
 
 
@@ -116,16 +117,15 @@ def match_accuracy(spark, sf_dir):
 
 
 @register("hit_rate", _rec_sql("""
-    SELECT round(avg(CASE WHEN list_contains(codes, substr(actual_code, 1, 2)) THEN 1.0 ELSE 0.0 END) * 100, 6) AS hit_rate
-    FROM (SELECT company, any_value(actual_code) AS actual_code, list(substr(rec_code, 1, 2)) AS codes
+    SELECT round(avg(hit) * 100, 6) AS hit_rate
+    FROM (SELECT company, max(CASE WHEN substr(rec_code, 1, 2) = substr(actual_code, 1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit
           FROM recs GROUP BY company) x"""))
 def hit_rate(spark, sf_dir):
     """% of companies whose declared Division is in their recommendation list."""
     r = recommendations(spark, sf_dir)
-    per = r.groupBy("company").agg(F.first("actual_code").alias("a"),
-                                   F.collect_list(F.substring("rec_code", 1, 2)).alias("codes"))
-    return per.agg(F.round(F.avg(F.when(F.array_contains("codes", F.substring("a", 1, 2)), 1.0).otherwise(0.0)) * 100, 6)
-                   .alias("hit_rate"))
+    hit = RM.match_flag(F.col("actual_code"), F.col("rec_code"), 2).cast("double")
+    per = r.groupBy("company").agg(F.max(hit).alias("hit"))
+    return per.agg(F.round(F.avg("hit") * 100, 6).alias("hit_rate"))
 
 
 @register("recommendation_stats", _rec_sql("""

@@ -68,9 +68,9 @@ def two_pass_reconcile(spark, sf_dir):
     FROM company_text c LEFT JOIN ex ON c.company = ex.company LEFT JOIN lo ON c.company = lo.company
     WHERE coalesce(ex.c1, lo.c2) IS NOT NULL AND c.text IS NOT NULL"""))
 def null_filters(spark, sf_dir):
-    c = FX.company_text(spark, sf_dir).select("doc_id", "company", "text")
+    c = FX.company_text(spark, sf_dir, {"has_text": F.col("text").isNotNull()})
     r = RC.reconcile(c, FX.truth(spark, sf_dir))
-    return r.where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull()).select("doc_id", "company", "ssic_code")
+    return r.where(F.col("ssic_code").isNotNull() & F.col("has_text")).select("doc_id", "company", "ssic_code")
 
 
 @register("anti_split_test", with_views(["company_text"],

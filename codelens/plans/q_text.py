@@ -22,17 +22,14 @@ from codelens.sources import fixtures as FX
 from codelens.sources.tables import read_table
 
 
-@register("normalize_text", with_views(["company_text"], body=
-    f"SELECT doc_id, {normalize_sql('text')} AS text FROM company_text"))
+@register("normalize_text", f"SELECT doc_id, {normalize_sql('text')} AS text FROM documents")
 def normalize_text(spark, sf_dir):
-    return FX.company_text(spark, sf_dir).select("doc_id", X.normalize_text("text").alias("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.normalize_text("text").alias("text"))
 
 
-@register("clean_text", with_views(["company_text"], body=
-    f"SELECT doc_id, {clean_sql('text')} AS text, {clean_sql('text', lower=True)} AS text_lower FROM company_text"))
+@register("clean_text", f"SELECT doc_id, {clean_sql('text')} AS text, {clean_sql('text', lower=True)} AS text_lower FROM documents")
 def clean_text(spark, sf_dir):
-    ct = FX.company_text(spark, sf_dir)
-    return ct.select("doc_id", X.clean_text("text").alias("text"), X.clean_text("text", lower=True).alias("text_lower"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("text"), X.clean_text("text", lower=True).alias("text_lower"))
 
 
 @register("strip_trailing_dot", with_views(["truth"], body=
@@ -122,8 +119,8 @@ def table_sizes(spark, sf_dir):
     return PR.step_counts(d, {
         "documents": F.count(F.lit(1)),
         "after_junk_filter": F.count_if(ok),
-        "after_text_dedupe": F.count_distinct(F.when(ok, F.col("text"))),
-        "after_normalize_dedupe": F.count_distinct(F.when(ok, X.normalize_text("text"))),
+        "after_text_dedupe": F.count_distinct(F.when(ok, F.sha2("text", 256))),
+        "after_normalize_dedupe": F.count_distinct(F.when(ok, F.sha2(X.normalize_text("text"), 256))),
     })
 
 

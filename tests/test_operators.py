@@ -13,10 +13,20 @@ from codelens.operators import reconcile as RC
 from codelens.operators import split as S
 from codelens.operators import taxonomy as TX
 from codelens.operators import tfidf as TF
-from codelens.operators.neighbours import cosine_join_form, nearest_neighbours
+from codelens.operators.neighbours import SIM_DECIMALS, nearest_neighbours
 from codelens.sources import fixtures as FX
 
 
+def cosine_join_form(query, ref, q_id, r_id, vec_col="embedding"):
+    """All pairs as a join: the plain version of the neighbour search."""
+    a = query.select(F.col(q_id).alias("_qid"), F.col(vec_col).cast("array<double>").alias("a"))
+    b = ref.select(F.col(r_id).alias("_rid"), F.col(vec_col).cast("array<double>").alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    na = F.sqrt(F.aggregate(F.transform("a", lambda x: x * x), F.lit(0.0), lambda acc, v: acc + v))
+    nb = F.sqrt(F.aggregate(F.transform("b", lambda x: x * x), F.lit(0.0), lambda acc, v: acc + v))
+    return a.crossJoin(b).select("_qid", "_rid", F.round(dot / (na * nb), SIM_DECIMALS).alias("sim"))
+
+
 def test_reconcile_one_pass_equals_two_pass(spark):
     truth = spark.createDataFrame(
         [("ACME.", "01111"), ("ACME", None), ("BETA LTD.", "02222"), ("BETA LTD.", "01000"), ("GAMMA", "03333"),
@@ -168,3 +178,35 @@ def test_tfidf_shuffle_path_equals_broadcast_path(spark, monkeypatch):
     monkeypatch.setattr(TF, "BROADCAST_MAX_TERMS", 0)  # vocabulary "too large": shuffle join by term
     df = TF.tfidf(docs, "doc_id", "t")
     assert sorted(tuple(r) for r in df.collect()) == small
+
+
+def test_neighbour_payload_keeps_large_nullable_integers(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0], 9007199254740993), (2, [0.0, 1.0], None)], "qid long, embedding array<double>, big long")
+    r = spark.createDataFrame([(7, [1.0, 0.1], -9007199254740993), (8, [0.0, 1.0], None)], "rid long, embedding array<double>, other long")
+    got = nearest_neighbours(q, r, 1, "qid", "rid", q_payload=["big"], r_payload=["other"])
+    assert dict(got.dtypes)["big"] == "bigint"
+    assert sorted((x.qid, x.big, x.other) for x in got.collect()) == [(1, 9007199254740993, -9007199254740993), (2, None, None)]
+
+
+def test_rank_runs_over_all_documents_of_a_company(spark):
+    from codelens.operators import recommend as RM
+
+    test = spark.createDataFrame([(1, "c", "11111", [1.0, 0.0]), (2, "c", "11111", [0.0, 1.0])], "id long, company string, code string, embedding array<double>")
+    train = spark.createDataFrame([(i, f"t{i}", f"2222{i}", [1.0, 0.2 * i]) for i in range(3)], "id long, company string, code string, embedding array<double>")
+    got = RM.recommend(train, test, 2, "id", "company", "code").orderBy("rank").collect()
+    assert [x["rank"] for x in got] == [1, 2, 3, 4] and [x.score for x in got] == sorted((x.score for x in got), reverse=True)
+
+
+def test_duplicate_counts_of_an_empty_table(spark):
+    from codelens.operators import profile as PR
+
+    row = PR.duplicate_counts(spark.createDataFrame([], "a string, b int"), ["a", "b"]).first()
+    assert (row.dup_a, row.dup_b) == (0, 0)
+
+
+def test_summary_keeps_documents_without_text(spark):
+    from codelens.operators import tfidf as TF
+
+    docs = spark.createDataFrame([(1, "One two. Three four."), (2, None), (3, "")], "doc_id long, t string")
+    got = {x.doc_id: x.summary for x in TF.extractive_summary(docs, "doc_id", "t", TF.tfidf(docs, "doc_id", "t")).collect()}
+    assert got == {1: "One two. Three four.", 2: "", 3: ""}
