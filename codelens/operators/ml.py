@@ -4,7 +4,6 @@
   Bayes (or multinomial logistic regression); the class level is a parameter.
 * top-N scoring: probabilities -> array -> posexplode -> per-entity top-N,
   class index mapped back to the code with IndexToString (JVM side).
-* document vectors: Word2Vec mean word vectors (64-d, min count 2).
 * clustering: CountVectorizer(1,000) -> IDF -> L2 -> KMeans(k=10, seed=0).
 
 Quality is not comparable with a fine-tuned transformer; these are the
@@ -25,7 +24,6 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     StopWordsRemover,
     StringIndexer,
-    Word2Vec,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -91,28 +89,6 @@ def score_top_n(model: PipelineModel, df: DataFrame, entity: str, text_col: str,
     return top.select(entity, *keep, out_col, F.round("score", 6).alias("score"), "rank")
 
 
-def doc_vectors(df: DataFrame, text_col: str, size: int = 64, min_count: int = 2, max_iter: int = 1,
-                seed: int = 42, partitions: int | None = None):
-    """Fit Word2Vec on lower-cased tokens; returns (model, transform fn).
-
-    Each document vector is the mean of its word vectors (Doc2Vec is not
-    available in MLlib; this is its distributed stand-in). Training runs on
-    ``partitions`` partitions (default: the cluster's parallelism), never on
-    one task; MLlib averages the per-partition updates. The vocabulary
-    (words seen >= min_count times) is held by the model."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_GAPS, gaps=True, toLowercase=True)
-    parts = partitions or df.sparkSession.sparkContext.defaultParallelism
-    w2v = Word2Vec(inputCol="_tokens", outputCol="_vec", vectorSize=size, minCount=min_count, maxIter=max_iter,
-                   seed=seed, numPartitions=parts)
-    model = Pipeline(stages=[tok, w2v]).fit(df)
-
-    def embed(d: DataFrame) -> DataFrame:
-        out = model.transform(d)
-        return out.withColumn("embedding", vector_to_array("_vec")).drop("_tokens", "_vec")
-
-    return model, embed
-
-
 def kmeans_clusters(df: DataFrame, text_col: str, k: int = 10, seed: int = 0, vocab: int = 1000) -> DataFrame:
     """Cluster id per row from TF-IDF (top ``vocab`` terms) vectors."""
     stages = [

@@ -1,4 +1,4 @@
-"""Registered MLlib queries (seeded; checked rows-only)."""
+"""Registered learned-model queries: MLlib (seeded, checked rows-only) and document vectors (exact)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from codelens.functions import html as H
 from codelens.functions import text as X
+from codelens.operators import docvec as DV
 from codelens.operators import ml as ML
 from codelens.operators import recommend as RM
 from codelens.operators import split as S
 from codelens.operators import taxonomy as TX
+from codelens.operators import tfidf as TF
 from codelens.plans.catalog import register
+from codelens.plans.oracle import bucket_sql, clean_sql, cosine_sql, normalize_sql, with_views
+from codelens.plans.q_taxonomy import FLAT_CTES
+from codelens.plans.q_tfidf import _tfidf_ctes
 from codelens.session import shared_path
 from codelens.sources import fixtures as FX
 
@@ -94,32 +99,78 @@ def _company_docs(spark, sf_dir):
     return r.select("doc_id", "company", pad_code("ssic_code").alias("ssic_code"), X.normalize_text("text").alias("text"))
 
 
-@register("train_doc_vectors")
-def train_doc_vectors(spark, sf_dir):
-    """64-d Word2Vec document vectors from company and dictionary text."""
+# dictionary rows get ids above any document's
+DICTIONARY_IDS = 10**12
+
+
+def _text_corpus(spark, sf_dir):
+    """(doc_id, company, ssic_code, text): company texts with codes, then the dictionary's."""
     docs = _company_docs(spark, sf_dir)
-    dict_rows = training_table(spark, sf_dir).select(F.lit(None).cast("bigint").alias("doc_id"), "text")
-    corpus = docs.select("doc_id", "text").unionByName(dict_rows)
-    _, embed = ML.doc_vectors(corpus, "text", size=64, min_count=2, max_iter=1, seed=42)
-    return embed(docs.select("doc_id", "text")).select("doc_id", "embedding")
+    dictionary = training_table(spark, sf_dir).select(
+        (F.col("code").cast("bigint") + DICTIONARY_IDS).alias("doc_id"), F.lit(None).cast("string").alias("company"),
+        F.col("code").alias("ssic_code"), X.normalize_text("text").alias("text"))
+    return docs.unionByName(dictionary)
+
+
+def _text_vectors(corpus):
+    """The corpus with 64-d projections of its TF-IDF weights; rows without a word drop out."""
+    corpus = corpus.checkpoint(eager=True)  # feeds the weights and the result
+    vectors = DV.project(TF.tfidf(corpus, "doc_id", "text"), "doc_id")
+    return corpus.join(vectors, "doc_id")
+
+
+_CORPUS_CTES = (
+    ("ex", "SELECT company, min(ssic_code) AS c1 FROM truth WHERE ssic_code IS NOT NULL GROUP BY company"),
+    ("lo", "SELECT regexp_replace(company, '\\.\\z', '') AS company, min(ssic_code) AS c2 FROM truth "
+           "WHERE ssic_code IS NOT NULL GROUP BY 1"),
+    ("docs", f"SELECT c.doc_id, c.company, lpad(coalesce(ex.c1, lo.c2), 5, '0') AS ssic_code, {normalize_sql('c.text')} AS text "
+             "FROM company_text c LEFT JOIN ex ON c.company = ex.company LEFT JOIN lo ON c.company = lo.company "
+             "WHERE coalesce(ex.c1, lo.c2) IS NOT NULL AND c.text IS NOT NULL"),
+    ("descr", f"SELECT code, title || '.' || {clean_sql('definition')} || '.' || {clean_sql('examples')} AS text FROM flat"),
+    ("corpus", "SELECT * FROM docs UNION ALL "
+               f"SELECT {DICTIONARY_IDS} + code::BIGINT, NULL, code, {normalize_sql('text')} FROM descr"),
+    *_tfidf_ctes("SELECT doc_id, text AS t FROM corpus"),
+    ("vec", DV.project_sql("w")),
+)
+
+
+@register("train_doc_vectors", with_views(["truth", "company_text", "dictionary"], *FLAT_CTES, *_CORPUS_CTES,
+    body=f"SELECT doc_id, embedding FROM vec WHERE doc_id < {DICTIONARY_IDS}"))
+def train_doc_vectors(spark, sf_dir):
+    """64-d vectors of company texts; term weights come from company and dictionary text."""
+    v = _text_vectors(_text_corpus(spark, sf_dir))
+    return v.where(F.col("doc_id") < DICTIONARY_IDS).select("doc_id", "embedding")
 
 
-@register("recommend_codes")
-def recommend_codes(spark, sf_dir):
+def text_recommendations(spark, sf_dir, k=5):
     """The whole recommender function on text: pad codes, hash split by
-    company, add dictionary rows to training, fit doc vectors, top-5
-    neighbours of each test company, ranked."""
-    docs = _company_docs(spark, sf_dir)
+    company, dictionary rows join the training side, top-k neighbours of each
+    test document, ranked per company."""
+    v = _text_vectors(_text_corpus(spark, sf_dir)).checkpoint(eager=True)
+    docs = v.where(F.col("doc_id") < DICTIONARY_IDS)
     train, _ = S.train_test_split(docs, "company", 70)
     test = S.anti_split_test(docs, train, "company")
-    dict_rows = training_table(spark, sf_dir).select(
-        F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("company"),
-        F.col("code").alias("ssic_code"), "text")
-    train_all = train.unionByName(dict_rows)
-    _, embed = ML.doc_vectors(train_all, "text", size=64, min_count=2, max_iter=1, seed=42)
-    tr = embed(train_all).withColumn("rid", F.xxhash64("text", "ssic_code"))
-    te = embed(test).withColumn("rid", F.col("doc_id"))
-    return RM.recommend(tr, te, 5, "rid", "company", "ssic_code")
+    train_all = train.select(*docs.columns).unionByName(v.where(F.col("doc_id") >= DICTIONARY_IDS))
+    return RM.recommend(train_all, test, k, "doc_id", "company", "ssic_code")
+
+
+_TEXT_RECS = (
+    ("tv", "SELECT c.doc_id, c.company, c.ssic_code, v.embedding AS e FROM corpus c JOIN vec v ON c.doc_id = v.doc_id"),
+    ("ttr", f"SELECT * FROM tv WHERE company IS NULL OR {bucket_sql('company')} < 70"),
+    ("tte", f"SELECT * FROM tv WHERE company IS NOT NULL AND {bucket_sql('company')} >= 70"),
+    ("tpairs", f"SELECT q.doc_id, q.company, q.ssic_code AS actual_code, r.doc_id AS ref_id, r.ssic_code AS rec_code, "
+               f"{cosine_sql('q.e', 'r.e')} AS score FROM tte q CROSS JOIN ttr r"),
+    ("tnb", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ref_id) AS nb_rank FROM tpairs QUALIFY nb_rank <= 5"),
+    ("trecs", "SELECT company, actual_code, rec_code, score, "
+              "CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC, doc_id, nb_rank) AS INTEGER) AS rank FROM tnb"),
+)
+
+
+@register("recommend_codes", with_views(["truth", "company_text", "dictionary"], *FLAT_CTES, *_CORPUS_CTES, *_TEXT_RECS,
+    body="SELECT * FROM trecs"))
+def recommend_codes(spark, sf_dir):
+    """Top-5 codes for every test company from its text."""
+    return text_recommendations(spark, sf_dir)
 
 
 TOP_N_PREDICTIONS = 15
