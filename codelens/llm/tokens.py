@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +16,9 @@ from codelens.llm.common import worker_state
 #: Words whose ids a worker remembers before it starts afresh (memory only).
 REMEMBERED = 1_000_000
 #: Bytes of text that are handled at once inside an Arrow batch (memory only).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 #: Letters up to here stay one letter under lower-casing and composition, but for these.
 _PLAIN_BELOW, _NOT_PLAIN = chr(0x250), {chr(0x130), chr(0x149)}
-_PUNCTUATION = string.punctuation.encode()
 
 
 class WordEncoder:
@@ -27,8 +26,9 @@ class WordEncoder:
 
     For tokenizers that drop white space and never join across it, the ids of a
     text are the ids of its words between ASCII white space, one after the
-    other; every distinct word is encoded once per worker. Words of plain
-    letters are encoded many to a call and told apart by the end-of-word pieces.
+    other. Arrow finds the distinct words of a slice, and every distinct word is
+    encoded once per worker. Words of plain letters are encoded many to a call
+    and told apart by the end-of-word pieces.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -42,67 +42,70 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.begin = np.zeros(1 << 18, np.int64)
         self.size = np.zeros(1 << 18, np.int32)
         self.used = 0
+        self._put([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the number of ids of each."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of ids of each; null is empty."""
         if len(self.index) > REMEMBERED:
             self.clear()
-        words = [t.split() for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.index)
-        if new:
-            self._learn(new)
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        offsets = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        known = self.index.get
+        place = np.array([known(w, -1) for w in distinct], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            unknown = [distinct[i] for i in new.tolist()]
+            self._learn(unknown)
+            place[new] = [self.index[w] for w in unknown]
+        at = place[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         size = self.size[at]
-        ids = self._gather(at, size)
         edges = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        ends = edges[np.cumsum(per_text)]
-        return ids, np.diff(np.concatenate(([0], ends)))
+        return self._gather(at, size), np.diff(edges[offsets - offsets[0]])
 
     def _gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         total = int(size.sum())
         first = np.cumsum(size, dtype=np.int64) - size
         return self.flat[np.repeat(self.begin[at] - first, size) + np.arange(total)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        plain, tailed, other = [], [], []
-        for w in new:
-            stem = w.rstrip(_PUNCTUATION)
-            if not stem or not _is_plain(stem):
-                other.append(w)
-            elif len(stem) == len(w):
-                plain.append(w)
-            else:
-                tailed.append((w, stem, w[len(stem):]))
-        stems, tails = {x[1] for x in tailed}, {x[2] for x in tailed}
-        plain += (stems - self.index.keys()).difference(plain)
-        other += (tails - self.index.keys()).difference(other)
-        for i in range(0, len(plain), 512):
-            self._learn_plain(plain[i : i + 512])
+    def _learn(self, new: list[str]) -> None:
+        stems = [w.rstrip(string.punctuation) for w in new]
+        together = "".join(stems)
+        if together and (max(together) >= _PLAIN_BELOW or _NOT_PLAIN.intersection(together)):
+            plain = [x.isalpha() and max(x) < _PLAIN_BELOW and not _NOT_PLAIN.intersection(x) for x in stems]
+        else:
+            plain = [x.isalpha() for x in stems]
+        tailed = [(w, x, w[len(x):]) for w, x, p in zip(new, stems, plain, strict=True) if p and len(x) < len(w)]
+        tails = {t for _, _, t in tailed}
+        letters = list({x for x, p in zip(stems, plain, strict=True) if p}.difference(self.index))
+        other = list(tails.union(w for w, p in zip(new, plain, strict=True) if not p).difference(self.index))
+        for i in range(0, len(letters), 512):
+            self._learn_letters(letters[i : i + 512])
         self._learn_each(other)
         if tailed:
             at = np.array([self.index[x] for _, stem, tail in tailed for x in (stem, tail)])
             size = self.size[at]
             self._put([x[0] for x in tailed], self._gather(at, size), size.reshape(-1, 2).sum(1))
 
-    def _learn_plain(self, words: list[bytes]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+    def _learn_letters(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(words) and ends[-1] == len(ids):
             self._put(words, ids, np.diff(ends, prepend=0))
         else:
             self._learn_each(words)
 
-    def _learn_each(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _learn_each(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         self._put(words, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
-    def _put(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, n = len(self.index), len(words)
         while first + n > len(self.begin):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
@@ -115,12 +118,21 @@ class WordEncoder:
         self.used += len(ids)
 
 
-def _is_plain(word: bytes) -> bool:
-    """Letters that stay one letter each under lower-casing and composition."""
-    if word.isalpha():
-        return True
-    s = word.decode()
-    return s.isalpha() and max(s) < _PLAIN_BELOW and not _NOT_PLAIN.intersection(s)
+def _strings(words: pa.Array) -> list[str]:
+    """Words without white space as a list; joined and split, which is much faster than one by one."""
+    if not len(words):
+        return []
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))
+    return joined[0].as_py().split(" ")
+
+
+def arrow_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(index of the first, rows) for runs of rows with about ``most`` bytes each."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // most
+    edges = np.flatnonzero(np.append(True, run[1:] != run[:-1])).tolist() + [len(sizes)] if len(sizes) else []
+    for first, end in zip(edges[:-1], edges[1:], strict=True):
+        yield first, column.slice(first, end - first)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -160,7 +172,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None, id_col: st
             state[key] = WordEncoder(shipped.value)
         encoder = state[key]
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in arrow_slices(batch.column(1)):
                 ids, sizes = encoder.encode(texts)
                 parts = np.split(ids.astype(kind), np.cumsum(sizes)[:-1])
                 blobs = [p.tobytes() + tail.tobytes() for p in parts]
