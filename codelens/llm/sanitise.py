@@ -19,8 +19,9 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
+_LONG_NUMBER = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 TERM = r"\p{L}[\p{L}\p{N}_'-]*+"
 
 
@@ -110,8 +111,8 @@ def disclosing(lines: DataFrame, all_lines: DataFrame, n_lines: int, s: Settings
     strength = 1 + log p(e|t) / -log p(e), which is 1 if t never occurs without e.
     """
     blank = F.col("text")
-    for kind in KINDS[:4]:
-        blank = F.regexp_replace(blank, F.lit(PATTERNS[kind]), F.lit(" "))
+    for pattern in (PATTERNS["email"], PATTERNS["ip"], _LONG_NUMBER, PATTERNS["phone"]):
+        blank = F.regexp_replace(blank, F.lit(pattern), F.lit(" "))
     terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(blank), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= s.shortest))
     entity_lines = lines.select("uid", "line", "entity", F.xxhash64("text").alias("same"), terms.alias("terms")).distinct()
     by_entity = entity_lines.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))

@@ -91,7 +91,8 @@ def test_classifier_learns_and_leaves_held_out_rows_alone(spark):
     got = toxicity.score(df, model).withColumn("held", held).collect()
     test = [r for r in got if r.held]
     assert 150 < len(test) < 300
-    assert np.mean([(r.score >= 0.3) == bool(r.toxic) for r in test]) > 0.97
+    toxic, clean = [r.score for r in test if r.toxic], [r.score for r in test if not r.toxic]
+    assert np.mean([t > c for t in toxic for c in clean]) > 0.97 and np.mean([t >= 0.3 for t in toxic]) > 0.95
     assert set(model.thresholds) >= {"", "en", "de"} and all(0 < t < 1 for t in model.thresholds.values())
 
 
@@ -207,8 +208,9 @@ def test_extraction_awkward_rows(spark):
         [(1, None, "old"), (2, "", "old"), (3, PAGE, "old"), (3, PAGE, "old"), (None, PAGE, "old"), (4, "<nav>x</nav>", "old"), (5, "<article>" + "<p>long text here</p>" * 30_000 + "</article>", "old")],
         "page_id long, html string, text string",
     )
-    few = html_blocks.Settings(pages=50)
-    model = html_blocks.fit(pages.where("page_id = 3"), few)
+    few = html_blocks.Settings()
+    rows = [(i, f"<html><body><nav><a href='/'>{words(3, i)}</a></nav><article>{''.join(f'<p>{words(8, i * 50 + j)}</p>' for j in range(5))}</article><footer>{words(5, i + 9)}</footer></body></html>") for i in range(120)]
+    model = html_blocks.fit(spark.createDataFrame(rows, "page_id long, html string"), few)
     got = html_blocks.extract(pages, model, few).collect()
     assert len(got) == 7
     by_id = {r.page_id: r.text for r in got}
