@@ -24,7 +24,10 @@ class Settings:
     distance 23 are found, and most beyond. A set similarity of 0.8 gives a
     distance of 12.8 on average; one in about 1,000 such pairs is above 23, and
     fewer than one in a million has no chunk in common. Pairs up to ``accept``
-    are compared in full.
+    are candidates. ``fine`` further values, of 8 bits, sharpen the estimate
+    where whole groups are compared: there a pair is compared in full if it
+    differs in at most ``accept_all`` of all values, four standard deviations
+    above the mean of 51 at a similarity of 0.8. ``rounds``: see ``near_duplicates``.
     """
 
     words: int = 5
@@ -32,6 +35,9 @@ class Settings:
     length: int = 64
     chunks: int = 12
     accept: int = 30
+    fine: int = 192
+    accept_all: int = 77
+    rounds: int = 3
     block: int = 512
     cell_rows: int = 20_000
     seed: int = 7
@@ -73,18 +79,22 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], s: Settings) -> np.ndarray:
-    """16 bits of the smallest of each of ``length`` random orders of every set (rows of zeros for empty sets)."""
+    """16 bits of the smallest of each of ``length + fine`` random orders of every set (rows of zeros for empty sets)."""
     rng = np.random.default_rng(s.seed)
-    factors = rng.integers(0, 1 << 63, s.length, np.uint64) << np.uint64(1) | np.uint64(1)
-    masks = rng.integers(0, 1 << 63, s.length, np.uint64)
-    out = np.zeros((len(sets), s.length), np.uint16)
+    length = s.length + s.fine
+    factors = rng.integers(0, 1 << 63, length, np.uint64) << np.uint64(1) | np.uint64(1)
+    masks = rng.integers(0, 1 << 63, length, np.uint64)
+    out = np.zeros((len(sets), length), np.uint16)
     some = [i for i, x in enumerate(sets) if len(x)]
     if some:
         flat = np.concatenate([sets[i] for i in some])
         begin = np.cumsum([0] + [len(sets[i]) for i in some[:-1]])
-        for k in range(s.length):
-            order = (flat ^ masks[k]) * factors[k]
-            order ^= order >> np.uint64(32)
+        order, high = np.empty_like(flat), np.empty_like(flat)
+        for k in range(length):
+            np.bitwise_xor(flat, masks[k], out=order)
+            order *= factors[k]
+            np.right_shift(order, np.uint64(32), out=high)
+            order ^= high
             least = np.minimum.reduceat(order, begin)
             out[some, k] = (least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
     return out
@@ -107,7 +117,7 @@ def index_keys(sigs: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """id, n (size of the set), lo and hi (sums of hashes that tell equal sets), sig."""
+    """id, n (size of the set), lo and hi (sums of hashes that tell equal sets), sig, fine."""
 
     def run(batches):
         for batch in batches:
@@ -120,13 +130,14 @@ def _signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)),
-                        pa.array([row.tobytes() for row in sigs], pa.binary()),
+                        pa.array([row.tobytes() for row in sigs[:, : s.length]], pa.binary()),
+                        pa.array([row.tobytes() for row in sigs[:, s.length :].astype(np.uint8)], pa.binary()),
                     ],
-                    names=["id", "n", "lo", "hi", "sig"],
+                    names=["id", "n", "lo", "hi", "sig", "fine"],
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
-    return stored(source.mapInArrow(run, "id long, n long, lo long, hi long, sig binary"), "minhash-signed")
+    return stored(source.mapInArrow(run, "id long, n long, lo long, hi long, sig binary, fine binary"), "minhash-signed")
 
 
 def _keyed(classes: DataFrame, s: Settings) -> DataFrame:
@@ -171,14 +182,17 @@ def _alike_in_size(s: Settings, x: str, y: str):
     return (F.col(x) * 100 >= F.col(y) * s.percent) & (F.col(y) * 100 >= F.col(x) * s.percent)
 
 
-def _open_pairs(members: DataFrame, s: Settings) -> DataFrame:
+def _open_pairs(members: DataFrame, s: Settings, turn: int | None) -> DataFrame:
     """Pairs within a bucket that may be similar and are in different components so far.
 
-    ``members``: key, rep, n, sig, label. Within a bucket, the members outside the
-    most frequent label meet all others; both are cut into blocks, so that a cell
-    of a large bucket is one block of the former against one of the latter and no
-    task holds a bucket. A cell compares signatures in numpy and returns only the
-    pairs near enough; cells are grouped so that a group has some ``cell_rows`` rows.
+    ``members``: key, rep, n, sig, fine, label. Within a bucket, the members outside
+    the most frequent label meet all others; both are cut into blocks, so that a
+    cell of a large bucket is one block of the former against one of the latter
+    and no task holds a bucket. A cell compares signatures in numpy; cells are
+    grouped so that a group has some ``cell_rows`` rows. With ``turn``, every member
+    returns the nearest of the others (of a random half of them after turn 0), and
+    of these its nearest over all cells is kept: one pair per member. Without it,
+    all pairs near enough come back.
     """
     by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n_label"))
     buckets = by_label.groupBy("key").agg(
@@ -197,11 +211,11 @@ def _open_pairs(members: DataFrame, s: Settings) -> DataFrame:
     rows = members.join(buckets, "key")
     block = F.xxhash64("rep", F.lit(s.seed))
     minor = rows.where("label <> main").select(
-        "key", "rep", "n", "sig", "label", F.lit(True).alias("minor"),
+        "key", "rep", "n", "sig", "fine", "label", F.lit(True).alias("minor"),
         F.pmod(block, "minor_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
     )
     everyone = rows.select(
-        "key", "rep", "n", "sig", "label", F.lit(False).alias("minor"),
+        "key", "rep", "n", "sig", "fine", "label", F.lit(False).alias("minor"),
         F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), F.pmod(block, "all_blocks").cast("int").alias("j"),
     )
     cells = stored(minor.union(everyone), "minhash-cells")
@@ -215,22 +229,43 @@ def _open_pairs(members: DataFrame, s: Settings) -> DataFrame:
         minor = table["minor"].to_numpy()[order]
         rep, n, label = (table[c].to_numpy()[order] for c in ("rep", "n", "label"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, s.length)[order]
+        fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint8).reshape(len(cell), -1)[order]
+        eligible = np.ones(len(rep), bool)
+        if turn:
+            eligible = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn) >> np.uint64(40)) & np.uint64(1) == 0
         edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist() + [len(cell)]
         found: list[np.ndarray] = []
         for begin, end in zip(edges[:-1], edges[1:], strict=True):
             middle = begin + int(np.searchsorted(minor[begin:end], True))
             for m in range(middle, end):
                 x = np.arange(begin, middle)
-                x = x[(label[x] != label[m]) & (n[x] * 100 >= n[m] * s.percent) & (n[m] * 100 >= n[x] * s.percent)]
+                x = x[eligible[x] & (label[x] != label[m]) & (n[x] * 100 >= n[m] * s.percent) & (n[m] * 100 >= n[x] * s.percent)]
+                if not len(x):
+                    continue
+                apart = (sig[x] != sig[m]).sum(1)
+                x, apart = x[apart <= s.accept], apart[apart <= s.accept]
+                if not len(x):
+                    continue
+                apart = apart + (fine[x] != fine[m]).sum(1)
+                x, apart = x[apart <= s.accept_all], apart[apart <= s.accept_all]
+                if turn is not None and len(x):
+                    best = np.lexsort((rep[x], apart))[:1]
+                    x, apart = x[best], apart[best]
                 if len(x):
-                    x = x[(sig[x] != sig[m]).sum(1) <= s.accept]
-                    if len(x):
-                        found.append(np.stack([np.full(len(x), rep[m]), rep[x]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return grouped.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+                    found.append(np.stack([np.full(len(x), rep[m]), rep[x], apart], 1))
+        pairs = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 3), np.int64)
+        if turn is None:
+            pairs[:, :2] = np.sort(pairs[:, :2], 1)
+        pairs = np.unique(pairs, axis=0)
+        if turn is not None:
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
+            pairs = pairs[np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)]]
+        return pa.table({c: pa.array(pairs[:, i], pa.int64()) for i, c in enumerate(("a", "b", "apart"))})
+
+    out = grouped.groupBy("part").applyInArrow(run, "a long, b long, apart long")
+    if turn is None:
+        return out.select("a", "b").distinct()
+    return out.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,9 +278,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     3. A class is first compared, in full, with one other: the smallest id of one
        of its buckets, the one it shares most buckets with. Components of these
        links join the members of large groups of copies without any pairs.
-    4. All pairs in a bucket that are still in different components, whose sizes
-       allow the similarity and whose signatures differ in at most ``accept``
-       values are compared in full. Nothing else can join two components.
+    4. ``rounds`` times, every class in a bucket with several components is compared
+       with the nearest class of another component, by signature: one pair per class.
+    5. All pairs in a bucket that are still in different components, whose sizes
+       allow the similarity and whose signatures are near enough are compared in
+       full. Nothing else can join two components. By then the members of a large
+       group are one component, and only what is close to it without belonging
+       to it is left to compare.
 
     No step holds a bucket, a group or a component in one task or on the driver.
 
@@ -257,7 +296,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     s = settings
     signed = _signed(docs, s, id_col, text_col)
     known = signed.where("n > 0 and id is not null")
-    classes = known.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"))
+    classes = known.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
     classes = stored(classes, "minhash-classes")
     keyed = _keyed(classes, s)
     shared = stored(
@@ -274,16 +313,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         .where(_alike_in_size(s, "n", "n_leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     )
     links = stored(_confirmed(star, docs, s, id_col, text_col), "minhash-links")
-    first = connected_components(links)
-    label = F.coalesce("component", "rep")
-    labelled = members.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label.alias("label"))
-    opened = stored(
-        labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "minhash-open"
-    )
-    details = classes.select("rep", "n", "sig")
-    unsettled = labelled.join(opened, "key").join(details, "rep")
-    more = _confirmed(_open_pairs(stored(unsettled, "minhash-unsettled"), s), docs, s, id_col, text_col)
-    components = connected_components(links.union(more))
+    components = connected_components(links)
+    details = classes.select("rep", "n", "sig", "fine")
+    for turn in (*range(s.rounds), None):
+        label = F.coalesce("component", "rep")
+        labelled = members.select("key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        labelled = labelled.select("key", "rep", label.alias("label"))
+        opened = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        unsettled = labelled.join(stored(opened, "minhash-open"), "key").join(details, "rep")
+        unsettled = stored(unsettled, "minhash-unsettled")
+        if turn == 0:
+            members = unsettled.select("key", "rep")  # a settled bucket stays settled
+        more = stored(_confirmed(_open_pairs(unsettled, s, turn), docs, s, id_col, text_col), "minhash-links")
+        if turn is not None and more.isEmpty():
+            continue
+        links = links.union(more)
+        components = connected_components(links)
     named = classes.select("lo", "hi", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     named = stored(named.select("lo", "hi", F.coalesce("component", "rep").alias("of_class")), "minhash-named")
     out = signed.select("id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
