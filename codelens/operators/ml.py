@@ -46,10 +46,11 @@ def _tokenizer(text_col: str) -> list:
 
 
 def train_text_classifier(train: DataFrame, text_col: str, label_col: str, model: str = "nb",
-                          max_iter: int = 50) -> PipelineModel:
-    """Fit a text -> label pipeline; labels are indexed by frequency order."""
+                          max_iter: int = 50, num_features: int = NUM_FEATURES) -> PipelineModel:
+    """Fit a text -> label pipeline; labels are indexed in alphabetical order.
+    Raise ``num_features`` with the vocabulary: distinct words share a feature beyond it."""
     stages = _tokenizer(text_col) + [
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=NUM_FEATURES),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features"),
         StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc"),
     ]

@@ -32,6 +32,8 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT c, 'Class ' || c, NULL, NULL, NULL FROM (SELECT DISTINCT substr(code, 1, 4) AS c FROM dict_sub) x
         UNION ALL
         SELECT code, title, groups, definition, examples FROM dict_sub"""),
+    "index_entries": ((), """
+        SELECT lpad(CAST((p_partkey * 37) % 100000 AS VARCHAR), 5, '0') AS code, 'index entry ' || p_name AS definition FROM part"""),
     "truth": ((), """
         SELECT CAST(c_custkey AS VARCHAR) AS uen,
                CASE WHEN c_custkey % 8 = 0 THEN c_name || '.' ELSE c_name END AS company,
@@ -169,10 +171,10 @@ def tokenize_sql(c: str, letters: str = "ascii") -> str:
     return f"list_filter(regexp_split_to_array(lower({c}), '{pat}'), lambda t: t <> '')"
 
 
-def tag_activity_sql(c: str) -> str:
-    from codelens.functions.text import BUSINESS_PATTERNS, OTHER_ACTIVITY
+def tag_activity_sql(c: str, patterns) -> str:
+    from codelens.functions.text import OTHER_ACTIVITY
 
-    whens = " ".join(f"WHEN regexp_matches({c}, {sql_str(p)}) THEN {sql_str(a)}" for a, p in BUSINESS_PATTERNS)
+    whens = " ".join(f"WHEN regexp_matches({c}, {sql_str(p)}) THEN {sql_str(a)}" for a, p in patterns)
     return f"CASE {whens} ELSE {sql_str(OTHER_ACTIVITY)} END"
 
 

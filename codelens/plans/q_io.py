@@ -57,14 +57,10 @@ def read_dictionary(spark, sf_dir):
     return IO.read_dictionary(spark, p)
 
 
-@register("read_index", with_views(["dictionary"], body="""
-    SELECT code, 'index entry ' || title AS definition FROM dictionary
-    WHERE length(code) = 5 AND title IS NOT NULL"""))
+@register("read_index", with_views(["index_entries"], body="SELECT code, definition FROM index_entries"))
 def read_index(spark, sf_dir):
     """Index export: third column dropped, rows with a null dropped, renamed."""
-    d = FX.dictionary(spark, sf_dir)
-    idx = d.where(F.length("code") == 5).select(
-        "code", F.concat(F.lit("index entry "), "title").alias("description"), F.lit("x").alias("extra"))
+    idx = FX.index(spark, sf_dir).select("code", F.col("definition").alias("description"), F.lit("x").alias("extra"))
     p = _scratch(spark, "index_csv")
     idx.write.mode("overwrite").options(**dict(IO.CSV_OPTIONS, header="false")).csv(p)
     return IO.read_index(spark, p)

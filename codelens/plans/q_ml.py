@@ -34,8 +34,20 @@ def training_table(spark, sf_dir, level: str = "Division"):
     return f.select("code", text.alias("text"), label.alias("label")).where(F.col("label").isNotNull())
 
 
+def stacked_training(spark, sf_dir, level: str = "Division"):
+    """The training table with the alphabetical index below it, labelled the same way."""
+    dictionary = training_table(spark, sf_dir, level)
+    entries = FX.index(spark, sf_dir).select("code", X.clean_text("definition").alias("text"))
+    if LEVEL_PREFIX[level] is None:
+        sections = TX.flatten(FX.dictionary(spark, sf_dir)).select("division", F.col("section").alias("label")).distinct()
+        entries = entries.withColumn("division", F.substring("code", 1, 2)).join(sections, "division").drop("division")
+    else:
+        entries = entries.withColumn("label", F.substring("code", 1, LEVEL_PREFIX[level]))
+    return dictionary.unionByName(entries)
+
+
 def fit_classifier(spark, sf_dir, level="Division"):
-    return ML.train_text_classifier(training_table(spark, sf_dir, level), "text", "label", model="nb")
+    return ML.train_text_classifier(stacked_training(spark, sf_dir, level), "text", "label", model="nb")
 
 
 @register("train_text_classifier")
@@ -69,13 +81,15 @@ def save_load_model(spark, sf_dir):
 
 
 def _page_clean(spark, sf_dir):
-    pt = FX.page_text(spark, sf_dir).where(F.col("kind") == "main")
-    return pt.select("page_id", "company", X.preprocess_tags(H.html_to_text("html")).alias("cleaned"))
+    """All pages, cleaned once: every step of the fit reads the written table."""
+    cleaned = {"cleaned": X.preprocess_tags(H.html_to_text("html"))}
+    pt = FX.page_text(spark, sf_dir, cleaned).select("page_id", "company", F.coalesce("cleaned", F.lit("")).alias("cleaned"))
+    return pt.checkpoint(eager=True)
 
 
 @register("kmeans_pages")
 def kmeans_pages(spark, sf_dir):
-    """10 clusters of main-page TF-IDF vectors (seed 0)."""
+    """10 clusters of page TF-IDF vectors (seed 0), main and sub pages."""
     return ML.kmeans_clusters(_page_clean(spark, sf_dir), "cleaned", k=10, seed=0).select("page_id", "company", "cluster")
 
 

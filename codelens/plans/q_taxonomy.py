@@ -209,13 +209,12 @@ def exact_dedupe(spark, sf_dir):
     return R.first_by_key(flat(spark, sf_dir), "title", "code", []).select("title", "code")
 
 
-@register("union_tables", with_views(["dictionary", "truth"], *FLAT_CTES, body="""
-    SELECT code, title AS text, CAST(NULL AS VARCHAR) AS company FROM flat
-    UNION ALL SELECT ssic_code AS code, CAST(NULL AS VARCHAR) AS text, company FROM truth"""))
+@register("union_tables", with_views(["dictionary", "index_entries"], body="""
+    SELECT code, title, groups, definition, examples FROM dictionary
+    UNION ALL SELECT code, NULL, NULL, definition, NULL FROM index_entries"""))
 def union_tables(spark, sf_dir):
-    a = flat(spark, sf_dir).select("code", F.col("title").alias("text"))
-    b = FX.truth(spark, sf_dir).select(F.col("ssic_code").alias("code"), "company")
-    return a.unionByName(b, allowMissingColumns=True)
+    """The dictionary with the alphabetical index below it; columns that the index lacks are null."""
+    return FX.dictionary(spark, sf_dir).unionByName(FX.index(spark, sf_dir), allowMissingColumns=True)
 
 
 @register("sort_tables", with_views(["truth"], body="SELECT * FROM truth ORDER BY company, ssic_code"))

@@ -74,6 +74,13 @@ def dictionary(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
     return out.checkpoint(eager=True) if materialize else out
 
 
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alphabetical index: (code, definition), one row per part, so also for
+    the parts whose code another part has in the dictionary."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return part.select(synthetic_code("p_partkey").alias("code"), F.concat(F.lit("index entry "), "p_name").alias("definition"))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return c.select(
@@ -140,6 +147,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEWS = {
     "dictionary": dictionary,
+    "index_entries": index,
     "truth": truth,
     "company_text": company_text,
     "page_text": page_text,

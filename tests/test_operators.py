@@ -210,3 +210,25 @@ def test_summary_keeps_documents_without_text(spark):
     docs = spark.createDataFrame([(1, "One two. Three four."), (2, None), (3, "")], "doc_id long, t string")
     got = {x.doc_id: x.summary for x in TF.extractive_summary(docs, "doc_id", "t", TF.tfidf(docs, "doc_id", "t")).collect()}
     assert got == {1: "One two. Three four.", 2: "", 3: ""}
+
+
+def test_classifier_tells_held_out_languages_apart_and_survives_saving(spark, tmp_dir):
+    from codelens.operators import ml as ML
+    from conftest import SF_SMALL
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    train, test = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    model = ML.train_text_classifier(train, "text", "lang")
+    top = ML.score_top_n(model, test, "doc_id", "text", 1, keep=["lang"])
+    shares = top.agg(F.avg((F.col("pred_code") == F.col("lang")).cast("int")).alias("right"), F.count(F.lit(1)).alias("n")).first()
+    assert shares.n > 50 and shares.right > 0.9, "chance is the largest language's share, about 0.6"
+    ML.save_model(model, f"{tmp_dir}/model")
+    again = ML.score_top_n(ML.load_model(f"{tmp_dir}/model"), test, "doc_id", "text", 1, keep=["lang"])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, top.collect()))
+
+
+def test_union_stacks_every_part(spark):
+    from codelens.sources import fixtures as FX
+    from conftest import SF_SMALL
+
+    assert FX.index(spark, SF_SMALL).count() == spark.read.parquet(f"{SF_SMALL}/part.parquet").count()
