@@ -49,11 +49,3 @@ def _sql(c) -> str:
 def synthetic_code(key) -> Column:
     """Deterministic 5-digit code derived from an integer key (fixture rule)."""
     return F.lpad((_col(key) * F.lit(37) % F.lit(100000)).cast("string"), 5, "0")
-
-
-def is_level(c, level: str) -> Column:
-    return F.length(_col(c)) == LEVEL_LENGTHS[level]
-
-
-def is_section_code(c) -> Column:
-    return _col(c).rlike("^[A-Z]$")

@@ -30,8 +30,6 @@ DOMAIN_WORDS = [
     "exchange", "securities", "trading", "limited", "company",
 ]
 
-# ASCII punctuation removed by ``preprocess_domain``.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # ASCII punctuation and digits as one character class: code points 33-64
 # (punctuation and 0-9), 91-96 and 123-126. Removing both in one pass equals
 # removing punctuation and then digit runs (both only delete characters).

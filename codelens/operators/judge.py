@@ -30,13 +30,6 @@ def top_k_per_entity(df: DataFrame, entity: str, score: str, code: str, k: int,
     return rank_within(df, entity, score, code, name).where(F.col(name) <= k)
 
 
-def dedupe_candidates(df: DataFrame, entity: str, code: str, score: str, keep: list[str] | None = None) -> DataFrame:
-    """One row per (entity, code) with its best score; ``keep`` columns are
-    entity-level attributes carried along."""
-    keep = keep or []
-    return df.groupBy(entity, code).agg(F.max(score).alias(score), *[F.first(c).alias(c) for c in keep])
-
-
 def linear_score(rank: Column, code: Column, declared: Column, top_n: int) -> Column:
     """0 at rank 1, (rank-1)/top_n when matched later, 1 when not matched."""
     hit = (rank <= top_n) & (code == declared)

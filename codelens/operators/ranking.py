@@ -17,19 +17,15 @@ def top_rows(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     if k <= SMALL_TOP_K:
         return df.orderBy(*order).limit(k)
     # Distributed: range-partition by the order, checkpoint so both passes see
-    # the same partitions, count rows per partition (one small row per
-    # partition), then keep rows whose global position is < k.
-    sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_df = sorted_df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mid", F.monotonically_increasing_id()
-    )
-    sorted_df = sorted_df.checkpoint(eager=True)
+    # the same partitions, number the rows within each, count rows per partition
+    # (one small row per partition), and keep rows whose global position is < k.
+    sorted_df = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # one row per partition
-    pos = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    out = sorted_df.join(F.broadcast(offsets.select("_pid", "_off")), "_pid").where(pos < k)
-    return out.drop("_pid", "_mid", "_off")
+    numbered = sorted_df.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    out = numbered.join(F.broadcast(offsets.select("_pid", "_off")), "_pid").where(F.col("_off") + F.col("_rn") <= k)
+    return out.drop("_pid", "_rn", "_off").orderBy(*order)
 
 
 def row_number_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -42,11 +38,6 @@ def top_k_within(df: DataFrame, keys: list[str], order: list[Column], k: int, na
     return row_number_within(df, keys, order, name).where(F.col(name) <= k)
 
 
-def best_row_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row per key after sorting (``row_number() == 1``)."""
-    return top_k_within(df, keys, order, 1, "_rn").drop("_rn")
-
-
 def first_by_key(df: DataFrame, key: str, order_col: str, cols: list[str]) -> DataFrame:
     """Row with the smallest ``order_col`` per key, via min_by (partial
     aggregation, no sort): sort by (key, order_col), keep first."""

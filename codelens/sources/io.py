@@ -23,6 +23,8 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
+# Without cells that span lines a file can be split among tasks.
+LINE_OPTIONS = {**CSV_OPTIONS, "multiLine": "false"}
 
 # Dictionary export column order (code, title, group list,
 # definition, cross references, examples) and the columns kept.
@@ -39,9 +41,10 @@ def read_csv_strings(spark: SparkSession, path: str, columns: list[str] | None =
     return r.csv(path)
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with an explicit schema (e.g. codes forced to string)."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """CSV with an explicit schema (e.g. codes forced to string); ``multi_line``
+    for cells that span lines, at the price of one task per file."""
+    return spark.read.options(**(CSV_OPTIONS if multi_line else LINE_OPTIONS)).schema(schema).csv(path)
 
 
 def read_dictionary(spark: SparkSession, path: str, keep: list[int] | None = DICTIONARY_KEEP) -> DataFrame:
@@ -60,7 +63,7 @@ def read_dictionary(spark: SparkSession, path: str, keep: list[int] | None = DIC
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Alphabetical index: (code, description, extra); the third column is
     dropped, rows with any null dropped, description renamed to definition."""
-    opts = dict(CSV_OPTIONS, header="false")
+    opts = dict(LINE_OPTIONS, header="false")
     schema = "code string, description string, extra string"
     df = spark.read.options(**opts).schema(schema).csv(path).where(F.col("code").rlike(CODE_PATTERN))
     return df.drop("extra").na.drop("any").withColumnRenamed("description", "definition")
