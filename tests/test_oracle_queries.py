@@ -7,9 +7,10 @@ from conftest import SF_MID, SF_SMALL
 from oracle_harness import compare, duck_connect
 
 import __spark_entry__ as E
+from codelens.plans import catalog
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+catalog.load_all()
+ORACLE, QUERIES = catalog.ORACLE, catalog.QUERIES
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
 
 

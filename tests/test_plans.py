@@ -8,10 +8,11 @@ import re
 import pytest
 from conftest import SF_SMALL
 
-import __spark_entry__ as E
+from codelens.plans import catalog
 
-QUERIES = E.queries()
-ROWS_ONLY = sorted(set(QUERIES) - set(E.oracle_sql()))  # the oracle sweep checks the others' plans
+catalog.load_all()
+QUERIES = catalog.QUERIES
+ROWS_ONLY = sorted(set(QUERIES) - set(catalog.ORACLE))  # the oracle sweep checks the others' plans
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 

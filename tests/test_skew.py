@@ -27,6 +27,37 @@ def test_reconcile_keeps_every_row_of_a_hot_key(spark):
     assert out.where((F.col("company") == "HOT") & (F.col("ssic_code") == "01111")).count() == 1000
 
 
+def test_a_hot_name_is_split_in_the_final_plan(spark):
+    """Half of all rows have one name: the plan that ran deals them to several tasks."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 60_000, 1, 8).select(
+            F.col("id").alias("doc_id"),
+            F.when(F.col("id") % 2 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("C"), F.col("id").cast("string"))).alias("company"),
+        )
+        truth = spark.range(0, 60_000, 3, 4).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("company"), F.lpad(F.col("id").cast("string"), 5, "0").alias("ssic_code"))
+        truth = truth.union(spark.createDataFrame([("HOT.", "01111")], "company string, ssic_code string"))
+        out = RC.reconcile(rows, truth)
+        assert out.where("company = 'HOT' and ssic_code = '01111'").count() == 30_000
+        out.write.format("noop").mode("overwrite").save()
+        joined = out.groupBy("ssic_code").count()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def test_per_key_aggregates_are_partial(spark):
     df = _skewed(spark)
     plan = R.dedupe(df, ["company"], order="doc_id")._jdf.queryExecution().executedPlan().toString()
