@@ -8,8 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from codelens.llm.common import documents
 from codelens.llm.queries import ORACLE, QUERIES
-from conftest import SF_SMALL
-from helpers import awkward, no_rows
+from helpers import SF_SMALL, awkward, no_rows
 
 
 def test_every_operator_has_a_query():
