@@ -37,12 +37,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
+def worker_state(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks.
+
+    One operator at a time: another owner's entries go first, so that the stages
+    of a pipeline do not pile up in a worker.
+    """
     name = "codelens_llm_worker_state"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-    return sys.modules[name].__dict__
+    state = sys.modules[name].__dict__
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

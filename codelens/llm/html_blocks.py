@@ -408,7 +408,7 @@ def extract(pages: DataFrame, model: bytes, settings: Settings = Settings(), htm
     kept = [f for f in pages.schema.fields if f.name not in (html_col, out_col)]
 
     def run(batches):
-        state, key = worker_state(), ("labeller", hash(shipped.value))
+        state, key = worker_state("html"), ("labeller", hash(shipped.value))
         if key not in state:
             state[key] = Labeller.loaded(shipped.value, settings)
         net = state[key]

@@ -64,7 +64,7 @@ class Vocabulary(dict):
         return i
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -334,7 +334,7 @@ def score(docs: DataFrame, net: Network, listed: list[bytes], text_col: str = "t
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "log_likelihood", "mean_log_likelihood")]
 
     def run(batches):
-        state, key = worker_state(), ("lm", hash(shipped.value[0]))
+        state, key = worker_state("lm"), ("lm", hash(shipped.value[0]))
         if key not in state:
             state[key] = (Network.loaded(shipped.value[0], s), Vocabulary(shipped.value[1], s))
         model, vocab = state[key]

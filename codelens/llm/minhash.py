@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.common import connected_components, stored, worker_state
-from codelens.llm.tokens import slices
+from codelens.llm.common import connected_components, stored
+from codelens.llm.tokens import distinct_strings, slices
 
 
 @dataclass(frozen=True)
@@ -43,23 +43,18 @@ class Settings:
     seed: int = 7
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of every run of ``words`` words; a shorter text is one run.
 
-    Words are what stands between the white space characters 9 to 13 and 32, A-Z lower-cased.
+    Words are what stands between the white space characters 9 to 13 and 32, A-Z
+    lower-cased; Arrow finds the distinct ones, and each of them is hashed once.
     """
-    hashes = worker_state().setdefault("word-hashes", _WordHashes())
-    if len(hashes) > 1_000_000:
-        hashes.clear()
-    split = [t.lower().split() for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+    column = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string())))
+    split = pc.ascii_split_whitespace(column)
+    sizes = np.where(pc.binary_length(column).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0).astype(np.int64)
+    coded = split.flatten().filter(pc.greater(pc.binary_length(split.flatten()), 0)).dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct_strings(coded.dictionary)], np.uint64)
+    flat = hashes[coded.indices.to_numpy()] if len(hashes) else hashes
     ends = np.cumsum(sizes)
     run = np.zeros(len(flat), np.uint64)
     for k in range(words):  # run[i] covers flat[i : i + words]; those across texts are not used

@@ -56,7 +56,7 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        distinct = _strings(coded.dictionary)
+        distinct = distinct_strings(coded.dictionary)
         known = self.index.get
         place = np.array([known(w, -1) for w in distinct], np.int64)
         new = np.flatnonzero(place < 0)
@@ -118,7 +118,7 @@ class WordEncoder:
         self.used += len(ids)
 
 
-def _strings(words: pa.Array) -> list[str]:
+def distinct_strings(words: pa.Array) -> list[str]:
     """Words without white space as a list; joined and split, which is much faster than one by one."""
     if not len(words):
         return []
@@ -166,7 +166,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None, id_col: st
     tail = np.array([] if end_id is None else [end_id], kind)
 
     def run(batches):
-        state = worker_state()
+        state = worker_state("tokens")
         key = ("encoder", hash(shipped.value))
         if key not in state:
             state[key] = WordEncoder(shipped.value)
