@@ -23,7 +23,7 @@ def test_read_csv_strings_multiline_and_leading_zeros(spark, tmp_dir):
     _write(p, 'UEN,name,code\n001,"Acme\nPte, ""Ltd""",01111\n002,Beta,20000\n')
     rows = IO.read_csv_strings(spark, p).collect()
     assert rows[0]["name"] == 'Acme\nPte, "Ltd"' and rows[0]["code"] == "01111" and rows[0]["UEN"] == "001"
-    typed = IO.read_csv_typed(spark, p, "UEN string, name string, code int").collect()
+    typed = IO.read_csv_typed(spark, p, "UEN string, name string, code int", multi_line=True).collect()
     assert typed[0]["code"] == 1111  # what inference would do; strings keep the zero
 
 
