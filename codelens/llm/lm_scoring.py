@@ -201,22 +201,36 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
     return chosen - np.log(np.exp(x, out=x).sum(1))
 
 
-def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """The listed words by falling count (ties by bytes), and every id's share of a class.
+@dataclass(frozen=True)
+class Words:
+    """``listed``: words with ids of their own; ``order``: every id's place; ``totals``: tokens behind each of the shared ids; ``counts``: every word's."""
+
+    listed: list[bytes]
+    order: np.ndarray
+    totals: np.ndarray
+    counts: DataFrame
+
+
+def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> Words:
+    """The listed words by falling count (ties by bytes), every id's share of a class, and the table of all words' counts.
 
     Counts are over all words of all texts: each task adds up its own before the
-    shuffle, Spark sums them. The driver gets the listed words alone, a number
-    that ``Settings`` fixes.
+    shuffle, Spark sums them. The driver gets the listed words and one sum per
+    shared id, numbers that ``Settings`` fixes; the other words stay in the table.
     """
     counts = stored(
         docs.select(text_col).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts"
     )
     listed = counts.orderBy(F.col("n").desc(), "word").limit(s.words - s.others).collect()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    totals = np.zeros(s.others)
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(s.others)).alias("other")).agg(F.sum("n").alias("n")).collect():
+        totals[r["other"]] = r["n"]
+    for r in listed:
+        totals[zlib.crc32(r["word"]) % s.others] -= r["n"]
     mass = np.full(s.words, 0.0)
     mass[: len(listed)] = [r["n"] for r in listed]
-    mass[s.words - s.others :] = (total - mass.sum()) / s.others
-    return [bytes(r["word"]) for r in listed], _classes(mass, s)
+    mass[s.words - s.others :] = totals
+    return Words([bytes(r["word"]) for r in listed], _classes(mass, s), totals, counts)
 
 
 def _classes(mass: np.ndarray, s: Settings) -> np.ndarray:
@@ -249,7 +263,38 @@ def _count_words(batches):
     yield from emptied()
 
 
-def train(docs: DataFrame, listed: list[bytes], order: np.ndarray, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def encoded(docs: DataFrame, words: Words, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table of every row's other columns (``kept``), a row number, the words' ids (16 bits) and its words without an id of their own."""
+    kept = [f.name for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "log_likelihood", "mean_log_likelihood")]
+    shipped = docs.sparkSession.sparkContext.broadcast(words.listed)
+
+    def run(batches):
+        vocab = Vocabulary(shipped.value, s)
+        for batch in batches:
+            for first, texts in slices(batch.column(2), 1 << 20):
+                ids, rare = [], []
+                for t in texts:
+                    found = words_of(t)
+                    ids.append(vocab.ids(found))
+                    rare.append([found[i] for i in np.flatnonzero(ids[-1] >= vocab.first_other).tolist()])
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
+                    names=["kept", "key", "ids", "rare"],
+                )
+
+    source = docs.select(F.struct(*kept).alias("kept"), F.xxhash64(id_col, text_col).alias("key"), text_col)
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType()))])
+    return stored(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-ids")
+
+
+def _texts(keys: pa.Array, blobs: pa.Array, most: int = 1 << 20):
+    """(first row, keys, ids of all texts, sizes) for runs of rows with about ``most`` bytes of ids."""
+    for first, some in slices(blobs, most):
+        yield first, keys.slice(first, len(some)), np.frombuffer(b"".join(some), "<u2").astype(np.int64), np.array([len(x) // 2 for x in some])
+
+
+def train(table: DataFrame, order: np.ndarray, s: Settings) -> Network:
     """Local steps in every task, averaged after each round.
 
     A seeded share ``masked`` of all places of all texts is drawn, once, into a
@@ -259,37 +304,25 @@ def train(docs: DataFrame, listed: list[bytes], order: np.ndarray, s: Settings,
     come back weighted by examples, summed by Spark key by key, so that the
     driver gets one network, whatever the number of tasks.
     """
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(listed)
+    spark = table.sparkSession
 
     def examples(batches):
-        vocab = Vocabulary(words.value, s)
         net = Network(s, {}, order)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for first, texts in slices(batch.column(1)):
-                parts, drawn, size = [], [], 0
-                begin = []
-                for key, t in zip(keys[first : first + len(texts)], texts, strict=True):
-                    ids = vocab.ids(words_of(t))
-                    rng = np.random.default_rng((key & 0xFFFFFFFFFFFFFFFF, s.seed))
-                    begin.append(size)
-                    drawn.append(size + np.flatnonzero(rng.random(len(ids)) < s.masked))
-                    parts.append(ids)
-                    size += len(ids)
-                if not size:
+            for _, keys, ids, sizes in _texts(batch.column(0), batch.column(1)):
+                if not len(ids):
                     continue
-                ids, where = np.concatenate(parts), np.concatenate(drawn)
-                rows = np.hstack([net.contexts(ids, np.array(begin), where), ids[where][:, None]]).astype("<u2")
-                rng = np.random.default_rng((keys[first] & 0xFFFFFFFFFFFFFFFF, s.seed, 1))
-                part = rng.integers(0, s.rounds, len(rows))
+                seeds = [k & 0xFFFFFFFFFFFFFFFF for k in keys.to_pylist()]
+                drawn = [np.random.default_rng((k, s.seed)).random(n) < s.masked for k, n in zip(seeds, sizes.tolist(), strict=True)]
+                where = np.flatnonzero(np.concatenate(drawn))
+                rows = np.hstack([net.contexts(ids, np.cumsum(sizes) - sizes, where), ids[where][:, None]]).astype("<u2")
+                part = np.random.default_rng((seeds[0], s.seed, 1)).integers(0, s.rounds, len(rows))
                 made = [rows[part == r] for r in range(s.rounds)]
                 yield pa.RecordBatch.from_pydict(
                     {"round": pa.array(range(s.rounds), pa.int32()), "n": pa.array([len(x) for x in made], pa.int64()), "rows": pa.array([x.tobytes() for x in made], pa.binary())}
                 )
 
-    source = docs.select(F.xxhash64(id_col, text_col).alias("key"), text_col)
-    table = stored(source.mapInArrow(examples, "round int, n long, rows binary"), "lm-examples")
+    drawn = stored(table.select("key", "ids").mapInArrow(examples, "round int, n long, rows binary"), "lm-examples")
     net = Network.fresh(s, order)
     names = list(net.v)
     for r in range(s.rounds):
@@ -310,7 +343,7 @@ def train(docs: DataFrame, listed: list[bytes], order: np.ndarray, s: Settings,
                         {"name": pa.array([i], pa.int32()), "at": pa.array([at], pa.int64()), "weight": pa.array([weight]), "values": pa.array([flat[at : at + 16384].astype("<f4").tobytes()], pa.binary())}
                     )
 
-        local = table.where((F.col("round") == r) & (F.col("n") > 0)).select("rows").mapInArrow(steps, "name int, at long, weight double, values binary")
+        local = drawn.where((F.col("round") == r) & (F.col("n") > 0)).select("rows").mapInArrow(steps, "name int, at long, weight double, values binary")
         summed = local.groupBy("name", "at").applyInArrow(_mean_of_weights, "name int, at long, values binary").orderBy("name", "at").collect()
         if summed:
             for i, name in enumerate(names):
@@ -326,46 +359,52 @@ def _mean_of_weights(key, group):
     return pa.table({"name": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "values": pa.array([mean], pa.binary())})
 
 
-def score(docs: DataFrame, net: Network, listed: list[bytes], text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_tokens, log_likelihood (sum over all words) and mean_log_likelihood (null without words)."""
+def score(table: DataFrame, net: Network, words: Words) -> DataFrame:
+    """``kept`` columns with n_tokens, log_likelihood (sum over all words) and mean_log_likelihood (null without words).
+
+    A shared id's probability is divided among its words by their counts: the
+    network and the shared ids' totals are applied in the tasks, the words' own
+    counts are joined from the counted table.
+    """
     s = net.s
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((net.saved(), listed))
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "log_likelihood", "mean_log_likelihood")]
+    spark = table.sparkSession
+    with np.errstate(divide="ignore"):
+        own = np.concatenate((np.zeros(s.words - s.others), -np.log(words.totals)))
+    shipped = spark.sparkContext.broadcast((net.saved(), own))
 
     def run(batches):
         state, key = worker_state("lm"), ("lm", hash(shipped.value[0]))
         if key not in state:
-            state[key] = (Network.loaded(shipped.value[0], s), Vocabulary(shipped.value[1], s))
-        model, vocab = state[key]
+            state[key] = Network.loaded(shipped.value[0], s)
+        model, own = state[key], shipped.value[1]
         for batch in batches:
-            for first, texts in slices(batch.column(batch.schema.get_field_index(text_col)), 1 << 20):
-                ids = [vocab.ids(words_of(t)) for t in texts]
-                sizes = np.array([len(x) for x in ids])
-                sums = np.zeros(len(ids))
-                if sizes.sum():
-                    flat, begin = np.concatenate(ids), np.cumsum(sizes) - sizes
-                    everywhere = np.arange(len(flat))
-                    each = model.log_probabilities(model.contexts(flat, begin, everywhere), flat)
-                    np.add.at(sums, np.repeat(np.arange(len(ids)), sizes), each)
-                part = batch.slice(first, len(texts))
-                mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+            for first, _, ids, sizes in _texts(batch.column(1), batch.column(2)):
+                sums = np.zeros(len(sizes))
+                if len(ids):
+                    each = model.log_probabilities(model.contexts(ids, np.cumsum(sizes) - sizes, np.arange(len(ids))), ids) + own[ids]
+                    np.add.at(sums, np.repeat(np.arange(len(sizes)), sizes), each)
+                part = batch.slice(first, len(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(f.name)) for f in kept), pa.array(sizes, pa.int64()), pa.array(sums), mean],
-                    names=[*(f.name for f in kept), "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sums)], names=["kept", "row", "n_tokens", "shared"]
                 )
 
-    schema = T.StructType(
-        [*kept, T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]
+    schema = T.StructType([table.schema["kept"], table.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("shared", T.DoubleType())])
+    shared = table.select("kept", "row", "ids").mapInArrow(run, schema)
+    rare = table.select("row", F.explode("rare").alias("word")).join(words.counts, "word")
+    shares = rare.groupBy("row").agg(F.sum(F.log("n")).alias("share"))
+    total = F.col("shared") + F.coalesce("share", F.lit(0.0))
+    return shared.join(shares, "row", "left").select(
+        "kept.*", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood")
     )
-    return docs.select(*[f.name for f in kept], text_col).mapInArrow(run, schema)
 
 
 def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every document by the words' log-probabilities given both sides.
 
     The network is trained on the documents themselves: words counted over all
-    texts, places drawn from all texts. ``docs``' columns but the text pass through.
+    texts, places drawn from all texts. Every counted word has a probability of
+    its own: the listed ones from the network, the others their id's, divided
+    by their counts. ``docs``' columns but the text pass through.
 
     Null and empty texts have no words: sum 0, mean null. A text of any length is
     scored whole (its words, not its document, are batched). Repeated rows are
@@ -373,6 +412,6 @@ def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings(), id_col:
     depend on how rows are dealt to tasks, as local steps do; on the same files
     and settings they repeat.
     """
-    listed, order = vocabulary(docs, settings, text_col)
-    net = train(docs, listed, order, settings, id_col, text_col)
-    return score(docs, net, listed, text_col)
+    words = vocabulary(docs, settings, text_col)
+    table = encoded(docs, words, settings, id_col, text_col)
+    return score(table, train(table, words.order, settings), words)

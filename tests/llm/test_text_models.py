@@ -55,6 +55,26 @@ def test_trained_network_tells_order_from_disorder(spark):
     assert np.mean(kept) > -np.log(40), "better than guessing among the words"
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Words that share an id: one 30 times as frequent scores log 30 higher, and all words' probabilities sum to 1."""
+    import zlib
+
+    few = lm_scoring.Settings(classes=2, per_class=4, others=2, hidden=4, size=2, masked=0.5, rounds=1, batch=64)
+    same = [w for w in (f"w{i}" for i in range(100)) if zlib.crc32(w.encode()) % 2 == 0][:3]
+    often, once = same[0], same[1:]
+    listed = [f"common{i}" for i in range(6)]
+    texts = [" ".join(listed)] * 60 + [often] * 30 + once
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = lm_scoring.vocabulary(docs, few)
+    table = lm_scoring.encoded(docs, words, few)
+    net = lm_scoring.train(table, words.order, few)
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(table, net, words).collect()}
+    assert got[60] - got[90] == pytest.approx(np.log(30), abs=1e-4) and got[90] == pytest.approx(got[91], abs=1e-4)
+    edge = np.full((8, 2 * few.reach), few.words)
+    ids = np.exp(net.log_probabilities(edge, np.arange(8)))
+    assert np.exp([got[60], got[90], got[91]]).sum() == pytest.approx(ids[6], rel=1e-3), "the words of an id share its probability"
+
+
 def test_scoring_awkward_rows(spark):
     docs = awkward(spark)
     got = lm_scoring.pseudo_likelihood(docs, SMALL).collect()
