@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -20,17 +21,17 @@ from codelens.llm.tokens import slices
 
 @dataclass(frozen=True)
 class Settings:
-    """``classes`` x ``per_class`` words have rows of their own; ``masked`` is the share of places learned from."""
+    """``classes`` x ``per_class`` words have rows of their own; ``masked`` is the share of places hidden at a time, in ``rounds`` rounds at least."""
 
-    classes: int = 32
+    classes: int = 64
     per_class: int = 64
     others: int = 256
     reach: int = 2
     size: int = 16
-    hidden: int = 24
-    masked: float = 0.06
+    hidden: int = 32
+    masked: float = 0.1
     rounds: int = 3
-    batch: int = 512
+    batch: int = 1024
     rate: float = 0.1
     seed: int = 3
 
@@ -38,6 +39,11 @@ class Settings:
     def words(self) -> int:
         return self.classes * self.per_class
 
+    @property
+    def parts(self) -> int:
+        """Every place is in one of so many parts, each masked in a round of its own."""
+        return max(1, math.ceil(1 / self.masked))
+
 
 MARKS = tuple(bytes([c]) for c in b".,;:!?()|\"")
 
@@ -102,7 +108,7 @@ class Network:
         """Ids around the places ``where``; row ``words`` of the embedding stands outside the text."""
         s = self.s
         padded = np.full(len(ids) + len(begin) * s.reach + s.reach, s.words, np.int64)
-        text = np.searchsorted(begin, np.arange(len(ids)), side="right")
+        text = np.repeat(np.arange(1, len(begin) + 1), np.diff(begin, append=len(ids)))
         padded[np.arange(len(ids)) + text * s.reach] = ids
         at = where + text[where] * s.reach if len(where) else where
         around = [k for k in range(-s.reach, s.reach + 1) if k]
@@ -135,10 +141,9 @@ class Network:
         out[by_class] = found
         return out
 
-    def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of Adagrad steps over examples in random order."""
+    def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, sums: dict[str, np.ndarray]) -> None:
+        """One pass of Adagrad steps over examples in random order; ``sums`` go on from call to call."""
         s, v = self.s, self.v
-        sums = {k: np.full_like(x, 1e-3) for k, x in v.items()}
         place = self.order[target]
         everything = rng.permutation(len(target))
         for first in range(0, len(everything), s.batch):
@@ -294,48 +299,63 @@ def _texts(keys: pa.Array, blobs: pa.Array, most: int = 1 << 20):
         yield first, keys.slice(first, len(some)), np.frombuffer(b"".join(some), "<u2").astype(np.int64), np.array([len(x) // 2 for x in some])
 
 
+#: Examples that a task puts in random order at once (memory only).
+EXAMPLES = 1 << 18
+
+
+def part_of(keys: np.ndarray, sizes: np.ndarray, s: Settings) -> np.ndarray:
+    """The part of every place of texts with these keys and sizes, by a hash of key and place."""
+    place = np.arange(int(sizes.sum()), dtype=np.uint64) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.uint64)
+    z = np.repeat(keys.astype(np.uint64), sizes) + (place + np.uint64(s.seed)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) % np.uint64(s.parts)).astype(np.int64)
+
+
+def examples(net: Network, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, r: int) -> np.ndarray:
+    """The neighbours on both sides and the word of all places that round ``r`` masks, a row each."""
+    where = np.flatnonzero(part_of(keys, sizes, net.s) == r % net.s.parts)
+    return np.hstack([net.contexts(ids, np.cumsum(sizes) - sizes, where), ids[where][:, None]])
+
+
 def train(table: DataFrame, order: np.ndarray, s: Settings) -> Network:
     """Local steps in every task, averaged after each round.
 
-    A seeded share ``masked`` of all places of all texts is drawn, once, into a
-    written table of examples (a word and its neighbours on both sides), cut at
-    random into ``rounds`` parts. In a round each task of that part starts from
-    the shared weights and makes Adagrad steps over its examples; the weights
-    come back weighted by examples, summed by Spark key by key, so that the
-    driver gets one network, whatever the number of tasks.
+    A seeded hash deals all places of all texts to parts of a share ``masked``
+    each, and every round masks the next part, until all places have been learned
+    from. In a round each task starts from the shared weights and makes Adagrad
+    steps over its masked places, so many at a time; the weights come back
+    weighted by examples, summed by Spark key by key, so that the driver gets
+    one network, whatever the number of tasks.
     """
     spark = table.sparkSession
-
-    def examples(batches):
-        net = Network(s, {}, order)
-        for batch in batches:
-            for _, keys, ids, sizes in _texts(batch.column(0), batch.column(1)):
-                if not len(ids):
-                    continue
-                seeds = [k & 0xFFFFFFFFFFFFFFFF for k in keys.to_pylist()]
-                drawn = [np.random.default_rng((k, s.seed)).random(n) < s.masked for k, n in zip(seeds, sizes.tolist(), strict=True)]
-                where = np.flatnonzero(np.concatenate(drawn))
-                rows = np.hstack([net.contexts(ids, np.cumsum(sizes) - sizes, where), ids[where][:, None]]).astype("<u2")
-                part = np.random.default_rng((seeds[0], s.seed, 1)).integers(0, s.rounds, len(rows))
-                made = [rows[part == r] for r in range(s.rounds)]
-                yield pa.RecordBatch.from_pydict(
-                    {"round": pa.array(range(s.rounds), pa.int32()), "n": pa.array([len(x) for x in made], pa.int64()), "rows": pa.array([x.tobytes() for x in made], pa.binary())}
-                )
-
-    drawn = stored(table.select("key", "ids").mapInArrow(examples, "round int, n long, rows binary"), "lm-examples")
     net = Network.fresh(s, order)
     names = list(net.v)
-    for r in range(s.rounds):
+    for r in range(max(s.rounds, s.parts)):
         now = spark.sparkContext.broadcast(net.saved())
 
         def steps(batches, now=now, r=r):
-            blobs = [x for batch in batches for x in batch.column(0).to_pylist()]
-            if not blobs:
-                return
-            data = np.frombuffer(b"".join(blobs), "<u2").reshape(-1, 2 * s.reach + 1).astype(np.int64)
             local = Network.loaded(now.value, s)
-            local.train(data[:, :-1], data[:, -1], np.random.default_rng((s.seed, r, len(data))))
-            weight = float(len(data))
+            sums = {k: np.full_like(x, 1e-3) for k, x in local.v.items()}
+            rng, waiting, learned = np.random.default_rng((s.seed, r)), [], 0
+
+            def learn():
+                data = np.concatenate(waiting).astype(np.int64)
+                waiting.clear()
+                local.train(data[:, :-1], data[:, -1], rng, sums)
+                return len(data)
+
+            for batch in batches:
+                for _, keys, ids, sizes in _texts(batch.column(0), batch.column(1)):
+                    if len(ids):
+                        waiting.append(examples(local, keys.to_numpy(), ids, sizes, r).astype("<u2"))
+                    if sum(map(len, waiting)) >= EXAMPLES:
+                        learned += learn()
+            if waiting:
+                learned += learn()
+            if not learned:
+                return
+            weight = float(learned)
             for i, name in enumerate(names):
                 flat = local.v[name].ravel() * np.float32(weight)
                 for at in range(0, len(flat), 16384):
@@ -343,12 +363,13 @@ def train(table: DataFrame, order: np.ndarray, s: Settings) -> Network:
                         {"name": pa.array([i], pa.int32()), "at": pa.array([at], pa.int64()), "weight": pa.array([weight]), "values": pa.array([flat[at : at + 16384].astype("<f4").tobytes()], pa.binary())}
                     )
 
-        local = drawn.where((F.col("round") == r) & (F.col("n") > 0)).select("rows").mapInArrow(steps, "name int, at long, weight double, values binary")
+        local = table.select("key", "ids").mapInArrow(steps, "name int, at long, weight double, values binary")
         summed = local.groupBy("name", "at").applyInArrow(_mean_of_weights, "name int, at long, values binary").orderBy("name", "at").collect()
         if summed:
             for i, name in enumerate(names):
                 flat = np.frombuffer(b"".join(bytes(x["values"]) for x in summed if x["name"] == i), "<f4")
                 net.v[name] = flat.reshape(net.v[name].shape).copy()
+        now.unpersist()
     return net
 
 
@@ -402,7 +423,7 @@ def pseudo_likelihood(docs: DataFrame, settings: Settings = Settings(), id_col:
     """Score every document by the words' log-probabilities given both sides.
 
     The network is trained on the documents themselves: words counted over all
-    texts, places drawn from all texts. Every counted word has a probability of
+    texts, every place of every text learned from. Every counted word has a probability of
     its own: the listed ones from the network, the others their id's, divided
     by their counts. ``docs``' columns but the text pass through.
 

@@ -15,8 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+LM = lm_scoring.Settings(reach=3)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.pseudo_likelihood(documents(spark, sf_dir).select("doc_id", "text"))
+    return lm_scoring.pseudo_likelihood(documents(spark, sf_dir).select("doc_id", "text"), LM)
 
 
 NEAR = minhash.Settings(words=4)

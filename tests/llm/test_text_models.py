@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelens.llm import html_blocks, lm_scoring, toxicity
+from codelens.llm.queries import LM
 from helpers import awkward, no_rows, words
 
 
@@ -75,6 +76,27 @@ def test_every_word_has_a_probability_of_its_own(spark):
     assert np.exp([got[60], got[90], got[91]]).sum() == pytest.approx(ids[6], rel=1e-3), "the words of an id share its probability"
 
 
+def test_all_places_are_learned_from_once():
+    sizes = np.array([500, 0, 1, 3000])
+    keys, ids = np.array([5, -7, 9, -(2**62)]), np.arange(3501)
+    net = lm_scoring.Network(LM, {}, np.zeros(0))
+    rounds = [lm_scoring.examples(net, keys, ids, sizes, r) for r in range(LM.parts)]
+    assert sorted(np.concatenate(rounds)[:, -1].tolist()) == ids.tolist()
+    assert all(0.05 < len(x) / 3501 < 0.2 for x in rounds), "a round masks a part only"
+
+
+def test_query_settings_tell_order_from_disorder(spark):
+    texts, shuffled = grammar(2000, 3), []
+    for i, t in enumerate(grammar(50, 4)):
+        w = t.split()
+        random.Random(i).shuffle(w)
+        shuffled.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts + shuffled)), "doc_id long, text string").repartition(3)
+    score = {r.doc_id: r.mean_log_likelihood for r in lm_scoring.pseudo_likelihood(docs, LM).collect()}
+    kept, mixed = [score[i] for i in range(2000)], [score[i] for i in range(2000, 2050)]
+    assert min(kept) > max(mixed) and np.mean(kept) > -np.log(40)
+
+
 def test_scoring_awkward_rows(spark):
     docs = awkward(spark)
     got = lm_scoring.pseudo_likelihood(docs, SMALL).collect()
