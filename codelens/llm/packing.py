@@ -6,15 +6,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.common import stored
+from codelens.llm.common import shuffle_width, stored
 from codelens.llm.tokens import encoded, id_type
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+#: Sampled terms that rows are ordered by.
+DRAWS = 4
 
 
 class ShardIndex:
@@ -103,9 +106,9 @@ def pack(
     Texts are encoded once into a written table. Document frequencies of all
     ids are counted over the whole corpus (one partial table per task, summed by
     Spark; at most one row per id of the vocabulary comes back). Rows are dealt
-    to shards of about ``shard_tokens`` tokens by a hash of a row number, so no
-    id, source or group of copies makes a shard large, and each shard builds its
-    inverted index and packs its rows. Shards fit a task's memory at any corpus
+    to shards of about ``shard_tokens`` tokens by content (``shards_of``), and
+    each shard builds its inverted index and packs its rows; neighbours are
+    looked for within the shard. Shards fit a task's memory at any corpus
     size; a document larger than a shard only makes its own shard larger.
 
     Null and empty texts are the end id alone. Ties go by position in the shard
@@ -121,9 +124,10 @@ def pack(
     n_docs, n_tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     df = np.zeros(int(frequency["term"].max()) + 1 if len(frequency) else 1)
     df[frequency["term"].to_numpy(np.int64)] = frequency["df"].to_numpy()
-    idf = spark.sparkContext.broadcast(np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5))))
+    weights = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))
+    idf = spark.sparkContext.broadcast(weights)
     mean_size = n_tokens / max(n_docs, 1)
-    shards = max(1, -(-int(n_tokens) // shard_tokens))
+    dealt = shards_of(table, np.where(df > 1, weights, 0.0), stored_as, shard_tokens)
 
     def run(key, group):
         group = group.sort_by([("id", "ascending"), ("row", "ascending")])
@@ -144,13 +148,73 @@ def pack(
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long")
-    packed = table.withColumn("shard", shard).groupBy("shard").applyInArrow(
+    packed = table.join(dealt, "row").groupBy("shard").applyInArrow(
         run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
     return packed.withColumnRenamed("id", id_col)
 
 
+def shards_of(table: DataFrame, weights: np.ndarray, stored_as: str, shard_tokens: int) -> DataFrame:
+    """(row, shard): rows that are alike next to each other, cut every ``shard_tokens`` tokens.
+
+    Of every row ``DRAWS`` terms are drawn by weighted min-hash (two rows draw the
+    same term about as often as they share weight), and rows are ordered by them:
+    near copies agree in all, rows of a topic in the first ones. Ranges of that
+    order are sampled by Spark and include the row number, so that a large group
+    of copies is cut too; the driver gets one token count per range.
+    """
+    spark = table.sparkSession
+    with np.errstate(divide="ignore"):
+        race = np.random.default_rng(7).exponential(size=(DRAWS, len(weights))) / weights
+    shipped = spark.sparkContext.broadcast(race)
+    names = [f"draw{i}" for i in range(DRAWS)]
+
+    def draws(batches):
+        for batch in batches:
+            sizes = batch.column(1).to_numpy().astype(np.int64)
+            found = []
+            for first in range(0, len(sizes), 256):
+                some = sizes[first : first + 256]
+                ids = np.frombuffer(b"".join(batch.column(2).slice(first, 256).to_pylist()), stored_as)
+                doc = np.repeat(np.arange(len(some), dtype=np.uint64), some)
+                pairs, counts = np.unique((doc << np.uint64(32)) | ids, return_counts=True)
+                docs, terms = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                tf = counts * (K1 + 1) / (counts + K1)
+                taken = np.full((DRAWS, len(some)), -1, np.int64)
+                begin = np.searchsorted(docs, np.arange(len(some)))
+                with_terms = np.flatnonzero(np.diff(begin, append=len(docs)))
+                for k in range(DRAWS if len(docs) else 0):
+                    time = shipped.value[k][terms] / tf
+                    least = np.full(len(some), np.inf)
+                    least[with_terms] = np.minimum.reduceat(time, begin[with_terms])
+                    won = np.flatnonzero((time == least[docs]) & np.isfinite(time))
+                    taken[k, docs[won]] = terms[won]
+                found.append(taken)
+            taken = np.concatenate(found, axis=1) if found else np.zeros((DRAWS, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in taken)], names=["row", "n_tokens", *names])
+
+    def running(batches):
+        before, at = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            ends = before + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ends - sizes), pa.array(np.full(len(sizes), at, np.int32))], names=["row", "n_tokens", "before", "range"]
+            )
+            before = int(ends[-1]) if len(ends) else before
+
+    drawn = stored(table.select("row", "n_tokens", "ids").mapInArrow(draws, "row long, n_tokens long, " + ", ".join(f"{n} long" for n in names)), "packing-draws")
+    order = [*names, "row"]
+    ranged = drawn.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    placed = stored(ranged.select("row", "n_tokens").mapInArrow(running, "row long, n_tokens long, before long, range int"), "packing-places")
+    offsets, total = [], 0
+    for r in placed.groupBy("range").agg(F.sum("n_tokens").alias("n")).orderBy("range").collect():
+        offsets.append((r["range"], total))
+        total += r["n"]
+    offset = spark.createDataFrame(offsets, "range int, offset long")
+    return placed.join(F.broadcast(offset), "range").select("row", F.floor((F.col("offset") + F.col("before")) / F.lit(shard_tokens)).cast("long").alias("shard"))
+
+
 def _document_frequencies(batches, stored_as):
     counts = np.zeros(0, np.int64)
     for batch in batches:

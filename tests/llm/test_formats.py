@@ -127,6 +127,20 @@ def test_neighbours_are_the_lexically_closest():
     assert scores == pytest.approx(plain)
 
 
+def test_near_copies_meet_in_a_shard(spark):
+    docs = []
+    for g in range(100):
+        base = words(300, g).split()
+        for copy in range(2):
+            docs.append((copy * 100 + g, " ".join([*base[:-3], *words(3, 1000 + 2 * g + copy).split()])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    shards = defaultdict(set)
+    for p in packing.pack(df, tokenizer_json(), end_id=1, shard_tokens=20_000).select("doc_id", "sequence_id").collect():
+        shards[p.doc_id].add(p.sequence_id >> 32)
+    assert len(set.union(*shards.values())) >= 5 and all(len(x) == 1 for x in shards.values())
+    assert sum(shards[g] == shards[100 + g] for g in range(100)) >= 85
+
+
 def test_packing_awkward_rows(spark):
     docs = awkward(spark)
     pieces = packing.pack(docs, tokenizer_json()).collect()
