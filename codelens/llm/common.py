@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codelens.session import ensure_checkpoint_dir
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     The written table cuts the lineage: a lost executor costs a re-read, not the
@@ -21,7 +21,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,6 +37,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes in DuckDB SQL: shifts and a table made by eight steps a byte."""
+    step = "list_transform({0}, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    table = "range(256)"
+    for _ in range(8):
+        table = step.format(table)
+    body = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    fold = f"list_reduce({body}, lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1]), 4294967295)"
+    return f"(SELECT xor({fold}, 4294967295) FROM (SELECT {table} AS t) crc_table)"
+
+
 def worker_state(owner: str) -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks.
 
