@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import content_sort, embed_dedup, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, sanitise, toxicity
+from codelens.llm import content_sort, embed_dedup, html_blocks, lm_scoring, minhash, mixing, packing, perspectives, repair, resampling, sanitise, secrets, toxicity
 from codelens.llm.common import documents
 
 
@@ -83,6 +83,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(documents(spark, sf_dir))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.report(turns, repair.repair(repair.damaged(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -94,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_resampling": op12_resampling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -102,4 +118,7 @@ ORACLE: dict[str, str] = {
     "op4_embedding_near_dedup": embed_dedup.oracle_sql(embed_dedup.Settings().cosine),
     "op7_exact_dedup": content_sort.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op11_secret_scan": secrets.oracle_sql(),
+    "op12_resampling": resampling.oracle_sql(),
+    "op13_conversation_repair": repair.oracle_sql(),
 }
