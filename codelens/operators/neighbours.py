@@ -1,40 +1,72 @@
 """Exact cosine top-k neighbours between two sets of vectors.
 
-Plan: both sides are cut into hash blocks of bounded size. Every (query block,
-reference block) pair meets in one cogroup task, where numpy multiplies the two
-blocks (in chunks of query rows, so memory is bounded) and keeps only the k
-best references per query row. A final window keeps the global k best. No pair
-is ever emitted as a row, no task sees more than two bounded blocks, and
-nothing passes through the driver; the only driver work is one small job that
-counts both sides to size the blocks.
-
-Cost: exact search is O(n_q * n_r) multiply-adds by nature. The shuffle
-carries each query row once per reference block and each reference row once
-per query block: n_q * ceil(n_r / B) + n_r * b_q rows for block size B.
+Small reference sets fit one block: queries are split, each split meets the block
+in one cogroup task, and numpy keeps the k best references per query.
+
+Larger ones are pruned, and stay exact:
+
+1. A spread sample of the references (pivots, bounded in bytes) cuts them into
+   groups around their nearest pivot. Each group has a radius: the largest angle
+   between the pivot and a member. A group of more than a block's rows is split
+   into several blocks, so a group of copies of any size is many tasks.
+2. Every query first meets the groups of its nearest pivots that together hold k
+   references. That gives a lower bound, its k-th similarity so far.
+3. No member of a group is nearer than angle(query, pivot) - radius. Groups whose
+   bound is below the k-th similarity cannot add a neighbour and are skipped; the
+   query meets the blocks of the others.
+
+No pair is ever emitted as a row. A task sees one block of references and a
+bounded split of the queries that visit it; vectors travel as Arrow arrays of
+their own width (a float stays 4 bytes), sized by bytes, and other columns are
+only gathered by place. On vectors without any structure nothing can be skipped
+and the work is that of all pairs; memory stays bounded all the same.
 
 Ties: similarity is rounded to 6 decimals and ties go to the smaller reference
-id, which is also the order the SQL oracle uses.
+id, which is also the order the SQL oracle uses. The skip rule leaves a margin
+of two units of that rounding.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIM_DECIMALS = 6
-_TEXT_SAFE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType, T.DateType)
+MARGIN = 2 * 10.0**-SIM_DECIMALS
 # Similarities are computed for at most this many (query, reference) pairs at
 # a time inside a task (8 bytes each, plus a few temporaries): task memory
 # stays bounded whatever the block sizes are.
 MAX_PAIRS_PER_CHUNK = 1 << 22
+# Bytes of vectors in a block, and of all pivots together (they go to every task).
+BLOCK_BYTES = 16 << 20
+PIVOT_BYTES = 32 << 20
+# The table of blocks and the number of their splits is broadcast up to this many rows (they are counted).
+BROADCAST_MAX_SPLITS = 1_000_000
+# Groups for each block's worth of references.
+GROUPS_PER_BLOCK = 8
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column without null lists as a float64 matrix; a null element is NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _units(mat: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(mat, axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return mat / norm
 
 
-def _top_k_block(q_ids, q_mat, r_ids, r_mat, k):
+def _top_k_block(q_mat, r_ids, r_mat, k):
     """Best k (rounded sim desc, ref id asc) per query row of one block pair.
 
     Returns (query index, reference index, sim) arrays.
@@ -68,6 +100,216 @@ def _top_k_block(q_ids, q_mat, r_ids, r_mat, k):
     return qi[keep], ri[keep], s[keep]
 
 
+def _finite(vec: str) -> Column:
+    """A vector that has a direction: similarities with any other are null."""
+    size = F.aggregate(F.col(vec), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    # one evaluation; NaN sorts above infinity
+    return F.exists(F.array(size), lambda s: (s > 0) & (s < float("inf")))
+
+
+@dataclass
+class Groups:
+    """Pivots (unit rows), and of every group its radius, rows and first block."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+    blocks: np.ndarray
+
+    @property
+    def first_block(self) -> np.ndarray:
+        return np.cumsum(self.blocks) - self.blocks
+
+    def angles(self, units: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(units @ self.pivots.T, -1.0, 1.0))
+
+    def nearest(self, angle: np.ndarray, enough: float) -> list[np.ndarray]:
+        """Of every query the groups of its nearest pivots that hold ``enough`` rows together."""
+        n, taken = angle.shape[1], 8
+        while True:
+            taken = min(taken, n)
+            near = np.argpartition(angle, taken - 1, axis=1)[:, :taken]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(angle, near, axis=1), axis=1, kind="stable"), axis=1)
+            held = np.cumsum(self.rows[near], axis=1)
+            if taken == n or (held[:, -1] >= enough).all():
+                break
+            taken *= 2
+        need = np.minimum((held < enough).sum(axis=1) + 1, taken)
+        return [row[:c] for row, c in zip(near, need, strict=True)]
+
+    def possible(self, angle: np.ndarray, kth: np.ndarray, seen: list) -> list[np.ndarray]:
+        """Of every query the groups, but for those seen, that may hold a vector as similar as its k-th."""
+        best = np.cos(np.maximum(0.0, angle - self.radius))
+        mask = (best >= kth[:, None] - MARGIN) & (self.rows > 0)
+        for i, groups in enumerate(seen):
+            mask[i, np.asarray(groups, np.int64)] = False
+        return [np.flatnonzero(row) for row in mask]
+
+    def block_list(self, groups: list[np.ndarray]) -> pa.Array:
+        first = self.first_block
+        lists = [np.concatenate([np.arange(first[g], first[g] + self.blocks[g]) for g in row]) if len(row) else np.zeros(0, np.int64) for row in groups]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+        flat = np.concatenate(lists) if lists else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+
+
+def _chunks(batch: pa.RecordBatch, n_groups: int):
+    step = max(1, MAX_PAIRS_PER_CHUNK // n_groups)
+    for first in range(0, batch.num_rows, step):
+        yield batch.slice(first, step)
+
+
+def _with_columns(df: DataFrame, fn, extra: dict[str, str], vec: str = "_vec") -> DataFrame:
+    """``df`` with columns that ``fn(part of an Arrow batch)`` gives; the others pass by in Arrow."""
+
+    def run(batches):
+        for batch in batches:
+            for part in fn(batch):
+                yield part
+
+    fields = [*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in extra.items())).fields]
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def _grouped(ref: DataFrame, n_groups: int, block_rows: int) -> tuple[DataFrame, Groups]:
+    """References with group and block, written once, and the groups."""
+    ref = ref.checkpoint(eager=True)
+    # a sample spread by hash: bounded by PIVOT_BYTES, whatever the number of references
+    sample = ref.select("_vec").orderBy(F.xxhash64("_rid", "_vec")).limit(n_groups).collect()
+    pivots = _units(np.array([r[0] for r in sample], np.float64))
+    groups = Groups(pivots, np.zeros(len(pivots)), np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64))
+    shipped = ref.sparkSession.sparkContext.broadcast(groups)
+
+    def assign(batch):
+        for part in _chunks(batch, len(shipped.value.rows)):
+            angle = shipped.value.angles(_units(_matrix(part.column("_vec"))))
+            group = angle.argmin(axis=1)
+            near = angle[np.arange(len(group)), group]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(group.astype(np.int32)), pa.array(near)], names=[*part.schema.names, "_group", "_angle"])
+
+    ref = _with_columns(ref, assign, {"_group": "int", "_angle": "double"}).checkpoint(eager=True)
+    for group, rows, radius in ref.groupBy("_group").agg(F.count(F.lit(1)), F.max("_angle")).collect():
+        groups.rows[group], groups.radius[group] = rows, radius + 1e-7
+        groups.blocks[group] = math.ceil(rows / block_rows)
+    spark = ref.sparkSession
+    first = groups.first_block
+    table = spark.createDataFrame(
+        [(g, int(first[g]), int(groups.blocks[g])) for g in range(len(pivots))], "_group int, _first int, _parts int"
+    )
+    part = F.pmod(F.xxhash64("_rid", "_vec", F.monotonically_increasing_id()), F.col("_parts").cast("bigint"))
+    placed = ref.join(F.broadcast(table), "_group").withColumn("_block", (F.col("_first") + part).cast("int"))
+    return placed.drop("_group", "_angle", "_first", "_parts"), groups
+
+
+def _visits(query: DataFrame, groups: Groups, enough: float) -> DataFrame:
+    """Queries with the groups they visit first and those groups' blocks, written once."""
+    shipped = query.sparkSession.sparkContext.broadcast(groups)
+
+    def first(batch):
+        g = shipped.value
+        for part in _chunks(batch, len(g.rows)):
+            near = g.nearest(g.angles(_units(_matrix(part.column("_vec")))), enough)
+            seen = pa.array([x.tolist() for x in near], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, seen, g.block_list(near)], names=[*part.schema.names, "_seen", "_blocks"])
+
+    rows = query.withColumn("_qrow", F.monotonically_increasing_id()).checkpoint(eager=True)
+    return _with_columns(rows, first, {"_seen": "array<int>", "_blocks": "array<int>"}).checkpoint(eager=True)
+
+
+def _later_visits(query: DataFrame, groups: Groups) -> DataFrame:
+    """Queries with ``_kth`` (null: fewer than k found), and the blocks that may still hold a neighbour."""
+    shipped = query.sparkSession.sparkContext.broadcast(groups)
+
+    def rest(batch):
+        g = shipped.value
+        for part in _chunks(batch, len(g.rows)):
+            kth = part.column("_kth").to_numpy(zero_copy_only=False).astype(np.float64)
+            kth = np.where(np.isnan(kth), -np.inf, kth)
+            found = g.possible(g.angles(_units(_matrix(part.column("_vec")))), kth, part.column("_seen").to_pylist())
+            kept = [part.column(c) for c in part.schema.names if c not in ("_kth", "_seen", "_blocks")]
+            names = [c for c in part.schema.names if c not in ("_kth", "_seen", "_blocks")]
+            yield pa.RecordBatch.from_arrays([*kept, g.block_list(found)], names=[*names, "_blocks"])
+
+    kept = [f for f in query.schema.fields if f.name not in ("_kth", "_seen", "_blocks")]
+
+    def run(batches):
+        for batch in batches:
+            yield from rest(batch)
+
+    out = query.mapInArrow(run, T.StructType([*kept, T.StructField("_blocks", T.ArrayType(T.IntegerType()))]))
+    return out.where(F.size("_blocks") > 0).checkpoint(eager=True)
+
+
+def _meet(query: DataFrame, ref: DataFrame, keys: list[str], k: int, q_cols: list[str], r_cols: list[str], schema: T.StructType) -> DataFrame:
+    """k best references per query of each pair of parts with equal ``keys``."""
+    names = [f.name for f in schema.fields]
+
+    def block_pair(q: pa.Table, r: pa.Table) -> pa.Table:
+        qi, ri, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if q.num_rows and r.num_rows:
+            q_mat, r_mat, r_ids = _matrix(q.column("_vec")), _matrix(r.column("_vec")), r.column("_rid").to_numpy()
+            step = max(1, MAX_PAIRS_PER_CHUNK // r.num_rows)
+            for low in range(0, q.num_rows, step):
+                a, b, c = _top_k_block(q_mat[low : low + step], r_ids, r_mat, k)
+                qi.append(a + low)
+                ri.append(b)
+                sims.append(c)
+        left = q.select(q_cols).take(pa.array(np.concatenate(qi)))
+        right = r.select(r_cols).take(pa.array(np.concatenate(ri)))
+        columns = {**dict(zip(q_cols, left.columns, strict=True)), **dict(zip(r_cols, right.columns, strict=True))}
+        columns["sim"] = pa.array(np.concatenate(sims))
+        return pa.table([columns[n] for n in names], names=names)
+
+    return query.groupBy(*keys).cogroup(ref.groupBy(*keys)).applyInArrow(block_pair, schema)
+
+
+def _split_visits(visits: DataFrame, ref: DataFrame, by: list[str], rbys: list[str], split_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(query, block) rows and reference rows, both dealt to the splits that a block's visitors need."""
+    each = visits.withColumn("_block", F.explode("_blocks")).drop("_blocks", "_seen")
+    splits = each.groupBy(*by, "_block").agg(F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("_splits")).checkpoint(eager=True)
+    if splits.count() <= BROADCAST_MAX_SPLITS:
+        splits = F.broadcast(splits)
+    on = [*by, "_block"]
+    q = each.join(splits, on).withColumn("_split", F.pmod(F.xxhash64("_qrow"), F.col("_splits").cast("bigint")).cast("int"))
+    renamed = ref.withColumnsRenamed(dict(zip(rbys, by, strict=True)))
+    r = renamed.join(splits, on).withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
+    return q.drop("_splits"), r.drop("_splits")
+
+
+def search_visits(query: DataFrame, ref: DataFrame, k: int, q_id: str, r_id: str, vec_col: str = "embedding", block_rows: int = 4096, groups: int = 64) -> dict[str, int]:
+    """How many (query, block) meetings a pruned search needs, of how many: for sizing and tests."""
+    q = query.where(_finite(vec_col)).select(F.col(q_id).alias("_qid"), F.col(vec_col).alias("_vec"))
+    r = ref.where(_finite(vec_col)).select(F.col(r_id).alias("_rid"), F.col(vec_col).alias("_vec"))
+    first, later, _, g = _rounds(q, r, k, [], [], block_rows, groups, 1, ["_qrow", "_qid"], ["_rid"], _schema(q, r, [], [], ["_qid"], ["_rid"]))
+    met = sum(x.select(F.coalesce(F.sum(F.size("_blocks")), F.lit(0))).first()[0] for x in (first, later))
+    return {"met": met, "all": first.count() * int(g.blocks.sum())}
+
+
+def _schema(q: DataFrame, r: DataFrame, bq: list[str], br: list[str], q_cols: list[str], r_cols: list[str]) -> T.StructType:
+    fields = [T.StructField(c, q.schema[c].dataType) for c in [*bq, *q_cols]]
+    return T.StructType([*fields, *[T.StructField(c, r.schema[c].dataType) for c in r_cols], T.StructField("sim", T.DoubleType())])
+
+
+def _rounds(q, r, k, bq, br, block_rows, n_groups, n_by, q_cols, r_cols, schema):
+    """(first visits, later visits, the k best of the first and candidates of the later, groups)."""
+    placed, groups = _grouped(r, n_groups, block_rows)
+    placed = placed.checkpoint(eager=True)
+    first = _visits(q, groups, float(k * n_by))
+    with_row = T.StructType([T.StructField("_qrow", T.LongType()), *[f for f in schema.fields if f.name != "_qrow"]])
+    keys = [*bq, "_block", "_split"]
+    names = list(dict.fromkeys([*bq, "_qrow", *q_cols]))
+
+    def met(visits: DataFrame) -> DataFrame:
+        qs, rs = _split_visits(visits, placed, bq, br, block_rows)
+        return _meet(qs, rs, keys, k, names, r_cols, with_row)
+
+    rank = F.row_number().over(Window.partitionBy("_qrow").orderBy(F.col("sim").desc(), F.col("_rid")))
+    found = met(first).withColumn("_n", rank).where(F.col("_n") <= k).checkpoint(eager=True)
+    kth = found.where(F.col("_n") == k).select("_qrow", F.col("sim").alias("_kth"))
+    later = _later_visits(first.join(kth, "_qrow", "left").drop("_blocks"), groups)
+    return first, later, found.drop("_n").unionByName(met(later)), groups
+
+
 def nearest_neighbours(
     query: DataFrame,
     ref: DataFrame,
@@ -77,7 +319,7 @@ def nearest_neighbours(
     vec_col: str = "embedding",
     q_payload: list[str] | None = None,
     r_payload: list[str] | None = None,
-    block_rows: int = 32768,
+    block_rows: int | None = None,
     min_query_blocks: int | None = None,
     by: list[str] | None = None,
 ) -> DataFrame:
@@ -85,101 +327,54 @@ def nearest_neighbours(
 
     ``by``: optional key columns present on both sides (a trial, a fold);
     neighbours are searched only within equal keys, all keys in one job.
+    ``block_rows``: rows of a block, by default ``BLOCK_BYTES`` of vectors.
 
     Output: [by], q_id, r_id (renamed ``ref_id`` when the names clash), sim,
     nb_rank (1-based), then the payload columns. Payload names must not clash.
+    A row without a vector, or with one of length zero, has no similarity to anything.
     """
-    q_payload = list(q_payload or [])
-    r_payload = list(r_payload or [])
-    by = list(by or [])
+    q_payload, r_payload, by = list(q_payload or []), list(r_payload or []), list(by or [])
     spark = query.sparkSession
-    # a row without a vector has no similarity to anything
-    query = query.where(F.col(vec_col).isNotNull())
-    ref = ref.where(F.col(vec_col).isNotNull())
+    query, ref = query.where(_finite(vec_col)), ref.where(_finite(vec_col))
     ref_out = r_id if r_id != q_id else "ref_id"
 
-    # Block sizes follow the largest group on each side; both sizes come back
+    # Block sizes follow the largest group on each side; the sizes come back
     # from one small job (two one-row aggregates).
+    size = F.max(F.size(vec_col)).alias("_dim")
     if by:
-        sq = query.groupBy(*by).count().agg(F.max("count").alias("_nq"))
-        sr = ref.groupBy(*by).count().agg(F.max("count").alias("_nr"))
+        sq = query.groupBy(*by).count().agg(F.max("count").alias("_nq"), F.count(F.lit(1)).alias("_by"))
+        sr = ref.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), size).agg(F.max("count").alias("_nr"), F.max("_dim").alias("_dim"))
     else:
-        sq = query.agg(F.count(F.lit(1)).alias("_nq"))
-        sr = ref.agg(F.count(F.lit(1)).alias("_nr"))
+        sq = query.agg(F.count(F.lit(1)).alias("_nq"), F.lit(1).alias("_by"))
+        sr = ref.agg(F.count(F.lit(1)).alias("_nr"), size)
     sizes = sq.crossJoin(sr).first()
-    n_q, n_r = sizes["_nq"] or 0, sizes["_nr"] or 0
+    n_q, n_r, dim = sizes["_nq"] or 0, sizes["_nr"] or 0, sizes["_dim"] or 1
+    element = ref.schema[vec_col].dataType.elementType
+    width = dim * (4 if isinstance(element, T.FloatType) else 8)
+    block_rows = block_rows or max(1, BLOCK_BYTES // width)
     par = spark.sparkContext.defaultParallelism if min_query_blocks is None else min_query_blocks
-    b_r = max(1, math.ceil(n_r / block_rows))
-    b_q = max(1, math.ceil(n_q / block_rows), min(par, math.ceil(n_q / 256)))
 
     # key columns get fresh names on each side: both sides may come from one
     # DataFrame (trials, folds), and a cogroup on shared attributes is ambiguous
-    bq = [f"_by{i}" for i in range(len(by))]
-    # a nullable integer column would become floats in pandas: payload travels as text and is cast back
-    def as_text(df: DataFrame, c: str):
-        return F.col(c).cast("string") if isinstance(df.schema[c].dataType, _TEXT_SAFE) else F.col(c)
-
-    q = query.select(
-        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(q_id).alias("_qid"), F.col(vec_col).alias("_qvec"),
-        *[as_text(query, c).alias(c) for c in q_payload]
-    ).withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(b_q)).cast("int"))
-    q = q.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(b_r - 1))))
-    r = ref.select(
-        *[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(r_id).alias("_rid"), F.col(vec_col).alias("_rvec"),
-        *[as_text(ref, c).alias(c) for c in r_payload]
-    ).withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(b_r)).cast("int"))
-    r = r.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(b_q - 1))))
-
-    qid_type = query.schema[q_id].dataType
-    rid_type = ref.schema[r_id].dataType
-    fields = [T.StructField(b, query.schema[c].dataType) for c, b in zip(by, bq)]
-    fields += [
-        T.StructField("_qid", qid_type),
-        T.StructField("_rid", rid_type),
-        T.StructField("sim", T.DoubleType()),
-    ]
-    fields += [T.StructField(c, q.schema[c].dataType) for c in q_payload]
-    fields += [T.StructField(c, r.schema[c].dataType) for c in r_payload]
-    schema = T.StructType(fields)
-    names = [f.name for f in fields]
-
-    def block_pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-        q_mat = np.stack(qpdf["_qvec"].to_numpy()).astype(np.float64)
-        r_mat = np.stack(rpdf["_rvec"].to_numpy()).astype(np.float64)
-        r_ids = rpdf["_rid"].to_numpy()
-        q_ids = qpdf["_qid"].to_numpy()
-        step = max(1, MAX_PAIRS_PER_CHUNK // max(1, r_mat.shape[0]))
-        parts = []
-        for lo in range(0, q_mat.shape[0], step):
-            a, b, c = _top_k_block(q_ids[lo:lo + step], q_mat[lo:lo + step], r_ids, r_mat, k)
-            parts.append((a + lo, b, c))
-        qi = np.concatenate([p[0] for p in parts])
-        ri = np.concatenate([p[1] for p in parts])
-        s = np.concatenate([p[2] for p in parts])
-        out = {b: np.repeat(qpdf[b].iloc[0], len(qi)) for b in bq}
-        out.update({"_qid": qpdf["_qid"].to_numpy()[qi], "_rid": r_ids[ri], "sim": s})
-        for c in q_payload:
-            out[c] = qpdf[c].to_numpy()[qi]
-        for c in r_payload:
-            out[c] = rpdf[c].to_numpy()[ri]
-        return pd.DataFrame(out, columns=names)
-
-    keys = [*bq, "_qb", "_rb"]
-    partial = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(block_pair, schema)
-    # Several reference blocks each send up to k candidates: keep the best k.
+    bq, br = [f"_by{i}" for i in range(len(by))], [f"_rby{i}" for i in range(len(by))]
+    q = query.select(*[F.col(c).alias(b) for c, b in zip(by, bq)], F.col(q_id).alias("_qid"), F.col(vec_col).alias("_vec"), *q_payload)
+    r = ref.select(*[F.col(c).alias(b) for c, b in zip(by, br)], F.col(r_id).alias("_rid"), F.col(vec_col).alias("_vec"), *r_payload)
+    q_cols, r_cols = ["_qid", *q_payload], ["_rid", *r_payload]
+    schema = _schema(q, r, bq, br, q_cols, r_cols)
+
+    if n_r <= block_rows:
+        splits = max(1, math.ceil(n_q / block_rows), min(par, math.ceil(n_q / 256)))
+        q = q.withColumn("_split", F.pmod(F.xxhash64("_qid"), F.lit(splits)).cast("int"))
+        r = r.withColumnsRenamed(dict(zip(br, bq))).withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        partial = _meet(q, r, [*bq, "_split"], k, [*bq, *q_cols], r_cols, schema)
+    else:
+        n_groups = min(math.ceil(n_r / block_rows) * GROUPS_PER_BLOCK, max(1, PIVOT_BYTES // width))
+        *_, partial, _ = _rounds(q, r, k, bq, br, block_rows, n_groups, sizes["_by"] or 1, q_cols, r_cols, schema)
+    # Several blocks each send up to k candidates: keep the best k.
     # The window also leaves the output hash-partitioned by the query id, so
     # per-query aggregates and windows downstream need no further exchange.
     w = Window.partitionBy(*bq, "_qid").orderBy(F.col("sim").desc(), F.col("_rid"))
     ranked = partial.withColumn("nb_rank", F.row_number().over(w)).where(F.col("nb_rank") <= k)
     return ranked.select(
-        *[F.col(b).alias(c) for c, b in zip(by, bq)],
-        F.col("_qid").alias(q_id),
-        F.col("_rid").alias(ref_out),
-        "sim",
-        "nb_rank",
-        *[F.col(c).cast(query.schema[c].dataType).alias(c) for c in q_payload],
-        *[F.col(c).cast(ref.schema[c].dataType).alias(c) for c in r_payload],
+        *[F.col(b).alias(c) for c, b in zip(by, bq)], F.col("_qid").alias(q_id), F.col("_rid").alias(ref_out), "sim", "nb_rank", *q_payload, *r_payload
     )
-

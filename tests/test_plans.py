@@ -28,7 +28,7 @@ def test_no_cross_join_or_row_udf(spark, name):
 
 def test_flagship_single_exchange_after_block_step(spark):
     plan = _plan(QUERIES["judge_report"](spark, SF_SMALL))
-    above = plan.split("FlatMapCoGroupsInPandas")[0]
+    above = plan.split("FlatMapCoGroupsInArrow")[0]
     assert len(re.findall(r"Exchange hashpartitioning", above)) == 1, above
 
 
