@@ -17,7 +17,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codelens.functions.text import strip_ws
+from codelens.functions.text import let, strip_ws
 
 ENTITY_RE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
@@ -68,8 +68,11 @@ def _entity_map() -> Column:
 
 
 def decode_entities(c) -> Column:
-    """Named, decimal and hexadecimal entities, each once; unknown names stay."""
-    s = _c(c)
+    """Named, decimal and hexadecimal entities, each once; unknown names stay.
+
+    The input is bound once: a chain of replacements over a page, named three
+    times here, would run three times.
+    """
     names = _entity_map()
 
     def decoded(x: Column) -> Column:
@@ -79,10 +82,13 @@ def decode_entities(c) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
         return F.coalesce(names[x], F.when(code.isNotNull(), char), x)
 
-    found = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RE), 0), decoded)
-    pieces = F.split(s, ENTITY_RE, -1)
-    joined = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(s.contains("&"), joined).otherwise(s)
+    def replaced(s: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RE), 0), decoded)
+        pieces = F.split(s, ENTITY_RE, -1)
+        joined = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(s.contains("&"), joined).otherwise(s)
+
+    return let(c, replaced)
 
 
 def html_to_text(c) -> Column:
@@ -94,7 +100,7 @@ def html_to_text(c) -> Column:
     s = decode_entities(s)
     for r in REMOVE_STRINGS:
         s = F.replace(s, F.lit(r), F.lit(""))
-    return F.nullif(strip_ws(s), F.lit(""))
+    return let(strip_ws(s), lambda t: F.when(t != "", t))
 
 
 def extract_links(c) -> Column:

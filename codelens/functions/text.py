@@ -124,6 +124,11 @@ def bind_once(c, fn) -> Column:
     return F.exists(F.array(_c(c)), fn)
 
 
+def let(c, fn) -> Column:
+    """``fn`` of one evaluation of ``c``: a value that ``fn`` names several times is not computed again for each."""
+    return F.get(F.transform(F.array(_c(c)), fn), F.lit(0))
+
+
 def preprocess_tags(c) -> Column:
     """Strip tags, keep ASCII letters and whitespace, lower, drop stop words."""
     s = F.regexp_replace(_c(c), "<.*?>", " ")

@@ -1,30 +1,29 @@
-"""TF-IDF in long form, and the jobs built on it.
+"""TF-IDF with one row per document, and the jobs built on it.
 
 Weights follow the smoothed formula: idf = ln((1 + n) / (1 + df)) + 1,
 w = tf * idf, then L2-normalised per document (MLlib's ``IDF`` has no ``+1``,
-so the formula is written out). Data stay as (doc, term, weight) rows:
-
-* tokens are aggregated per (doc, term) first (map-side partial aggregation),
-  so a stop word in every document costs one row per document, not per use;
-* document frequency is a second partial aggregate keyed by term;
-* the (doc, term) x idf join is an equi-join on term; AQE broadcasts the idf
-  side when it is small and splits skewed term partitions otherwise;
-* the document count enters as a one-row aggregate joined in (no driver
-  round trip);
-* documents are hash-partitioned by their id once (``by_doc``): term counts,
-  the per-document norm window and the (doc, term) joins of condense/summary
-  then all run on that one partitioning, with no further exchange of token
-  rows (needs ``spark.sql.requireAllClusterKeysForCoPartition=false``, set by
-  ``codelens.session.configure``). A document is bounded (<= 20k words), so
-  this partitioning cannot be skewed by one hot key.
+so the formula is written out).
+
+* ``bags``: a document's tokens are sorted and counted inside its row, so term
+  counts need no shuffle at all and texts never move. The bags are written once
+  (a reliable checkpoint); the text is not read again.
+* document frequency is a partial aggregate keyed by term: a stop word of every
+  document costs one combined row per map task.
+* ``weighted_bags``: (document, term) rows exist once, between the explode of the
+  bags and the aggregate that puts a document's terms back in its row. As idf is
+  broadcast (its rows are counted first), a document's rows are still side by side in
+  one task: they are collected before the one exchange, which moves a row a document. Beyond the
+  bound the rows are joined by term, where AQE splits a hot term.
+* the norm is an aggregate over the row's array.
+* ``tfidf`` gives the same as (doc, term, tf, weight) rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelens.functions.text import strip_ws, tokenize_words
+from codelens.functions.text import let, strip_ws, tokenize_words
 
 WEIGHT_DECIMALS = 6
 MIN_TOKEN_LEN = 2
@@ -35,55 +34,120 @@ def by_doc(docs: DataFrame, doc: str) -> DataFrame:
     return docs.repartition(doc)
 
 
-def doc_terms(docs: DataFrame, doc: str, text: str, letters: str = "unicode") -> DataFrame:
-    """(doc, term, tf): term counts per document; terms have >= 2 letters."""
-    toks = F.filter(tokenize_words(text, letters), lambda t: F.length(t) >= MIN_TOKEN_LEN)
-    return docs.select(F.col(doc), F.explode(toks).alias("term")).groupBy(doc, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+# idf is broadcast only when the counted vocabulary is at most this many
+# terms (about 50 bytes each); beyond it the join shuffles by term and AQE
+# splits skewed term partitions.
+BROADCAST_MAX_TERMS = 2_000_000
+NO_PLACE = 2**31 - 1
+
+
+def _begins(sorted_rows: str, field: str = "term") -> Column:
+    """Places where a run of equal ``field`` begins in a sorted array column."""
+    changed = F.filter(
+        F.sequence(F.lit(0), F.size(sorted_rows) - 1), lambda i: (i == 0) | (F.get(sorted_rows, i)[field] != F.get(sorted_rows, i - 1)[field])
+    )
+    return F.when(F.size(sorted_rows) > 0, changed).otherwise(F.array().cast("array<int>"))
+
+
+def plain_tokens(text: str, letters: str = "unicode") -> Column:
+    """Array of (term, place) without places."""
+    words = F.filter(tokenize_words(text, letters), lambda t: F.length(t) >= MIN_TOKEN_LEN)
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(NO_PLACE).alias("place")))
+
+
+def word_tokens(text: str, letters: str = "unicode") -> Column:
+    """Tokens with the number of the white-space word that they are the whole of, if they are."""
+    pattern = "[^a-z]+" if letters == "ascii" else r"[^\p{L}]+"
+
+    def of_word(w: Column, i: Column) -> Column:
+        parts = F.filter(F.split(F.lower(w), pattern), lambda t: F.length(t) >= MIN_TOKEN_LEN)
+        return F.transform(parts, lambda t: F.struct(t.alias("term"), F.when(t == w, i).otherwise(NO_PLACE).alias("place")))
+
+    return F.flatten(F.transform(F.split(F.col(text), r"\s+"), of_word))
+
+
+def sentence_tokens(text: str, letters: str = "unicode") -> Column:
+    """Tokens with the number of their sentence."""
+
+    def of_sentence(s: Column, i: Column) -> Column:
+        parts = F.filter(tokenize_words(s, letters), lambda t: F.length(t) >= MIN_TOKEN_LEN)
+        return F.transform(parts, lambda t: F.struct(t.alias("term"), i.alias("place")))
+
+    return F.flatten(F.transform(split_sentences(F.col(text)), of_sentence))
+
+
+def bags(docs: DataFrame, doc: str, tokens: Column, places: int | None = 0) -> DataFrame:
+    """(_row, doc, bag) with bag an array of (term, tf, places); one row per input row, written once.
+
+    ``tokens``: array of (term, place) of a text. ``places``: how many of a term's
+    first places to keep (None: all). A null or empty text has an empty bag.
+    """
+    none = F.array().cast("array<struct<term:string,place:int>>")
+    rows = docs.select(F.col(doc), F.sort_array(F.coalesce(tokens, none)).alias("_tokens"))
+    rows = rows.withColumn("_begin", _begins("_tokens"))
+
+    def entry(first: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("_begin", i + 1), F.size("_tokens")) - first
+        found = F.filter(F.slice("_tokens", first + 1, n if places is None else F.least(n, F.lit(places))), lambda t: t["place"] < NO_PLACE)
+        kept = F.array().cast("array<int>") if places == 0 else F.transform(found, lambda t: t["place"])
+        return F.struct(F.get("_tokens", first)["term"].alias("term"), n.cast("long").alias("tf"), kept.alias("places"))
+
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), doc, F.transform("_begin", entry).alias("bag"))
+    return rows.checkpoint(eager=True)
 
 
-def top_terms(tf: DataFrame, max_features: int) -> DataFrame:
+def top_terms(rows: DataFrame, max_features: int) -> DataFrame:
     """The ``max_features`` terms with the largest corpus count (ties: term asc).
     A bounded top-k: each partition keeps at most max_features rows."""
-    totals = tf.groupBy("term").agg(F.sum("tf").alias("total"))
+    totals = rows.groupBy("term").agg(F.sum("tf").alias("total"))
     return totals.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features).select("term")
 
 
-# idf is broadcast only when the counted vocabulary is at most this many
-# terms (about 50 bytes each); beyond it the join shuffles by term and AQE
-# splits skewed term partitions.
-BROADCAST_MAX_TERMS = 2_000_000
+def weighted_bags(bag_rows: DataFrame, doc: str, max_features: int | None = None, broadcast: bool | None = None) -> DataFrame:
+    """(doc, terms) with terms an array of (term, tf, places, weight): smoothed, L2-normalised TF-IDF.
+
+    ``broadcast``: None counts the vocabulary and broadcasts idf up to ``BROADCAST_MAX_TERMS``.
+    """
+    n_docs = bag_rows.count()
+    rows = bag_rows.select("_row", doc, F.explode("bag").alias("e")).select("_row", doc, "e.term", "e.tf", "e.places")
+    if max_features:
+        rows = rows.join(F.broadcast(top_terms(rows, max_features).checkpoint(eager=True)), "term", "left_semi")
+    idf = rows.groupBy("term").agg((F.log(F.lit(n_docs + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("_idf")).checkpoint(eager=True)
+    if idf.count() <= BROADCAST_MAX_TERMS if broadcast is None else broadcast:
+        idf = F.broadcast(idf)
+    weighed = rows.join(idf, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
+    per_doc = weighed.groupBy("_row", doc).agg(F.collect_list(F.struct("term", "tf", "places", "_w")).alias("_terms"))
+    square = F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + t["_w"] * t["_w"])
 
+    def weights(norm: Column) -> Column:
+        return F.transform("_terms", lambda t: F.struct(
+            t["term"].alias("term"), t["tf"].alias("tf"), t["places"].alias("places"), F.round(t["_w"] / norm, WEIGHT_DECIMALS).alias("weight")))
 
-def tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None = None, letters: str = "unicode",
-          materialize: bool = True) -> DataFrame:
-    """(doc, term, tf, weight) with the smoothed, L2-normalised TF-IDF weight.
+    # the norm is bound once: inlined, it would be summed again for every term
+    terms = let(F.sqrt(square), weights)
+    return per_doc.select("_row", doc, terms.alias("terms"))
 
-    With ``materialize`` the document-frequency table (one row per term) is
-    written with a reliable checkpoint (under ``spark.checkpoint.dir``) and
-    its rows counted, so idf is broadcast only under a checked size. The term
-    counts stay in the stream, partitioned by document, so the join with a
-    broadcast idf and the norm window need no exchange.
+
+def tfidf(docs: DataFrame, doc: str, text: str, max_features: int | None = None, letters: str = "unicode") -> DataFrame:
+    """(doc, term, tf, weight) with the smoothed, L2-normalised TF-IDF weight."""
+    found = weighted_bags(bags(docs, doc, plain_tokens(text, letters)), doc, max_features)
+    return found.select(doc, F.explode("terms").alias("t")).select(doc, "t.term", "t.tf", "t.weight")
+
+
+def condense(docs: DataFrame, doc: str, text: str, threshold: float = 0.1, top_tokens: int = 10, letters: str = "unicode") -> DataFrame:
+    """(doc, condensed): the first ``top_tokens`` words of each text (white-space split, original order, repeats
+    kept) whose weight in that document is >= threshold, joined with spaces.
+
+    The bags carry the first places of each term, so neither texts nor words are
+    shuffled or read again. Documents without such words get ''.
     """
-    n_docs = docs.count() if materialize else None
-    docs = by_doc(docs, doc)
-    tf = doc_terms(docs, doc, text, letters)
-    if max_features:
-        tf = tf.join(F.broadcast(top_terms(tf, max_features)), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    if materialize:
-        tf = tf.checkpoint(eager=True)
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).checkpoint(eager=True)
-        n_terms = df.count()
-        idf = df.select("term", (F.log(F.lit(n_docs + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-        if n_terms <= BROADCAST_MAX_TERMS:
-            idf = F.broadcast(idf)
-    else:
-        n = docs.agg(F.count(F.lit(1)).alias("_n"))
-        idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    w = tf.join(idf, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
-    return w.select(doc, "term", "tf", F.round(F.col("_w") / norm, WEIGHT_DECIMALS).alias("weight"))
+    rows = bags(docs, doc, word_tokens(text, letters), top_tokens)
+    found = weighted_bags(rows, doc)
+    weighty = F.filter("terms", lambda t: t["weight"] >= threshold)
+    hits = F.flatten(F.transform(weighty, lambda t: F.transform(t["places"], lambda p: F.struct(p.alias("place"), t["term"].alias("term")))))
+    first = F.transform(F.slice(F.sort_array(hits), 1, top_tokens), lambda h: h["term"])
+    found = found.select(doc, F.array_join(first, " ").alias("condensed"))
+    return found.unionByName(rows.where(F.size("bag") == 0).select(doc, F.lit("").alias("condensed")))
 
 
 def important_terms(weights: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -140,3 +204,43 @@ def extractive_summary(docs: DataFrame, doc: str, text: str, weights: DataFrame,
         F.expr("listagg(sentence, ' ') WITHIN GROUP (ORDER BY s_pos)").alias("summary")
     )
     return docs.select(doc).join(found, doc, "left").select(doc, F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def summarise(docs: DataFrame, doc: str, text: str, max_words: int = 60, letters: str = "unicode") -> DataFrame:
+    """``extractive_summary`` with the text's own weights, in rows: (doc, summary).
+
+    The bags carry the sentence of every token, so a sentence's score is summed in
+    its document's row. Texts are moved once, to meet their scores by ``doc``,
+    which names one row.
+    """
+    rows = bags(docs, doc, sentence_tokens(text, letters), None)
+    found = weighted_bags(rows, doc)
+    each = F.flatten(F.transform("terms", lambda t: F.transform(t["places"], lambda p: F.struct(p.alias("place"), t["weight"].alias("w")))))
+    found = found.select(F.col(doc).alias("_doc"), each.alias("_each"))
+    # a sentence without a weighty word has a run of its own too
+    sentences = docs.select(F.col(doc), split_sentences(F.col(text)).alias("_sent")).withColumn("_sent", F.transform("_sent", strip_ws))
+    zeros = F.transform(F.sequence(F.lit(0), F.size("_sent") - 1), lambda i: F.struct(i.alias("place"), F.lit(0.0).alias("w")))
+    joined = sentences.join(found, F.col(doc) == F.col("_doc"), "left").drop("_doc")
+    none = F.array().cast("array<struct<place:int,w:double>>")
+    joined = joined.withColumn("_all", F.when(F.size("_sent") > 0, F.sort_array(F.concat(F.coalesce("_each", none), zeros))).otherwise(none))
+    joined = joined.withColumn("_begin", _begins("_all", "place"))
+
+    def scored(first: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("_begin", i + 1), F.size("_all")) - first
+        score = F.aggregate(F.slice("_all", first + 1, n), F.lit(0.0), lambda acc, x: acc + x["w"])
+        words = F.size(F.split(F.get("_sent", i), r"\s+"))
+        return F.struct((-F.round(score, WEIGHT_DECIMALS)).alias("neg"), i.alias("place"), words.alias("words"))
+
+    ranked = F.filter(F.transform("_begin", scored), lambda x: F.length(F.get("_sent", x["place"])) > 0)
+    joined = joined.withColumn("_ranked", F.sort_array(ranked))
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        words = acc["words"] + x["words"]
+        return F.struct(words.alias("words"), (acc["kept"] + (words <= max_words).cast("int")).alias("kept"))
+
+    # running word counts only grow: the sentences within the bound are the first ones
+    kept = F.greatest(F.aggregate("_ranked", start, step)["kept"], F.lit(1))
+    places = F.sort_array(F.transform(F.slice("_ranked", 1, kept), lambda x: x["place"]))
+    summary = F.array_join(F.transform(places, lambda p: F.get("_sent", p)), " ")
+    return joined.select(doc, F.coalesce(summary, F.lit("")).alias("summary"))

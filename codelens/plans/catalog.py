@@ -39,6 +39,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from codelens.plans import (  # noqa: F401
+        q_bayes,
         q_html,
         q_io,
         q_judge,

@@ -22,7 +22,6 @@ from codelens.session import shared_path
 from codelens.sources import fixtures as FX
 
 LEVEL_PREFIX = {"Section": None, "Division": 2, "Group": 3, "Class": 4}
-TOP_N = 3
 
 
 def training_table(spark, sf_dir, level: str = "Division"):
@@ -50,34 +49,16 @@ def fit_classifier(spark, sf_dir, level="Division"):
     return ML.train_text_classifier(stacked_training(spark, sf_dir, level), "text", "label", model="nb")
 
 
-@register("train_text_classifier")
-def train_text_classifier(spark, sf_dir):
-    """Fit the Division-level classifier on the dictionary; in-sample predictions."""
-    model = fit_classifier(spark, sf_dir)
-    tr = training_table(spark, sf_dir)
-    return ML.score_top_n(model, tr, "code", "text", 1, keep=["label"]).select("code", "label", "pred_code", "score")
-
-
-@register("score_companies")
-def score_companies(spark, sf_dir):
-    """Top-3 Division codes with probabilities and titles for every company
-    text (titles from the Division table, bounded by the code domain)."""
-    model = fit_classifier(spark, sf_dir)
-    ct = FX.company_text(spark, sf_dir).select("doc_id", "company", "text")
-    top = ML.score_top_n(model, ct, "doc_id", "text", TOP_N, keep=["company"])
-    titles = TX.level_table(FX.dictionary(spark, sf_dir), "Division").withColumnRenamed("division", "pred_code")
-    return top.join(F.broadcast(titles), "pred_code", "left")
-
-
-@register("save_load_model")
-def save_load_model(spark, sf_dir):
-    """Round trip: fit, save under the shared folder, load, score with the loaded model."""
+@register("save_load_mllib_model", "SELECT count(*) AS n_docs, count(*) AS n_same FROM documents")
+def save_load_mllib_model(spark, sf_dir):
+    """Round trip of the MLlib pipeline: how many texts get the same class and probability before and after saving."""
     model = fit_classifier(spark, sf_dir, "Section")
     path = shared_path(spark, f"models/section-{uuid.uuid4().hex}")
     ML.save_model(model, path)
-    loaded = ML.load_model(path)
     ct = FX.company_text(spark, sf_dir).select("doc_id", "text")
-    return ML.score_top_n(loaded, ct, "doc_id", "text", 1)
+    before = ML.score_top_n(model, ct, "doc_id", "text", 1).select("doc_id", F.struct("pred_code", "score").alias("was"))
+    after = ML.score_top_n(ML.load_model(path), ct, "doc_id", "text", 1).select("doc_id", F.struct("pred_code", "score").alias("now"))
+    return before.join(after, "doc_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("was") == F.col("now")).alias("n_same"))
 
 
 def _page_clean(spark, sf_dir):
@@ -113,6 +94,7 @@ def _company_docs(spark, sf_dir):
     return r.select("doc_id", "company", pad_code("ssic_code").alias("ssic_code"), X.normalize_text("text").alias("text"))
 
 
+DIMS = 64
 # dictionary rows get ids above any document's
 DICTIONARY_IDS = 10**12
 
@@ -127,10 +109,12 @@ def _text_corpus(spark, sf_dir):
 
 
 def _text_vectors(corpus):
-    """The corpus with 64-d projections of its TF-IDF weights; rows without a word drop out."""
+    """The corpus with 64-d projections of its TF-IDF weights; a row without a word has the zero vector,
+    which is similar to nothing."""
     corpus = corpus.checkpoint(eager=True)  # feeds the weights and the result
-    vectors = DV.project(TF.tfidf(corpus, "doc_id", "text"), "doc_id")
-    return corpus.join(vectors, "doc_id")
+    vectors = DV.project(TF.tfidf(corpus, "doc_id", "text"), "doc_id", size=DIMS)
+    zeros = F.array_repeat(F.lit(0.0), DIMS)
+    return corpus.join(vectors, "doc_id", "left").withColumn("embedding", F.coalesce("embedding", zeros))
 
 
 _CORPUS_CTES = (
@@ -144,12 +128,13 @@ _CORPUS_CTES = (
     ("corpus", "SELECT * FROM docs UNION ALL "
                f"SELECT {DICTIONARY_IDS} + code::BIGINT, NULL, code, {normalize_sql('text')} FROM descr"),
     *_tfidf_ctes("SELECT doc_id, text AS t FROM corpus"),
-    ("vec", DV.project_sql("w")),
+    ("vec", DV.project_sql("w", DIMS)),
 )
 
 
 @register("train_doc_vectors", with_views(["truth", "company_text", "dictionary"], *FLAT_CTES, *_CORPUS_CTES,
-    body=f"SELECT doc_id, embedding FROM vec WHERE doc_id < {DICTIONARY_IDS}"))
+    body=f"SELECT d.doc_id, coalesce(v.embedding, list_transform(range({DIMS}), lambda i: 0.0::DOUBLE)) AS embedding "
+         "FROM docs d LEFT JOIN vec v ON d.doc_id = v.doc_id"))
 def train_doc_vectors(spark, sf_dir):
     """64-d vectors of company texts; term weights come from company and dictionary text."""
     v = _text_vectors(_text_corpus(spark, sf_dir))
@@ -159,7 +144,7 @@ def train_doc_vectors(spark, sf_dir):
 def text_recommendations(spark, sf_dir, k=5):
     """The whole recommender function on text: pad codes, hash split by
     company, dictionary rows join the training side, top-k neighbours of each
-    test document, ranked per company."""
+    test document, ranked per company. A text without a word gets no codes."""
     v = _text_vectors(_text_corpus(spark, sf_dir)).checkpoint(eager=True)
     docs = v.where(F.col("doc_id") < DICTIONARY_IDS)
     train, _ = S.train_test_split(docs, "company", 70)
@@ -185,46 +170,3 @@ _TEXT_RECS = (
 def recommend_codes(spark, sf_dir):
     """Top-5 codes for every test company from its text."""
     return text_recommendations(spark, sf_dir)
-
-
-TOP_N_PREDICTIONS = 15
-
-
-@register("judge_classifier_report")
-def judge_classifier_report(spark, sf_dir):
-    """The classifier route of the judge: report text joined to declared codes
-    by UEN -> domain cleaning -> TF-IDF condense (first 10 weighty words) ->
-    Division classifier top-15 -> rank -> exp scores for the declared primary
-    and secondary Division -> per-company min, weighted total, top-3 flag."""
-    from codelens.functions.codes import code_prefix
-    from codelens.operators import judge as J
-    from codelens.operators import tfidf as TF
-
-    truth = FX.truth(spark, sf_dir)
-    ct = FX.company_text(spark, sf_dir, {"t": X.preprocess_domain("text")})
-    reports = truth.join(ct.select("doc_id", "t"), truth.uen == ct.doc_id.cast("string"), "inner")
-    docs = reports.select("doc_id", "t").checkpoint(eager=True)  # feeds weights and word positions
-    condensed = TF.condense_text(docs, "doc_id", "t", TF.tfidf(docs, "doc_id", "t"))
-    declared = reports.select("doc_id", "uen", "company",
-                              code_prefix("ssic_code", 2).alias("primary_code"),
-                              code_prefix("ssic_code2", 2).alias("secondary_code"))
-    model = fit_classifier(spark, sf_dir, "Division")
-    preds = ML.score_top_n(model, condensed, "doc_id", "condensed", TOP_N_PREDICTIONS)
-    ranked = preds.join(declared, "doc_id")
-    judged = J.judge_entities(ranked, "uen", "pred_code", "rank", "primary_code", "secondary_code",
-                              top_n_predictions=TOP_N_PREDICTIONS, n=3)
-    return judged
-
-
-@register("classifier_hit_rate")
-def classifier_hit_rate(spark, sf_dir):
-    """% of companies whose declared Division is among the classifier's top 3
-    (held out: the classifier is fitted on the dictionary only)."""
-    from codelens.functions.codes import code_prefix
-
-    docs = _company_docs(spark, sf_dir)
-    model = fit_classifier(spark, sf_dir, "Division")
-    top = ML.score_top_n(model, docs, "doc_id", "text", TOP_N, keep=["ssic_code"])
-    per = top.groupBy("doc_id").agg(
-        F.max((F.col("pred_code") == code_prefix("ssic_code", 2)).cast("int")).alias("hit"))
-    return per.agg(F.count(F.lit(1)).alias("n_companies"), F.round(F.avg("hit") * 100, 2).alias("hit_rate"))

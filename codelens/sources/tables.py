@@ -15,3 +15,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt to all cores if it has fewer splits than there are cores.
+
+    A small table (less than a split a core, or one row group, which cannot be
+    split) would run its costly row work in a few tasks. A table with splits
+    enough stays where it is read: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
