@@ -196,6 +196,8 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     conv_type = rows.schema["conv_id"].dataType.simpleString()
     # the conversation travels as text inside pandas, where a null number would turn all into floats
     codes = rows.select("block", "place", F.col("conv_id").cast("string").alias("conv"), F.substring("role", 1, 1).alias("initial"), "fault")
+    # these rows are small but costly: dealt by number, they are not merged into few tasks for their bytes
+    codes = codes.repartition(shuffle_width(turns.sparkSession), "block")
 
     def matrices(block: pd.DataFrame) -> pd.DataFrame:
         out = [(part["block"].iloc[0], c, sum(transfer(_codes(part)), ())) for c, part, edge in _pieces(block) if edge]
