@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.common import connected_components, stored
+from codelens.llm.common import connected_components, stored, worker_state
 from codelens.llm.tokens import distinct_strings, slices
 
 
@@ -115,6 +115,7 @@ def _signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFra
     """id, n (size of the set), lo and hi (sums of hashes that tell equal sets), sig, fine."""
 
     def run(batches):
+        worker_state("minhash")  # what another operator left in this worker goes
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 sets = shingle_sets(texts, s.words)
@@ -137,6 +138,7 @@ def _signed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFra
 
 def _keyed(classes: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
+        worker_state("minhash")  # what another operator left in this worker goes
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, s.length)
             reps = batch.column("rep").to_numpy()
@@ -155,6 +157,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-wanted")
 
     def run(batches):
+        worker_state("minhash")  # what another operator left in this worker goes
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 sets = shingle_sets(texts, s.words)

@@ -259,3 +259,15 @@ def test_extraction_awkward_rows(spark):
     assert by_id[1] == by_id[2] == "" and by_id[None] == by_id[3] and by_id[5].count("\n") == 29_999
     empty = html_blocks.fit(no_rows(pages), few)
     assert html_blocks.extract(no_rows(pages), empty, few).count() == 0
+
+
+def test_given_labels_held_out_and_thresholds_by_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, labels, learn=~held)
+    assert set(model.thresholds) == {"", *(r[0] for r in docs.select("lang").where("lang is not null").distinct().collect())}
+    test = docs.join(labels.where(held), "doc_id")
+    rows = toxicity.score(test.select("text", "toxic"), model).select("score", "toxic").collect()
+    toxic, clean = (np.array([r.score for r in rows if r.toxic == k]) for k in (1, 0))
+    assert len(toxic) > 50 and np.mean(toxic[:, None] > clean[None, :]) > 0.93
