@@ -18,8 +18,8 @@ STAT_DECIMALS = 1
 
 
 def recommend(train: DataFrame, test: DataFrame, k: int, id_col: str, entity: str, code: str,
-              vec_col: str = "embedding", by: list[str] | None = None) -> DataFrame:
-    """[by], entity, actual_code, rec_code, score, rank.
+              vec_col: str = "embedding", by: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """[by], entity, actual_code, rec_code, score, rank; ``with_ids`` adds the document and its neighbour, ref_id.
 
     ``rank`` is the 1-based place among all recommendations of the entity, over
     all its documents: score desc, then document, then the document's own order."""
@@ -29,7 +29,8 @@ def recommend(train: DataFrame, test: DataFrame, k: int, id_col: str, entity: st
     nb = nearest_neighbours(q, r, k=k, q_id=id_col, r_id=id_col, vec_col=vec_col,
                             q_payload=[entity, "actual_code"], r_payload=["rec_code"], by=by)
     place = Window.partitionBy(*by, entity).orderBy(F.col("sim").desc(), id_col, "nb_rank")
-    return nb.select(*by, entity, "actual_code", "rec_code", F.col("sim").alias("score"), F.row_number().over(place).alias("rank"))
+    ids = [id_col, "ref_id"] if with_ids else []
+    return nb.select(*by, entity, "actual_code", "rec_code", F.col("sim").alias("score"), F.row_number().over(place).alias("rank"), *ids)
 
 
 def with_matches(recs: DataFrame, prefix_len: int = DIVISION) -> DataFrame:
@@ -76,6 +77,40 @@ def overall_stats(recs: DataFrame, entity: str, prefix_len: int = DIVISION) -> D
     )
 
 
+def result_tables(base: DataFrame, train: DataFrame, test: DataFrame, texts: DataFrame, descriptions: DataFrame, k: int,
+                  id_col: str, entity: str, code: str, text: str = "text", vec_col: str = "embedding") -> dict[str, DataFrame]:
+    """The recommender's six tables: results, outputs, stats, validation, training, testing.
+
+    ``texts``: (id, text) of all documents of ``base``; ``descriptions``: (code, description), one row a code.
+    Recommendations are computed and written once (a reliable checkpoint); the
+    tables read them. Texts meet them by document id in two joins, for the
+    validation table alone.
+    """
+    recs = recommend(train, test, k, id_col, entity, code, vec_col, with_ids=True).checkpoint(eager=True)
+    public = [entity, "actual_code", "rec_code", "score", "rank"]
+    outputs = recs.select(entity, F.substring("actual_code", 1, DIVISION).alias("actual_ssic"), F.substring("rec_code", 1, DIVISION).alias("rec_ssic"), "score", "rank")
+    own = texts.select(F.col(id_col), F.col(text).alias("actual_text"))
+    other = texts.select(F.col(id_col).alias("ref_id"), F.col(text).alias("rec_text"))
+    validation = recs.join(own, id_col, "left").join(other, "ref_id", "left")
+    for side in ("actual", "rec"):
+        d = descriptions.select(F.col("code").alias(f"{side}_code"), F.col("description").alias(f"{side}_description"))
+        validation = validation.join(d, f"{side}_code", "left")
+    described = [F.coalesce(f"{side}_description", F.lit("")).alias(f"{side}_description") for side in ("actual", "rec")]
+    stats = overall_stats(recs, entity)
+    accuracy = match_accuracy(recs, entity).select("accuracy")
+    measures = {"overall accuracy": accuracy, "mean similarity": stats.select("mean_score"),
+                "mean of division means": stats.select("mean_of_means"), "mean of division deviations": stats.select("mean_of_stds")}
+    results = [one.select(F.lit(name).alias("metric"), F.col(one.columns[0]).alias("value")) for name, one in measures.items()]
+    for more in results[1:]:
+        results[0] = results[0].unionByName(more)
+    kept = [id_col, entity, code]
+    return {
+        "results": results[0], "outputs": outputs, "stats": recommendation_stats(recs, entity),
+        "validation": validation.select(*public, "actual_text", "rec_text", *described),
+        "training": train.select(*kept).join(texts, id_col, "left"), "testing": test.select(*kept).join(texts, id_col, "left"),
+    }
+
+
 def best_row_per_entity(recs: DataFrame, entity: str, prefix_len: int = DIVISION) -> DataFrame:
     """The first row per entity after sorting by match desc (then rank)."""
     m = with_matches(recs, prefix_len)

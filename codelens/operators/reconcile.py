@@ -51,17 +51,30 @@ def join_two_sources(report: DataFrame, profile: DataFrame, key: str = "company"
     return j.withColumn(text, F.concat(F.col(text), F.lit("."), F.coalesce("_ptext", F.lit("")))).drop("_ptext")
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` sorted by ``keys``, then ``order``, over range partitions, with ``_place``, a number that grows along.
+
+    The rows of one key, however many, lie in as many partitions as they need. The
+    sample of keys that range partitioning takes would run the work behind ``df``
+    twice, so ``df`` is written first (a reliable checkpoint).
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = df.checkpoint(eager=True).repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    return ranged.withColumn("_place", F.monotonically_increasing_id())
+
+
 def concat_texts(df: DataFrame, keys: list[str], text: str, order: list[str], sep: str = " ") -> DataFrame:
-    """One text per key: texts joined with ``sep`` in ``order``.
+    """One text per key: texts joined with ``sep`` in ``order``; null texts are left out.
 
-    ``listagg ... WITHIN GROUP`` is a partial-free aggregate: every text of a
-    key meets in one task, which is the point (one text per company); keys
-    are companies, whose page count is small.
+    Rows are put in order over range partitions, so a key that holds half of all
+    rows is sorted and gathered in pieces by many tasks. Only the last step, which
+    makes one row of a key's pieces, is one task a key: the row is the result.
     """
-    order_sql = ", ".join(f"`{c}`" for c in order)
-    sep_sql = sep.replace("'", "\\'")
-    agg = F.expr(f"listagg(`{text}`, '{sep_sql}') WITHIN GROUP (ORDER BY {order_sql})").alias(text)
-    return df.groupBy(*keys).agg(agg)
+    rows = in_order(df.select(*keys, *order, text).where(F.col(text).isNotNull()), keys, order)
+    pieces = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", text))).alias("_pieces"))
+    joined = F.array_join(F.transform("_pieces", lambda p: p[text]), sep)
+    return pieces.select(*keys, joined.alias(text))
 
 
 def placeholder_rows(companies: DataFrame, profiles: DataFrame, key: str = "company",

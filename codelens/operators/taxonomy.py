@@ -26,6 +26,14 @@ def level_rows(dictionary: DataFrame, level: str, code: str = "code") -> DataFra
     return dictionary.where(F.length(code) == LEVEL_LENGTHS[level])
 
 
+def with_level(dictionary: DataFrame, code: str = "code") -> DataFrame:
+    """Every row of a known level with ``level``, told by the length of its code."""
+    level = F.lit(None).cast("string")
+    for name, n in LEVEL_LENGTHS.items():
+        level = F.when(F.length(code) == n, F.lit(name)).otherwise(level)
+    return dictionary.withColumn("level", level).where(F.col("level").isNotNull())
+
+
 def drop_section_rows(dictionary: DataFrame, code: str = "code") -> DataFrame:
     return dictionary.where(~F.col(code).rlike("^[A-Z]$"))
 
@@ -93,19 +101,21 @@ def encode_labels(labels: DataFrame, label: str, name: str = "encoded") -> DataF
     return d.withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
 
 
+LEVEL_KEYS = {"Section": "section", "Division": "division", "Group": "group_code", "Class": "class_code", "Sub-class": "code"}
+
+
 def level_counts(flat: DataFrame) -> DataFrame:
-    """Rows per Section/Division/Group/Class/Sub-class in one pass:
-    each row is exploded into its five (level, code) keys, then one aggregate
-    (partial aggregation before the shuffle)."""
-    keys = F.array(
-        F.struct(F.lit("Section").alias("level"), F.col("section").alias("key")),
-        F.struct(F.lit("Division").alias("level"), F.col("division").alias("key")),
-        F.struct(F.lit("Group").alias("level"), F.col("group_code").alias("key")),
-        F.struct(F.lit("Class").alias("level"), F.col("class_code").alias("key")),
-        F.struct(F.lit("Sub-class").alias("level"), F.col("code").alias("key")),
-    )
-    e = flat.select(F.explode(keys).alias("k")).select("k.level", "k.key")
-    return e.groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per Section/Division/Group/Class/Sub-class: one aggregate over five grouping sets
+    (partial aggregation before the shuffle). A row without a code at a level counts under null there."""
+    keys = list(LEVEL_KEYS.values())
+    counted = flat.groupingSets([[F.col(k)] for k in keys], *keys).agg(F.count(F.lit(1)).alias("n"), F.grouping_id(*keys).alias("_set"))
+    # the set of the first key has the bits of all the others, and so on
+    every = (1 << len(keys)) - 1
+    level, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, column) in enumerate(LEVEL_KEYS.items()):
+        mine = F.col("_set") == every - (1 << (len(keys) - 1 - i))
+        level, key = F.when(mine, F.lit(name)).otherwise(level), F.when(mine, F.col(column)).otherwise(key)
+    return counted.select(level.alias("level"), key.alias("key"), "n")
 
 
 def cascade_search(flat: DataFrame, section: str = "", code: str = "", title: str = "") -> DataFrame:

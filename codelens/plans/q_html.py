@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codelens.functions import html as H
@@ -20,6 +22,7 @@ from codelens.plans.oracle import (
     site_root_sql,
     with_views,
 )
+from codelens.session import shared_path
 from codelens.sources import fixtures as FX
 from codelens.sources.tables import read_table
 
@@ -111,18 +114,33 @@ def placeholder_rows(spark, sf_dir):
 
 # ---- the page-text job: pages -> clean text -> one text per company and code
 
-def page_text_job(spark, sf_dir):
+def page_text_job(spark, sf_dir, seen=lambda name, df: df):
+    """``seen(step, df)`` is handed the rows of each step, to count them while the job runs."""
     # extract once per page, drop junk, normalize -- all before the company
     # join, so only clean text is shuffled
     kept = X.kept_value(H.html_to_text("html"), lambda v: ~X.junk_rule(v), then=X.normalize_text)
-    t = FX.page_text(spark, sf_dir, {"text": kept}).select("page_id", "company", "ord", "text")
+    t = seen("clean pages", FX.page_text(spark, sf_dir, {"text": kept}).select("page_id", "company", "ord", "text"))
     # dedupe by text within each page kind; the smallest page id survives
-    t = R.dedupe(t, ["ord", "text"], order="page_id")
+    t = seen("distinct texts", R.dedupe(t, ["ord", "text"], order="page_id"))
     coded = RC.reconcile(t, FX.truth(spark, sf_dir)).where(F.col("ssic_code").isNotNull() & F.col("text").isNotNull())
-    return RC.concat_texts(coded, ["company", "ssic_code"], "text", ["ord", "page_id"])
+    return seen("companies", RC.concat_texts(seen("with a code", coded), ["company", "ssic_code"], "text", ["ord", "page_id"]))
+
+
+def job_sizes(spark, sf_dir, path: str):
+    """(step, n): rows after each step of the page-text job, observed in the one run that writes its result to ``path``."""
+    from pyspark.sql import Observation
+
+    watched = {}
+
+    def seen(name, df):
+        watched[name] = Observation(name)
+        return df.observe(watched[name], F.count(F.lit(1)).alias("n"))
+
+    page_text_job(spark, sf_dir, seen).write.parquet(path)
+    return spark.createDataFrame([(name, int(o.get["n"])) for name, o in watched.items()], "step string, n bigint")
 
 
-@register("page_text_by_company", with_views(["page_text", "truth"],
+_JOB_CTES = (
     ("t0", f"SELECT page_id, company, ord, {html_to_text_sql('html')} AS text FROM page_text"),
     ("t1", f"SELECT page_id, company, ord, {normalize_sql('text')} AS text FROM t0 WHERE NOT {junk_sql('text')}"),
     ("t2", "SELECT * FROM t1 QUALIFY row_number() OVER (PARTITION BY ord, text ORDER BY page_id) = 1"),
@@ -131,6 +149,10 @@ def page_text_job(spark, sf_dir):
            "WHERE ssic_code IS NOT NULL GROUP BY 1"),
     ("t3", "SELECT t2.*, coalesce(ex.c1, lo.c2) AS ssic_code FROM t2 LEFT JOIN ex ON t2.company = ex.company "
            "LEFT JOIN lo ON t2.company = lo.company"),
+)
+
+
+@register("page_text_by_company", with_views(["page_text", "truth"], *_JOB_CTES,
     body="""SELECT company, ssic_code, string_agg(text, ' ' ORDER BY ord, page_id) AS text
             FROM t3 WHERE ssic_code IS NOT NULL AND text IS NOT NULL GROUP BY company, ssic_code"""))
 def page_text_by_company(spark, sf_dir):
@@ -144,3 +166,12 @@ def page_text_by_company(spark, sf_dir):
 def concat_by_company(spark, sf_dir):
     pt = FX.page_text(spark, sf_dir, {"text": H.html_to_text("html")}).select("company", "ord", "page_id", "text")
     return RC.concat_texts(pt.where(F.col("text").isNotNull()), ["company"], "text", ["ord", "page_id"])
+
+
+@register("page_text_sizes", with_views(["page_text", "truth"], *_JOB_CTES,
+    body="""SELECT 'clean pages' AS step, count(*) AS n FROM t1 UNION ALL SELECT 'distinct texts', count(*) FROM t2
+            UNION ALL SELECT 'with a code', count(*) FROM t3 WHERE ssic_code IS NOT NULL AND text IS NOT NULL
+            UNION ALL SELECT 'companies', count(DISTINCT (company, ssic_code)) FROM t3 WHERE ssic_code IS NOT NULL AND text IS NOT NULL"""))
+def page_text_sizes(spark, sf_dir):
+    """Rows after each step of the page-text job, counted while it runs (no second pass)."""
+    return job_sizes(spark, sf_dir, shared_path(spark, f"page-text-{uuid.uuid4().hex}"))

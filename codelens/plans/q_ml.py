@@ -20,7 +20,9 @@ from codelens.plans.q_taxonomy import FLAT_CTES
 from codelens.plans.q_tfidf import _tfidf_ctes
 from codelens.session import shared_path
 from codelens.sources import fixtures as FX
+from codelens.sources.tables import read_table
 
+FOLDS = 5
 LEVEL_PREFIX = {"Section": None, "Division": 2, "Group": 3, "Class": 4}
 
 
@@ -84,6 +86,22 @@ def cluster_members(spark, sf_dir):
     return c.join(F.broadcast(sizes), "cluster")
 
 
+@register("cluster_totals", "SELECT count(*) AS n_pages, sum(page_id)::BIGINT AS ids, CASE WHEN count(*) > 0 THEN true ELSE NULL END AS within_k FROM pages")
+def cluster_totals(spark, sf_dir):
+    """Every page is in one cluster: pages, the sum of their ids, and whether there are at most 10 clusters."""
+    c = kmeans_pages(spark, sf_dir)
+    return c.agg(F.count(F.lit(1)).alias("n_pages"), F.sum("page_id").alias("ids"), F.max(F.col("cluster") < 10).alias("within_k"))
+
+
+@register("cross_validate_classifier")
+def cross_validate_classifier(spark, sf_dir):
+    """Mean accuracy of the naive Bayes pipeline on documents' languages for three smoothings, five folds by the id's md5 bucket."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").where(F.col("lang").isNotNull())
+    folded = S.with_fold(docs, "doc_id", FOLDS).checkpoint(eager=True)  # read once for each fold and smoothing
+    found = ML.cross_validate(folded, "text", "lang", "fold", FOLDS, [0.1, 1.0, 10.0])
+    return spark.createDataFrame([(s, round(a, 6)) for s, a in found], "smoothing double, mean_accuracy double")
+
+
 def _company_docs(spark, sf_dir):
     """Company texts (lower-cased) with their reconciled, padded code."""
     from codelens.functions.codes import pad_code

@@ -60,9 +60,11 @@ def taxonomy_browser(spark, sf_dir):
 
 
 @register("code_level_filter", with_views(["dictionary"], body=
-    "SELECT code, title FROM dictionary WHERE length(code) = 4"))
+    "SELECT CASE length(code) WHEN 1 THEN 'Section' WHEN 2 THEN 'Division' WHEN 3 THEN 'Group' WHEN 4 THEN 'Class' "
+    "ELSE 'Sub-class' END AS level, code, title FROM dictionary WHERE length(code) BETWEEN 1 AND 5"))
 def code_level_filter(spark, sf_dir):
-    return TX.level_rows(FX.dictionary(spark, sf_dir), "Class").select("code", "title")
+    """The rows of each of the five levels."""
+    return TX.with_level(FX.dictionary(spark, sf_dir)).select("level", "code", "title")
 
 
 @register("drop_section_rows", with_views(["dictionary"], body=

@@ -73,3 +73,21 @@ def test_knn_with_a_hot_group(spark):
     nb = nearest_neighbours(df, df.withColumnRenamed("id", "rid"), 3, "id", "rid", by=["trial"], block_rows=64)
     counts = {r["trial"]: r["n"] for r in nb.groupBy("trial").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {0: 400 * 3, 1: 200 * 3}
+
+
+def test_texts_of_a_hot_company_are_gathered_by_many_tasks(spark):
+    from codelens.operators import reconcile as RC
+
+    rows = [("hot" if i % 2 else f"c{i % 40}", (i * 7919) % 2003, f"t{i}" if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "company string, ord int, text string")
+    placed = RC.in_order(df, ["company"], ["ord"]).withColumn("part", F.spark_partition_id())
+    spread = placed.where("company = 'hot'").groupBy("part").count().collect()
+    assert len(spread) >= 4 and max(r["count"] for r in spread) < 500
+    got = {r["company"]: r["text"] for r in RC.concat_texts(df, ["company"], "text", ["ord"]).collect()}
+    want = {}
+    for company, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        if text is not None:
+            want[company] = f"{want[company]} {text}" if company in want else text
+    assert got == want
+    plan = RC.concat_texts(df, ["company"], "text", ["ord"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "partial_collect_list" in plan

@@ -126,3 +126,38 @@ def test_fit_needs_no_matrix_on_the_driver(spark):
     docs = FX.company_text(spark, SF_SMALL).select("doc_id", "text")
     plan = NB.score_top_n(model, docs, "doc_id", "text", 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cluster_vectors_are_the_own_weights(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    from codelens.operators import ml as ML
+
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text").checkpoint()
+    rows = ML.weighted_vectors(docs, "text", 50)
+    got = {r["doc_id"]: sorted(round(float(x), 6) for x in r["_features"].values) for r in rows.collect()}
+    want = collections.defaultdict(list)
+    for r in TF.tfidf(docs, "doc_id", "text", max_features=50).collect():
+        want[r["doc_id"]].append(r["weight"])
+    assert {i: v for i, v in got.items() if v} == {i: sorted(v) for i, v in want.items()}
+    clusters = ML.kmeans_clusters(docs, "text", k=4, vocab=50)
+    assert clusters.count() == docs.count() and clusters.select("cluster").distinct().count() <= 4
+    model = KMeans(featuresCol="_features", k=4, seed=0).fit(rows)
+    again = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster")
+    mine = clusters.join(rows.select("doc_id", "_features"), "doc_id")
+    assert again.evaluate(mine) >= 0.99 * ClusteringEvaluator(featuresCol="_features").evaluate(model.transform(rows))
+
+
+def test_cross_validation_uses_the_given_folds(spark):
+    from codelens.operators import ml as ML
+    from codelens.operators import split as S
+
+    docs = S.with_fold(read_table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang"), "doc_id", 3).checkpoint()
+    (_, accuracy), = ML.cross_validate(docs, "text", "lang", "fold", 3, [1.0], num_features=1 << 12)
+    each = []
+    for fold in range(3):
+        model = ML.train_text_classifier(docs.where(F.col("fold") != fold), "text", "lang", num_features=1 << 12)
+        top = ML.score_top_n(model, docs.where(F.col("fold") == fold), "doc_id", "text", 1, keep=["lang"])
+        each.append(top.agg(F.avg((F.col("pred_code") == F.col("lang")).cast("int"))).first()[0])
+    assert abs(accuracy - sum(each) / 3) < 1e-9
