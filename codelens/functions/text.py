@@ -190,6 +190,18 @@ def company_from_filename(c) -> Column:
     return F.when(c.contains("."), with_ext).otherwise(no_ext)
 
 
+def company_from_spaced_filename(c) -> Column:
+    """The variant for names whose last word is the file's: with a '.', drop the
+    last space-separated word, then the last 5 chars, strip; without one, drop the last
+    9 chars and strip. One trailing '.' goes."""
+    c = _c(c)
+    words = F.split(c, " ", -1)
+    stem = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+    with_dot = strip_ws(F.substring(stem, F.lit(1), F.greatest(F.length(stem) - 5, F.lit(0))))
+    without = strip_ws(F.substring(c, F.lit(1), F.greatest(F.length(c) - 9, F.lit(0))))
+    return F.regexp_replace(F.when(c.contains("."), with_dot).otherwise(without), r"\.\z", "")
+
+
 # Profile and search URL formats.
 PROFILE_URL = "https://www.linkedin.com/company/{}/about"
 SEARCH_URL = "https://www.linkedin.com/search/results/companies/?keywords={}"

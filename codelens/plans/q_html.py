@@ -79,24 +79,32 @@ def explode_site_links(spark, sf_dir):
 
 
 def _profile_fields(spark, sf_dir):
+    """The profile fields of every page, main and sub pages."""
     fields = {
         "page_url": F.col("url"),
         "category": H.first_tag_text("html", "div", "ad"),
         "website": H.first_tag_text("html", "footer", must_contain="example.com"),
         "text": H.first_tag_text("html", "p"),
     }
-    pt = FX.page_text(spark, sf_dir, fields).where(F.col("kind") == "main")
-    return pt.select("company", "page_url", "category", "website", "text")
+    return FX.page_text(spark, sf_dir, fields)
 
 
-_PROFILE_SQL = (f"SELECT company, url AS page_url, {first_tag_text_sql('html', 'div', 'ad')} AS category, "
-                f"{first_tag_text_sql('html', 'footer', must_contain='example.com')} AS website, "
-                f"{first_tag_text_sql('html', 'p')} AS text FROM page_text WHERE kind = 'main'")
+def company_profiles(spark, sf_dir):
+    """One profile per company: its main page's, else its first sub page's (a partial aggregate, no window)."""
+    pages = _profile_fields(spark, sf_dir)
+    first = F.min_by(F.struct("page_url", "category", "website", "text"), F.struct("ord", "page_id"))
+    return pages.groupBy("company").agg(first.alias("p")).select("company", "p.*")
 
 
-@register("extract_profile_fields", with_views(["page_text"], body=_PROFILE_SQL))
+_PAGE_PROFILE_SQL = (f"SELECT page_id, company, kind, ord, url AS page_url, {first_tag_text_sql('html', 'div', 'ad')} AS category, "
+                     f"{first_tag_text_sql('html', 'footer', must_contain='example.com')} AS website, "
+                     f"{first_tag_text_sql('html', 'p')} AS text FROM page_text")
+_PROFILE_SQL = f"SELECT * FROM ({_PAGE_PROFILE_SQL}) q QUALIFY row_number() OVER (PARTITION BY company ORDER BY ord, page_id) = 1"
+
+
+@register("extract_profile_fields", with_views(["page_text"], body=f"SELECT * EXCLUDE (ord) FROM ({_PAGE_PROFILE_SQL}) q"))
 def extract_profile_fields(spark, sf_dir):
-    return _profile_fields(spark, sf_dir)
+    return _profile_fields(spark, sf_dir).drop("ord")
 
 
 @register("placeholder_rows", with_views(["page_text", "truth"], ("prof", _PROFILE_SQL), body="""
@@ -109,7 +117,7 @@ def extract_profile_fields(spark, sf_dir):
     LEFT JOIN prof p ON t.company = p.company"""))
 def placeholder_rows(spark, sf_dir):
     companies = FX.truth(spark, sf_dir).select(X.strip_trailing_dot("company").alias("company")).distinct()
-    return RC.placeholder_rows(companies, _profile_fields(spark, sf_dir))
+    return RC.placeholder_rows(companies, company_profiles(spark, sf_dir))
 
 
 # ---- the page-text job: pages -> clean text -> one text per company and code

@@ -110,7 +110,8 @@ def total_score(spark, sf_dir):
     ("scores", "SELECT vec_id, score, score2, t_score FROM judged"),
     body="SELECT s.vec_id, s.score, s.score2, s.t_score, f.within_top_n FROM scores s LEFT JOIN flags f ON s.vec_id = f.vec_id"))
 def score_with_flag(spark, sf_dir):
-    j = P.judge_report(spark, sf_dir)
+    """Scores and flags as two tables, joined; both come from one report (a row an entity, written once)."""
+    j = P.judge_report(spark, sf_dir).checkpoint(eager=True)
     scores = j.select("vec_id", "score", "score2", "t_score")
     flags = j.select("vec_id", "within_top_n")
     return scores.join(flags, "vec_id", "left")

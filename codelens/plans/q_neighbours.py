@@ -177,15 +177,15 @@ def top_predictions(spark, sf_dir):
             FROM recs r LEFT JOIN descr a ON r.actual_code = a.code LEFT JOIN descr b ON r.rec_code = b.code"""))
 def describe_recommendations(spark, sf_dir):
     """Text of the declared and the recommended code next to each row; codes
-    without a description get ''. Descriptions: one row per code (bounded by
-    the code domain), broadcast."""
+    without a description get ''. Descriptions are one row per code but of any
+    length: AQE broadcasts them if their measured bytes are few."""
     from codelens.operators import taxonomy as TX
 
     f = TX.flatten(FX.dictionary(spark, sf_dir))
     d = f.select("code", X.build_description(F.col("title"), F.col("definition"), F.col("examples")).alias("text"))
     r = recommendations(spark, sf_dir)
-    a = F.broadcast(d.select(F.col("code").alias("actual_code"), F.col("text").alias("actual_description")))
-    b = F.broadcast(d.select(F.col("code").alias("rec_code"), F.col("text").alias("rec_description")))
+    a = d.select(F.col("code").alias("actual_code"), F.col("text").alias("actual_description"))
+    b = d.select(F.col("code").alias("rec_code"), F.col("text").alias("rec_description"))
     out = r.join(a, "actual_code", "left").join(b, "rec_code", "left")
     return out.select("company", "actual_code", "rec_code", "score", "rank",
                       F.coalesce("actual_description", F.lit("")).alias("actual_description"),

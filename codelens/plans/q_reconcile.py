@@ -11,7 +11,7 @@ from codelens.operators import split as S
 from codelens.operators import taxonomy as TX
 from codelens.plans.catalog import register
 from codelens.plans.oracle import bucket_sql, with_views
-from codelens.plans.q_html import _PROFILE_SQL, _profile_fields
+from codelens.plans.q_html import _PROFILE_SQL, company_profiles
 from codelens.plans.q_taxonomy import FLAT_CTES
 from codelens.sources import fixtures as FX
 
@@ -105,7 +105,7 @@ def join_two_sources(spark, sf_dir):
     """Report text LEFT JOIN profile text by company, joined with '.'."""
     rep = RC.reconcile(FX.company_text(spark, sf_dir).select("company", "text"), FX.truth(spark, sf_dir))
     rep = rep.where(F.col("ssic_code").isNotNull())
-    prof = _profile_fields(spark, sf_dir).select("company", "text")
+    prof = company_profiles(spark, sf_dir).select("company", "text")
     return RC.join_two_sources(rep, prof).select("company", "ssic_code", "text")
 
 

@@ -9,6 +9,7 @@ from codelens.functions import text as X
 from codelens.operators import profile as PR
 from codelens.plans.catalog import register
 from codelens.plans.oracle import (
+    strip_sql,
     junk_sql,
     normalize_sql,
     clean_sql,
@@ -146,6 +147,20 @@ def company_from_filename(spark, sf_dir):
     return f.select("doc_id", "file_name", X.company_from_filename("file_name").alias("company"))
 
 
+@register("company_from_spaced_filename", with_views(["company_text"], body=f"""
+    SELECT doc_id, file_name, regexp_replace(CASE WHEN contains(file_name, '.')
+             THEN {strip_sql("substr(stem, 1, greatest(length(stem) - 5, 0))")}
+             ELSE {strip_sql("substr(file_name, 1, greatest(length(file_name) - 9, 0))")} END, '\\.\\z', '') AS company
+    FROM (SELECT *, array_to_string(string_split(file_name, ' ')[1:-2], ' ') AS stem
+          FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN company || '. 2023 report.pdf' ELSE company || ' FY2023AR' END AS file_name
+                FROM company_text) e) f"""))
+def company_from_spaced_filename(spark, sf_dir):
+    """Report names with spaces back to company names."""
+    ct = FX.company_text(spark, sf_dir)
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat("company", F.lit(". 2023 report.pdf"))).otherwise(F.concat("company", F.lit(" FY2023AR")))
+    return ct.select("doc_id", name.alias("file_name")).withColumn("company", X.company_from_spaced_filename("file_name"))
+
+
 @register("query_url", with_views(["truth"], body="""
     SELECT uen, 'https://www.linkedin.com/company/' || company || '/about' AS profile_url,
            'https://www.linkedin.com/search/results/companies/?keywords=' || company AS search_url,
