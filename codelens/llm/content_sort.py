@@ -12,6 +12,10 @@ from codelens.llm.common import shuffle_width, stored, text_or_empty
 SALTS = 64
 #: Characters of a text in a splitter.
 LEAD = 32
+#: A text with more rows than this share of a sort task's fair share is cut into salted runs.
+HOT_SHARE = 0.125
+#: Columns that rows of one run share; the last is the whole text, compared in full.
+RUN = ("__lead", "__hash", "__salt", "__text")
 
 
 def exact_groups(
@@ -22,13 +26,15 @@ def exact_groups(
     ``repartitionByRange`` samples splitters and deals the normalised texts out
     by range; each task sorts its range, on disk when memory runs out, so equal
     texts are neighbours, and the window compares each text with its neighbour
-    in full. A splitter is the first ``LEAD`` characters, then a hash of the
-    whole text for those that begin alike, then ``salt``: the sample that the
-    driver sees is bounded however long texts are. ``salt`` comes from the id:
-    a text that a third of all rows share is cut into ``salts`` runs in as many
-    tasks.
-    Every run leaves one row (its best id and its length), and runs of one text
-    are joined by the SHA-256 of the text, so that the text is shuffled once.
+    in full: a run of equal texts gives each of its rows the run's best id and its
+    length. A splitter is the first ``LEAD`` characters, then a hash of the
+    whole text for those that begin alike, then a salt: the sample that the
+    driver sees is bounded however long texts are.
+
+    The salt is 0 but for hot texts, those with more than ``HOT_SHARE`` of a task's
+    fair share of rows (counted before by their hash, combined before the
+    shuffle; there can be at most 8 times as many as there are tasks). They are cut into ``salts`` runs
+    in as many tasks, and the heads of these runs alone are joined by the SHA-256 of the text.
 
     ``keep``: "smallest" or "largest" id of a group stays. ``normalise``: a
     function Column -> Column applied before comparing (None: no change).
@@ -37,18 +43,20 @@ def exact_groups(
     Other columns are ignored. An empty table gives no rows.
     """
     best = _best(keep)
-    marked = stored(
-        _runs(docs, keep, normalise, salts, id_col, text_col, payload=()).select("__id", "__place", "text_sha256"), "exact"
-    )
-    groups = marked.groupBy("text_sha256").agg(best("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = stored(groups.where("group_size > 1"), "exact-groups")
-    out = marked.join(several, "text_sha256", "left")
-    keep_id = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
+    marked = stored(_runs(docs, keep, normalise, salts, id_col, text_col, payload=()), "exact")
+    heads = marked.where("__hot and __place = 1")
+    # a head a salt, the first of them by salt where several have the best id
+    better = _rank(keep)
+    hot = heads.groupBy("text_sha256").agg(best(better).alias("best"), F.sum("__size").alias("all"))
+    hot = stored(hot.select("text_sha256", F.col("best.__id").alias("hot_id"), F.col("best.__salt").alias("hot_salt"), "all"), "exact-hot")
+    out = marked.join(F.broadcast(hot), "text_sha256", "left")
+    keep_id = F.when(F.col("__hot"), F.col("hot_id")).otherwise(F.col("__first"))
+    first = (F.col("__place") == 1) & (~F.col("__hot") | (F.col("__salt") == F.col("hot_salt")))
     return out.select(
         F.col("__id").alias(id_col),
         keep_id.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("__id").eqNullSafe(keep_id) & (F.col("__place") == 1)).alias("kept"),
+        F.coalesce("all", "__size").alias("group_size"),
+        first.alias("kept"),
         "text_sha256",
     )
 
@@ -59,45 +67,55 @@ def _best(keep: str):
     return F.max if keep == "largest" else F.min
 
 
+def _rank(keep: str):
+    """What heads are compared by: a null id is worse than any."""
+    known = F.col("__id").isNotNull() if keep == "largest" else F.col("__id").isNull()
+    return F.struct(known.alias("known"), F.col("__id"), F.col("__salt"))
+
+
 def _runs(docs: DataFrame, keep: str, normalise, salts: int, id_col: str, text_col: str, payload: Sequence[str]) -> DataFrame:
-    """Every row with its place in its run of equal texts (1: the best id), and ``payload`` as the struct ``__row``."""
+    """Every row with its place in its run of equal texts (1: the best id), the run's best id and size, and ``payload`` as the struct ``__row``."""
     text = text_or_empty(text_col)
     if normalise is not None:
         text = normalise(text)
+    width = shuffle_width(docs.sparkSession)
+    many = HOT_SHARE * docs.count() / width
+    hashes = docs.select(F.xxhash64(text).alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(hashes.where(F.col("n") > max(1.0, many)).select("__hash", F.lit(True).alias("__hot")), "exact-hot-hashes")
     carried = [F.struct(*[F.col(c) for c in payload]).alias("__row")] if payload else []
     rows = docs.select(
-        F.col(id_col).alias("__id"),
-        text.alias("__text"),
-        F.substring(text, 1, LEAD).alias("__lead"),
-        F.xxhash64(text).alias("__hash"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("__salt"),
-        *carried,
+        F.col(id_col).alias("__id"), text.alias("__text"), F.substring(text, 1, LEAD).alias("__lead"), F.xxhash64(text).alias("__hash"), *carried
     )
-    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "__lead", "__hash", "__salt")
+    rows = rows.join(F.broadcast(hot), "__hash", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    dealt = F.pmod(F.xxhash64("__id", F.monotonically_increasing_id()), F.lit(salts))
+    rows = rows.withColumn("__salt", F.when(F.col("__hot"), dealt).otherwise(F.lit(0).cast("long")))
+    ranged = rows.repartitionByRange(width, *RUN[:3])
+    run = Window.partitionBy(*RUN)
     order = F.col("__id").desc_nulls_last() if keep == "largest" else F.col("__id").asc_nulls_last()
-    run = Window.partitionBy("__lead", "__hash", "__salt", "__text").orderBy(order)
-    columns = ["__id", "__salt", *(["__row"] if payload else [])]
-    return ranged.select(*columns, F.row_number().over(run).alias("__place"), F.sha2(F.col("__text"), 256).alias("text_sha256"))
+    columns = ["__id", "__salt", "__hot", *(["__row"] if payload else [])]
+    return ranged.select(
+        *columns,
+        F.row_number().over(run.orderBy(order)).alias("__place"),
+        F.first("__id").over(run.orderBy(order)).alias("__first"),
+        F.count(F.lit(1)).over(run).alias("__size"),
+        F.sha2(F.col("__text"), 256).alias("text_sha256"),
+    )
 
 
 def deduplicated(docs: DataFrame, keep: str = "largest", normalise=None, salts: int = SALTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts (see ``exact_groups``).
 
-    Rows travel through the one sort by content; the runs of a text that was
-    dealt to several tasks leave a head each, and all heads but the best are
+    Rows travel through the one sort by content; the runs of a hot text, which was
+    dealt to several tasks, leave a head each, and all heads but the best are
     taken out by their hash and salt.
     """
     best = _best(keep)
     heads = _runs(docs, keep, normalise, salts, id_col, text_col, payload=docs.columns).where("__place = 1")
-    heads = stored(heads, "exact-heads")
-    # a null id is worse than any: it comes first under max, and is skipped by min only if there is another
-    rank = F.struct(F.col("__id").isNotNull().alias("known"), F.col("__id"), F.col("__salt")) if keep == "largest" else F.struct(
-        F.col("__id").isNull().alias("unknown"), F.col("__id"), F.col("__salt")
-    )
-    groups = heads.groupBy("text_sha256").agg(best(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = stored(groups.select("text_sha256", F.col("best.__salt").alias("__kept")), "exact-several")
-    beaten = heads.select("text_sha256", "__salt").join(groups, "text_sha256").where("__salt <> __kept").select("text_sha256", "__salt")
-    return heads.join(stored(beaten, "exact-beaten"), ["text_sha256", "__salt"], "left_anti").select("__row.*")
+    heads = stored(heads.drop("__first", "__size", "__place"), "exact-heads")
+    hot = heads.where("__hot").select("text_sha256", "__id", "__salt")
+    kept = hot.groupBy("text_sha256").agg(best(_rank(keep)).alias("best")).select("text_sha256", F.col("best.__salt").alias("__kept"))
+    beaten = hot.join(kept, "text_sha256").where("__salt <> __kept").select("text_sha256", "__salt")
+    return heads.join(F.broadcast(stored(beaten, "exact-beaten")), ["text_sha256", "__salt"], "left_anti").select("__row.*")
 
 
 ORACLE_SQL = """

@@ -119,3 +119,17 @@ def test_mix_awkward_rows(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("",), (" a  b\t",), ("x",), ("a b c",)], "t string")
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [0, 2, 1, 2]
+
+
+def test_groups_come_from_neighbours_in_the_sort(spark, monkeypatch):
+    """With every row a run of its own, no group is found but the hot ones: nothing else puts equal texts together."""
+    docs = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 900).cast("string"))).alias("text"))
+    docs = docs.withColumnRenamed("id", "doc_id")
+    sizes = {r.text: r.n for r in docs.groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = docs.join(content_sort.exact_groups(docs), "doc_id").collect()
+    assert all(r.group_size == sizes[r.text] for r in found) and sum(r.kept for r in found) == len(sizes)
+    largest = {t: max(r.doc_id for r in found if r.text == t) for t in list(sizes)[:20]}
+    assert all(r.keep_id == largest[r.text] for r in found if r.text in largest)
+    monkeypatch.setattr(content_sort, "RUN", (*content_sort.RUN, "__id"))
+    apart = docs.join(content_sort.exact_groups(docs), "doc_id").where("text <> 'hot'")
+    assert apart.where("group_size > 1").count() == 0 and apart.where("not kept").count() == 0
