@@ -99,7 +99,7 @@ def cross_validate_classifier(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").where(F.col("lang").isNotNull())
     folded = S.with_fold(docs, "doc_id", FOLDS).checkpoint(eager=True)  # read once for each fold and smoothing
     found = ML.cross_validate(folded, "text", "lang", "fold", FOLDS, [0.1, 1.0, 10.0])
-    return spark.createDataFrame([(s, round(a, 6)) for s, a in found], "smoothing double, mean_accuracy double")
+    return spark.createDataFrame([(s, round(float(a), 6)) for s, a in found], "smoothing double, mean_accuracy double")
 
 
 def _company_docs(spark, sf_dir):
