@@ -3,8 +3,8 @@
 A stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of
 documents. Scores, sorted neighbourhoods and packing have no form in SQL that
-gives the same rows, so there is no oracle: tests compare every stage with a
-plain version.
+gives the same rows, so there is no oracle: a test compares exact dedup with a
+plain version and the other stages by what must hold of their rows.
 """
 
 from __future__ import annotations
