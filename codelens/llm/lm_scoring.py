@@ -29,10 +29,10 @@ class Settings:
     reach: int = 2
     size: int = 16
     hidden: int = 32
-    masked: float = 0.1
+    masked: float = 0.17
     rounds: int = 3
-    batch: int = 1024
-    rate: float = 0.1
+    batch: int = 4096
+    rate: float = 0.6
     seed: int = 3
 
     @property
@@ -107,22 +107,26 @@ class Network:
     def contexts(self, ids: np.ndarray, begin: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Ids around the places ``where``; row ``words`` of the embedding stands outside the text."""
         s = self.s
-        padded = np.full(len(ids) + len(begin) * s.reach + s.reach, s.words, np.int64)
+        padded = np.full(len(ids) + len(begin) * s.reach + s.reach, s.words, np.uint16)
         text = np.repeat(np.arange(1, len(begin) + 1), np.diff(begin, append=len(ids)))
         padded[np.arange(len(ids)) + text * s.reach] = ids
         at = where + text[where] * s.reach if len(where) else where
         around = [k for k in range(-s.reach, s.reach + 1) if k]
-        return np.stack([padded[at + k] for k in around], axis=1) if len(where) else np.zeros((0, 2 * s.reach), np.int64)
+        return np.stack([padded.take(at + k) for k in around], axis=1) if len(where) else np.zeros((0, 2 * s.reach), np.uint16)
+
+    def bounded(self) -> bool:
+        """Whether no exponential of a logit can overflow: |h| is at most 1, so sums of absolute weights bound the logits."""
+        v = self.v
+        return max((abs(v["wc"]).sum(0) + abs(v["bc"])).max(), (abs(v["ww"]).sum(1) + abs(v["bw"])).max()) < 80
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | both sides), a softmax over classes times one over the words of the class."""
         s, v = self.s, self.v
-        place = self.order[target]
+        place = self.order.take(target).astype(np.uint16)  # 16 bits are sorted by radix
         by_class = np.argsort(place, kind="stable")
-        context, place = context[by_class], place[by_class]
+        context, place = context.take(by_class, axis=0), place.take(by_class).astype(np.int64)
         found = np.empty(len(target), np.float32)
-        # |h| is at most 1: sums of absolute weights bound the logits
-        safe = max((abs(v["wc"]).sum(0) + abs(v["bc"])).max(), (abs(v["ww"]).sum(1) + abs(v["bw"])).max()) < 80
+        safe = self.bounded()
         for first in range(0, len(target), 4096):
             t = place[first : first + 4096]
             n = len(t)
@@ -144,37 +148,41 @@ class Network:
     def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, sums: dict[str, np.ndarray]) -> None:
         """One pass of Adagrad steps over examples in random order; ``sums`` go on from call to call."""
         s, v = self.s, self.v
-        place = self.order[target]
+        context, place = context.astype(np.uint16), self.order.take(target).astype(np.uint16)  # 16 bits are sorted by radix
         everything = rng.permutation(len(target))
         for first in range(0, len(everything), s.batch):
             some = everything[first : first + s.batch]
             some = some[np.argsort(place[some], kind="stable")]
-            c, n = context[some], len(some)
-            k, j = place[some] // s.per_class, place[some] % s.per_class
-            x = v["embedding"][c].reshape(n, -1)
-            h = np.tanh(x @ v["w"] + v["b"])
-            g_class = _softmax(h @ v["wc"] + v["bc"])
+            ids, n = context.take(some, axis=0).ravel(), len(some)
+            k, j = np.divmod(place[some].astype(np.int64), s.per_class)
+            safe = self.bounded()
+            x = v["embedding"].take(ids, axis=0).reshape(n, -1)
+            h = x @ v["w"]
+            h += v["b"]
+            np.tanh(h, out=h)
+            g_class = _softmax(h @ v["wc"] + v["bc"], safe)
             g_class[np.arange(n), k] -= 1
             g_h = g_class @ v["wc"].T
-            for q in np.unique(k):
-                a, b = np.searchsorted(k, (q, q + 1))
-                g = _softmax(h[a:b] @ v["ww"][q] + v["bw"][q])
+            g_ww, g_bw = np.zeros_like(v["ww"]), np.zeros_like(v["bw"])
+            edges = np.searchsorted(k, np.arange(s.classes + 1)).tolist()
+            for q in range(s.classes):  # sorted: the rows of a class are next to each other
+                a, b = edges[q], edges[q + 1]
+                if a == b:
+                    continue
+                g = _softmax(h[a:b] @ v["ww"][q] + v["bw"][q], safe)
                 g[np.arange(b - a), j[a:b]] -= 1
                 g_h[a:b] += g @ v["ww"][q].T
-                _step(v["ww"][q], sums["ww"][q], h[a:b].T @ g / n, s.rate)
-                _step(v["bw"][q], sums["bw"][q], g.sum(0) / n, s.rate)
-            g_z = g_h * (1 - h**2)
-            g_x = (g_z @ v["w"].T).reshape(-1, s.size) / n
-            ids = c.ravel()
+                np.matmul(h[a:b].T, g, out=g_ww[q])
+                g_bw[q] = g.sum(0)
+            g_z = g_h * (1 - h * h)
+            g_x = (g_z @ v["w"].T).reshape(-1, s.size)
             by_id = np.argsort(ids, kind="stable")
-            row, edge = np.unique(ids[by_id], return_index=True)
-            g_x = np.add.reduceat(g_x[by_id], edge, axis=0)
-            sums["embedding"][row] += g_x**2
+            row, edge = np.unique(ids.take(by_id), return_index=True)
+            g_x = np.add.reduceat(g_x.take(by_id, axis=0), edge, axis=0) / np.float32(n)
+            sums["embedding"][row] += g_x * g_x
             v["embedding"][row] -= s.rate * g_x / np.sqrt(sums["embedding"][row])
-            _step(v["w"], sums["w"], x.T @ g_z / n, s.rate)
-            _step(v["b"], sums["b"], g_z.mean(0), s.rate)
-            _step(v["wc"], sums["wc"], h.T @ g_class / n, s.rate)
-            _step(v["bc"], sums["bc"], g_class.mean(0), s.rate)
+            for name, g in (("ww", g_ww), ("bw", g_bw), ("w", x.T @ g_z), ("b", g_z.sum(0)), ("wc", h.T @ g_class), ("bc", g_class.sum(0))):
+                _step(v[name], sums[name], g / np.float32(n), s.rate)
 
     def saved(self) -> bytes:
         buffer = io.BytesIO()
@@ -193,9 +201,13 @@ def _step(value: np.ndarray, total: np.ndarray, g: np.ndarray, rate: float) -> N
     value -= rate * g / np.sqrt(total)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Of each row; ``safe``: no exponential can overflow. Overwrites x."""
+    if not safe:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
@@ -203,7 +215,7 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
     if not safe:
         x -= x.max(1)[:, None]
     chosen = x[np.arange(len(x)), at]
-    return chosen - np.log(np.exp(x, out=x).sum(1))
+    return chosen - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 @dataclass(frozen=True)
@@ -299,7 +311,7 @@ def _texts(keys: pa.Array, blobs: pa.Array, most: int = 1 << 20):
         yield first, keys.slice(first, len(some)), np.frombuffer(b"".join(some), "<u2").astype(np.int64), np.array([len(x) // 2 for x in some])
 
 
-#: Examples that a task puts in random order at once (memory only).
+#: Examples that a task puts in random order, or scores, at once (memory only).
 EXAMPLES = 1 << 18
 
 
@@ -315,7 +327,7 @@ def part_of(keys: np.ndarray, sizes: np.ndarray, s: Settings) -> np.ndarray:
 def examples(net: Network, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, r: int) -> np.ndarray:
     """The neighbours on both sides and the word of all places that round ``r`` masks, a row each."""
     where = np.flatnonzero(part_of(keys, sizes, net.s) == r % net.s.parts)
-    return np.hstack([net.contexts(ids, np.cumsum(sizes) - sizes, where), ids[where][:, None]])
+    return np.hstack([net.contexts(ids, np.cumsum(sizes) - sizes, where), ids[where][:, None].astype(np.uint16)])
 
 
 def train(table: DataFrame, order: np.ndarray, s: Settings) -> Network:
@@ -340,7 +352,7 @@ def train(table: DataFrame, order: np.ndarray, s: Settings) -> Network:
             rng, waiting, learned = np.random.default_rng((s.seed, r)), [], 0
 
             def learn():
-                data = np.concatenate(waiting).astype(np.int64)
+                data = np.concatenate(waiting)
                 waiting.clear()
                 local.train(data[:, :-1], data[:, -1], rng, sums)
                 return len(data)
@@ -348,7 +360,7 @@ def train(table: DataFrame, order: np.ndarray, s: Settings) -> Network:
             for batch in batches:
                 for _, keys, ids, sizes in _texts(batch.column(0), batch.column(1)):
                     if len(ids):
-                        waiting.append(examples(local, keys.to_numpy(), ids, sizes, r).astype("<u2"))
+                        waiting.append(examples(local, keys.to_numpy(), ids, sizes, r))
                     if sum(map(len, waiting)) >= EXAMPLES:
                         learned += learn()
             if waiting:
@@ -380,6 +392,20 @@ def _mean_of_weights(key, group):
     return pa.table({"name": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "values": pa.array([mean], pa.binary())})
 
 
+def text_sums(net: Network, own: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of every text, the sum of its words' log-probabilities and of ``own`` by id; a long text goes piece by piece."""
+    reach, sums = net.s.reach, np.zeros(len(sizes))
+    text, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    for a in range(0, len(ids), EXAMPLES):
+        some = ids[a : a + EXAMPLES]
+        low = max(0, a - reach)
+        around = ids[low : a + len(some) + reach]
+        context = net.contexts(around, np.clip(begin - low, 0, len(around)), np.arange(len(some)) + (a - low))
+        each = net.log_probabilities(context, some) + own[some]
+        sums += np.bincount(text[a : a + len(some)], weights=each, minlength=len(sums))
+    return sums
+
+
 def score(table: DataFrame, net: Network, words: Words) -> DataFrame:
     """``kept`` columns with n_tokens, log_likelihood (sum over all words) and mean_log_likelihood (null without words).
 
@@ -400,10 +426,7 @@ def score(table: DataFrame, net: Network, words: Words) -> DataFrame:
         model, own = state[key], shipped.value[1]
         for batch in batches:
             for first, _, ids, sizes in _texts(batch.column(1), batch.column(2)):
-                sums = np.zeros(len(sizes))
-                if len(ids):
-                    each = model.log_probabilities(model.contexts(ids, np.cumsum(sizes) - sizes, np.arange(len(ids))), ids) + own[ids]
-                    np.add.at(sums, np.repeat(np.arange(len(sizes)), sizes), each)
+                sums = text_sums(model, own, ids, sizes)
                 part = batch.slice(first, len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(sums)], names=["kept", "row", "n_tokens", "shared"]

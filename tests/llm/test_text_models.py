@@ -76,6 +76,20 @@ def test_every_word_has_a_probability_of_its_own(spark):
     assert np.exp([got[60], got[90], got[91]]).sum() == pytest.approx(ids[6], rel=1e-3), "the words of an id share its probability"
 
 
+def test_a_long_text_is_scored_in_pieces_as_in_one(spark, monkeypatch):
+    texts = [" ".join(grammar(5, 3)), "", "a1 b1", " ".join(grammar(3, 4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = lm_scoring.vocabulary(docs, SMALL)
+    table = lm_scoring.encoded(docs, words, SMALL)
+    net = lm_scoring.Network.fresh(SMALL, words.order)
+    ids = [np.frombuffer(r.ids, "<u2").astype(np.int64) for r in table.orderBy("kept.doc_id").collect()]
+    own = np.concatenate((np.zeros(SMALL.words - SMALL.others), -np.log(np.maximum(words.totals, 1))))
+    expected = [(net.log_probabilities(net.contexts(x, np.array([0]), np.arange(len(x))), x) + own[x]).sum() if len(x) else 0.0 for x in ids]
+    monkeypatch.setattr(lm_scoring, "EXAMPLES", 7)
+    got = lm_scoring.text_sums(net, own, np.concatenate(ids), np.array([len(x) for x in ids]))
+    assert got.tolist() == pytest.approx(expected, abs=1e-3)
+
+
 def test_all_places_are_learned_from_once():
     sizes = np.array([500, 0, 1, 3000])
     keys, ids = np.array([5, -7, 9, -(2**62)]), np.arange(3501)
