@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.common import shuffle_width, stored
-from codelens.llm.tokens import encoded, id_type
+from codelens.llm.tokens import encoded, id_type, term_counts
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 20
@@ -25,15 +25,13 @@ class ShardIndex:
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean_size: float):
         n = len(sizes)
-        doc = np.repeat(np.arange(n, dtype=np.uint64), sizes)
-        pairs, counts = np.unique((doc << np.uint64(32)) | ids, return_counts=True)
-        docs, terms = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        docs, terms, counts = term_counts(ids, sizes)
         telling = idf[terms] > 0
         docs, terms, counts = docs[telling], terms[telling], counts[telling]
         norm = K1 * (1 - B + B * sizes / max(mean_size, 1.0))
         weight = idf[terms] * counts * (K1 + 1) / (counts + norm[docs])
         self.terms_of = np.split(terms, np.searchsorted(docs, np.arange(1, n)))
-        order = np.argsort(terms, kind="stable")
+        order = np.argsort(terms.astype(ids.dtype), kind="stable")
         self.docs, self.weights = docs[order].astype(np.int32), weight[order]
         self.begin = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=len(idf)))))
         self.n = n
@@ -46,6 +44,19 @@ class ShardIndex:
         return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
 
 
+def _falling(scores: np.ndarray, free: np.ndarray, some: int = 32):
+    """The places ``free`` by falling score, ties by place; only as many are put in order as are asked for."""
+    cost = -scores[free]
+    while len(free):
+        if some < len(free):
+            last = np.partition(cost, some - 1)[some - 1]
+            now = cost <= last
+        else:
+            now = np.ones(len(free), bool)
+        yield from free[now][np.argsort(cost[now], kind="stable")].tolist()
+        free, cost, some = free[~now], cost[~now], some * 8
+
+
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean_size: float, window: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece.
 
@@ -79,9 +90,7 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean_size: f
             offset, start = offset + take, start + take
             if start == sizes[seed]:
                 if waiting is None and offset < room:
-                    free = np.flatnonzero(unused)
-                    order = np.argsort(-index.scores(seed)[free], kind="stable")
-                    waiting = iter(free[order].tolist())
+                    waiting = _falling(index.scores(seed), np.flatnonzero(unused))
                 seed = -1
         sequence += 1
 
@@ -133,9 +142,10 @@ def pack(
         group = group.sort_by([("id", "ascending"), ("row", "ascending")])
         sizes = group["n_tokens"].to_numpy().astype(np.int64)
         blobs = group["ids"].to_pylist()
-        ids = np.frombuffer(b"".join(blobs), stored_as).astype("<u4")
+        short = np.frombuffer(b"".join(blobs), stored_as)
+        ids = short.astype("<u4")
         edges = np.concatenate(([0], np.cumsum(sizes)))
-        pieces = np.array(pack_shard(ids, sizes, idf.value, mean_size, window), np.int64).reshape(-1, 5)
+        pieces = np.array(pack_shard(short, sizes, idf.value, mean_size, window), np.int64).reshape(-1, 5)
         doc, start, length, sequence, offset = pieces.T
         cut = [ids[a : a + n].tobytes() for a, n in zip((edges[doc] + start).tolist(), length.tolist(), strict=True)]
         return pa.table(
@@ -176,9 +186,7 @@ def shards_of(table: DataFrame, weights: np.ndarray, stored_as: str, shard_token
             for first in range(0, len(sizes), 256):
                 some = sizes[first : first + 256]
                 ids = np.frombuffer(b"".join(batch.column(2).slice(first, 256).to_pylist()), stored_as)
-                doc = np.repeat(np.arange(len(some), dtype=np.uint64), some)
-                pairs, counts = np.unique((doc << np.uint64(32)) | ids, return_counts=True)
-                docs, terms = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                docs, terms, counts = term_counts(ids, some)
                 tf = counts * (K1 + 1) / (counts + K1)
                 taken = np.full((DRAWS, len(some)), -1, np.int64)
                 begin = np.searchsorted(docs, np.arange(len(some)))
@@ -223,8 +231,7 @@ def _document_frequencies(batches, stored_as):
         for first in range(0, len(sizes), 256):
             some = sizes[first : first + 256]
             ids = np.frombuffer(b"".join(blobs.slice(first, 256).to_pylist()), stored_as)
-            doc = np.repeat(np.arange(len(some), dtype=np.uint64), some)
-            terms = (np.unique((doc << np.uint64(32)) | ids) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            terms = term_counts(ids, some)[1]
             found = np.bincount(terms, minlength=len(counts))
             found[: len(counts)] += counts
             counts = found

@@ -17,8 +17,8 @@ from codelens.llm.common import worker_state
 REMEMBERED = 1_000_000
 #: Bytes of text that are handled at once inside an Arrow batch (memory only).
 SLICE_BYTES = 6 << 20
-#: Letters up to here stay one letter under lower-casing and composition, but for these.
-_PLAIN_BELOW, _NOT_PLAIN = chr(0x250), {chr(0x130), chr(0x149)}
+#: Letters that stay one letter each under lower-casing and composition: the Latin ones below U+0250 but U+0130 and U+0149.
+_PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+$"
 
 
 class WordEncoder:
@@ -75,23 +75,27 @@ class WordEncoder:
         return self.flat[np.repeat(self.begin[at] - first, size) + np.arange(total)]
 
     def _learn(self, new: list[str]) -> None:
-        stems = [w.rstrip(string.punctuation) for w in new]
-        together = "".join(stems)
-        if together and (max(together) >= _PLAIN_BELOW or _NOT_PLAIN.intersection(together)):
-            plain = [x.isalpha() and max(x) < _PLAIN_BELOW and not _NOT_PLAIN.intersection(x) for x in stems]
-        else:
-            plain = [x.isalpha() for x in stems]
-        tailed = [(w, x, w[len(x):]) for w, x, p in zip(new, stems, plain, strict=True) if p and len(x) < len(w)]
-        tails = {t for _, _, t in tailed}
-        letters = list({x for x, p in zip(stems, plain, strict=True) if p}.difference(self.index))
-        other = list(tails.union(w for w, p in zip(new, plain, strict=True) if not p).difference(self.index))
+        words = pa.array(new, pa.large_string())
+        stems = pc.utf8_rtrim(words, characters=string.punctuation)
+        plain = pc.match_substring_regex(stems, _PLAIN)
+        cut = pc.less(pc.binary_length(stems), pc.binary_length(words))
+        tailed = pc.and_(plain, cut)
+        stem_of, whole = stems.filter(tailed), words.filter(tailed)
+        letters = distinct_strings(pc.unique(stems.filter(plain)))
+        stem_list, whole_list = stem_of.to_pylist(), whole.to_pylist()
+        tail_list = [w[len(x) :] for w, x in zip(whole_list, stem_list, strict=True)]
+        letters = list(set(letters).difference(self.index))
+        other = list(set(tail_list).union(words.filter(pc.invert(plain)).to_pylist()).difference(self.index))
         for i in range(0, len(letters), 512):
             self._learn_letters(letters[i : i + 512])
         self._learn_each(other)
-        if tailed:
-            at = np.array([self.index[x] for _, stem, tail in tailed for x in (stem, tail)])
-            size = self.size[at]
-            self._put([x[0] for x in tailed], self._gather(at, size), size.reshape(-1, 2).sum(1))
+        if whole_list:
+            find = self.index.__getitem__
+            at = np.empty((len(whole_list), 2), np.int64)
+            at[:, 0] = np.fromiter(map(find, stem_list), np.int64, len(stem_list))
+            at[:, 1] = np.fromiter(map(find, tail_list), np.int64, len(tail_list))
+            size = self.size[at.ravel()]
+            self._put(whole_list, self._gather(at.ravel(), size), size.reshape(-1, 2).sum(1))
 
     def _learn_letters(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
@@ -150,6 +154,23 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, lis
         yield first, run
 
 
+def term_counts(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of texts of these sizes one after the other, by document, then term.
+
+    16-bit ids of fewer than 65,536 texts are put in order by two radix sorts.
+    """
+    if ids.dtype.itemsize > 2 or len(sizes) >= 1 << 16:
+        doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        pairs, counts = np.unique((doc << np.uint64(32)) | ids, return_counts=True)
+        return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
+    by_term = np.argsort(ids, kind="stable")
+    doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes).take(by_term)
+    by_doc = np.argsort(doc, kind="stable")
+    doc, term = doc.take(by_doc), ids.take(by_term).take(by_doc)
+    begin = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))[: len(term)])
+    return doc.take(begin).astype(np.int64), term.take(begin).astype(np.int64), np.diff(begin, append=len(term))
+
+
 def id_type(tokenizer_json: str, end_id: int | None) -> str:
     """Little-endian unsigned 16-bit if all ids fit, else 32-bit."""
     from tokenizers import Tokenizer
