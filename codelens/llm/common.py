@@ -22,7 +22,17 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing that is still to be computed reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +100,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         hooked = stored(proposals.groupBy("node").agg(F.min("label").alias("label")), "labels")
         parents = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = stored(hooked.join(parents, "label").select("node", F.col("up").alias("label")), "labels")
+        before, labels = labels, stored(hooked.join(parents, "label").select("node", F.col("up").alias("label")), "labels")
+        discard(before, hooked)
         now = _label_sum(labels)
         if now == total:
             break
         total = now
+    discard(both)
     return labels.select("node", F.col("label").alias("component"))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.common import connected_components, stored, worker_state
+from codelens.llm.common import connected_components, discard, stored, worker_state
 from codelens.llm.tokens import distinct_strings, slices
 
 
@@ -26,7 +26,7 @@ class Settings:
     fewer than one in a million has no chunk in common. Pairs up to ``accept``
     are candidates. ``fine`` further values, of 8 bits, sharpen the estimate
     where whole groups are compared: there a pair is compared in full if it
-    differs in at most ``accept_all`` of all values, four standard deviations
+    differs in at most ``accept_all`` of all values, six standard deviations (of 6.4)
     above the mean of 51 at a similarity of 0.8. ``rounds``: see ``near_duplicates``.
     """
 
@@ -36,7 +36,7 @@ class Settings:
     chunks: int = 12
     accept: int = 30
     fine: int = 192
-    accept_all: int = 77
+    accept_all: int = 90
     rounds: int = 3
     block: int = 512
     cell_rows: int = 20_000
@@ -152,7 +152,7 @@ def _keyed(classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+    """A written table of those of ``pairs`` (a, b) whose full sets are similar enough."""
     pairs = stored(pairs, "minhash-pairs")
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "minhash-wanted")
 
@@ -173,20 +173,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text
     )
     common = F.size(F.array_intersect("x", "y")).cast("long")
     sizes = F.size("x").cast("long") + F.size("y").cast("long")
-    return both.where(100 * common >= s.percent * (sizes - common)).select("a", "b").distinct()
+    links = stored(both.where(100 * common >= s.percent * (sizes - common)).select("a", "b").distinct(), "minhash-links")
+    discard(pairs, wanted, sets)
+    return links
 
 
 def _alike_in_size(s: Settings, x: str, y: str):
     return (F.col(x) * 100 >= F.col(y) * s.percent) & (F.col(y) * 100 >= F.col(x) * s.percent)
 
 
-def _open_pairs(members: DataFrame, s: Settings, turn: int | None) -> DataFrame:
-    """Pairs within a bucket that may be similar and are in different components so far.
+def _open_pairs(members: DataFrame, details: DataFrame, s: Settings, turn: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs within a bucket that may be similar and are in different components so far, and the written tables they are read from.
 
-    ``members``: key, rep, n, sig, fine, label. Within a bucket, the members outside
-    the most frequent label meet all others; both are cut into blocks, so that a
-    cell of a large bucket is one block of the former against one of the latter
-    and no task holds a bucket. A cell compares signatures in numpy; cells are
+    ``members``: key, rep, label; ``details``: rep, n, sig, fine. Within a bucket, the
+    members outside the most frequent label meet all others; both are cut into blocks,
+    so that a cell of a large bucket is one block of the former against one of the
+    latter and no task holds a bucket. Buckets and cells are made of numbers alone;
+    signatures join the finished cells. A cell compares them in numpy; cells are
     grouped so that a group has some ``cell_rows`` rows. With ``turn``, every member
     returns the nearest of the others (of a random half of them after turn 0), and
     of these its nearest over all cells is kept: one pair per member. Without it,
@@ -209,16 +212,16 @@ def _open_pairs(members: DataFrame, s: Settings, turn: int | None) -> DataFrame:
     rows = members.join(buckets, "key")
     block = F.xxhash64("rep", F.lit(s.seed))
     minor = rows.where("label <> main").select(
-        "key", "rep", "n", "sig", "fine", "label", F.lit(True).alias("minor"),
+        "key", "rep", "label", F.lit(True).alias("minor"),
         F.pmod(block, "minor_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
     )
     everyone = rows.select(
-        "key", "rep", "n", "sig", "fine", "label", F.lit(False).alias("minor"),
+        "key", "rep", "label", F.lit(False).alias("minor"),
         F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), F.pmod(block, "all_blocks").cast("int").alias("j"),
     )
-    cells = stored(minor.union(everyone), "minhash-cells")
+    cells = stored(minor.union(everyone).select("rep", "label", "minor", F.xxhash64("key", "i", "j").alias("cell")), "minhash-cells")
     groups = max(1, cells.count() // s.cell_rows)
-    grouped = cells.withColumn("cell", F.xxhash64("key", "i", "j")).withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(groups)))
+    grouped = cells.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(groups))).join(details, "rep")
 
     def run(key, table):
         cell = table["cell"].to_numpy()
@@ -262,8 +265,21 @@ def _open_pairs(members: DataFrame, s: Settings, turn: int | None) -> DataFrame:
 
     out = grouped.groupBy("part").applyInArrow(run, "a long, b long, apart long")
     if turn is None:
-        return out.select("a", "b").distinct()
-    return out.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        return out.select("a", "b").distinct(), [buckets, cells]
+    return out.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), [buckets, cells]
+
+
+def _without_repeated(members: DataFrame) -> DataFrame:
+    """A written table of ``members`` (key, rep, leader) in which buckets of the same members are one; ``times`` says how many.
+
+    Similar classes share most of their keys, so that the same few classes meet in
+    dozens of buckets. Sets of members are told apart by their size and 128 bits.
+    """
+    of_bucket = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("second"))).alias("y")
+    )
+    one = of_bucket.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "times")
+    return stored(members.join(one, "key"), "minhash-members")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +288,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     1. Sets of word runs become signatures; rows with equal sets are one class,
        named by its smallest id (combined before the shuffle).
     2. Every class enters the index under ``length`` keys: a chunk with one value
-       left out, for all values of all chunks.
+       left out, for all values of all chunks. Buckets of the same classes count as one.
     3. A class is first compared, in full, with one other: the smallest id of one
        of its buckets, the one it shares most buckets with. Components of these
        links join the members of large groups of copies without any pairs.
@@ -301,8 +317,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"),
         "minhash-shared",
     )
-    members = stored(keyed.join(shared, "key"), "minhash-members")
-    shares = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("k"))
+    repeated = stored(keyed.join(shared, "key"), "minhash-repeated")
+    members = _without_repeated(repeated)
+    discard(shared, repeated)
+    shares = members.where("rep <> leader").groupBy("rep", "leader").agg(F.sum("times").alias("k"))
     nearest = shares.groupBy("rep").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"))
     sized = classes.groupBy("rep").agg(F.max("n").alias("n"))
     sizes = stored(sized, "minhash-sizes")
@@ -310,7 +328,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         nearest.join(sizes, "rep").join(sizes.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader")), "leader")
         .where(_alike_in_size(s, "n", "n_leader")).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     )
-    links = stored(_confirmed(star, docs, s, id_col, text_col), "minhash-links")
+    links = _confirmed(star, docs, s, id_col, text_col)
     components = connected_components(links)
     details = classes.select("rep", "n", "sig", "fine")
     for turn in (*range(s.rounds), None):
@@ -318,17 +336,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         labelled = members.select("key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         labelled = labelled.select("key", "rep", label.alias("label"))
         opened = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        unsettled = labelled.join(stored(opened, "minhash-open"), "key").join(details, "rep")
-        unsettled = stored(unsettled, "minhash-unsettled")
-        if turn == 0:
-            members = unsettled.select("key", "rep")  # a settled bucket stays settled
-        more = stored(_confirmed(_open_pairs(unsettled, s, turn), docs, s, id_col, text_col), "minhash-links")
+        unsettled = stored(labelled.join(opened, "key"), "minhash-unsettled")
+        discard(members)
+        members = unsettled  # a settled bucket stays settled
+        pairs, used = _open_pairs(unsettled, details, s, turn)
+        more = _confirmed(pairs, docs, s, id_col, text_col)
+        discard(*used)
         if turn is not None and more.isEmpty():
             continue
         links = links.union(more)
         components = connected_components(links)
     named = classes.select("lo", "hi", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     named = stored(named.select("lo", "hi", F.coalesce("component", "rep").alias("of_class")), "minhash-named")
+    discard(members, sizes, classes)
     out = signed.select("id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("of_class")).otherwise(F.col("id"))
     return out.select(

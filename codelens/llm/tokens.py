@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,9 @@ REMEMBERED = 1_000_000
 #: Bytes of text that are handled at once inside an Arrow batch (memory only).
 SLICE_BYTES = 6 << 20
 #: Letters that stay one letter each under lower-casing and composition: the Latin ones below U+0250 but U+0130 and U+0149.
-_PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+$"
+_LETTERS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+"
+#: Such letters and the ASCII punctuation behind them, which tokenizers of this kind cut off.
+_STEM_AND_TAIL = f"^(?P<stem>{_LETTERS})(?P<tail>[!-/:-@\\[-`{{-~]*)$"
 
 
 class WordEncoder:
@@ -26,9 +27,9 @@ class WordEncoder:
 
     For tokenizers that drop white space and never join across it, the ids of a
     text are the ids of its words between ASCII white space, one after the
-    other. Arrow finds the distinct words of a slice, and every distinct word is
-    encoded once per worker. Words of plain letters are encoded many to a call
-    and told apart by the end-of-word pieces.
+    other. Arrow finds the distinct words of a slice and cuts the punctuation off
+    words of plain letters; every distinct part is encoded once per worker. Plain
+    words are encoded many to a call and told apart by the end-of-word pieces.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -56,6 +57,17 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, _STEM_AND_TAIL)
+        stem, tail = pc.struct_field(parts, "stem"), pc.struct_field(parts, "tail")
+        place = np.stack([self._places(pc.coalesce(stem, coded.dictionary)), self._places(pc.fill_null(tail, ""))], 1)
+        at = place.take(coded.indices.to_numpy(), axis=0).ravel()
+        size = self.size.take(at)
+        edges = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        return self._gather(at, size), np.diff(edges[2 * (offsets - offsets[0])])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each word are; those not met before are encoded."""
+        coded = words.dictionary_encode()
         distinct = distinct_strings(coded.dictionary)
         known = self.index.get
         place = np.array([known(w, -1) for w in distinct], np.int64)
@@ -64,10 +76,7 @@ class WordEncoder:
             unknown = [distinct[i] for i in new.tolist()]
             self._learn(unknown)
             place[new] = [self.index[w] for w in unknown]
-        at = place[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
-        size = self.size[at]
-        edges = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
-        return self._gather(at, size), np.diff(edges[offsets - offsets[0]])
+        return place.take(coded.indices.to_numpy())
 
     def _gather(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         total = int(size.sum())
@@ -76,26 +85,11 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> None:
         words = pa.array(new, pa.large_string())
-        stems = pc.utf8_rtrim(words, characters=string.punctuation)
-        plain = pc.match_substring_regex(stems, _PLAIN)
-        cut = pc.less(pc.binary_length(stems), pc.binary_length(words))
-        tailed = pc.and_(plain, cut)
-        stem_of, whole = stems.filter(tailed), words.filter(tailed)
-        letters = distinct_strings(pc.unique(stems.filter(plain)))
-        stem_list, whole_list = stem_of.to_pylist(), whole.to_pylist()
-        tail_list = [w[len(x) :] for w, x in zip(whole_list, stem_list, strict=True)]
-        letters = list(set(letters).difference(self.index))
-        other = list(set(tail_list).union(words.filter(pc.invert(plain)).to_pylist()).difference(self.index))
+        plain = pc.match_substring_regex(words, f"^{_LETTERS}$")
+        letters, other = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
         for i in range(0, len(letters), 512):
             self._learn_letters(letters[i : i + 512])
         self._learn_each(other)
-        if whole_list:
-            find = self.index.__getitem__
-            at = np.empty((len(whole_list), 2), np.int64)
-            at[:, 0] = np.fromiter(map(find, stem_list), np.int64, len(stem_list))
-            at[:, 1] = np.fromiter(map(find, tail_list), np.int64, len(tail_list))
-            size = self.size[at.ravel()]
-            self._put(whole_list, self._gather(at.ravel(), size), size.reshape(-1, 2).sum(1))
 
     def _learn_letters(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
