@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,15 @@ def test_empty_sides(spark):
     assert N.nearest_neighbours(some.where("1 = 0"), none, 3, "qid", "rid", block_rows=16).count() == 0
     nothing = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(40)], "rid long, embedding array<double>")
     assert N.nearest_neighbours(some.select("qid", F.slice("embedding", 1, 2).alias("embedding")), nothing, 3, "qid", "rid", block_rows=16).count() == 0
+
+
+def test_a_block_holds_few_copies_of_its_similarities():
+    q, r = np.random.default_rng(3).normal(size=(64, 16)), np.random.default_rng(4).normal(size=(16_384, 16))
+    tracemalloc.start()
+    try:
+        found = N._top_k_block(q, np.arange(len(r)), r, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) == 5 * len(q) and peak < 3 * 8 * len(q) * len(r)
+    assert N.SPLIT_ROWS <= 1 << 14 and N.MAX_PAIRS_PER_CHUNK <= 1 << 20
