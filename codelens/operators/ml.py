@@ -133,13 +133,17 @@ def kmeans_clusters(df: DataFrame, text_col: str, k: int = 10, seed: int = 0, vo
 def cross_validate(df: DataFrame, text_col: str, label_col: str, fold_col: str, folds: int, smoothing: list[float],
                    num_features: int = NUM_FEATURES) -> list[tuple[float, float]]:
     """(smoothing, mean accuracy over the folds) of the naive Bayes pipeline, by MLlib's ``CrossValidator``
-    on the folds that ``fold_col`` (0 .. folds - 1) names."""
+    on the folds that ``fold_col`` (0 .. folds - 1) names.
+
+    Texts are parted and hashed once: these steps learn nothing, so each fold and
+    smoothing reads the written term counts."""
     indexer = StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc")
     rows = indexer.fit(df).transform(df)
+    for step in [*_tokenizer(text_col), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features)]:
+        rows = step.transform(rows)
+    rows = rows.select("_tf", "_label", fold_col).checkpoint(eager=True)
     bayes = NaiveBayes(featuresCol="_features", labelCol="_label", modelType="multinomial")
-    stages = _tokenizer(text_col) + [
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features), IDF(inputCol="_tf", outputCol="_features"), bayes
-    ]
+    stages = [IDF(inputCol="_tf", outputCol="_features"), bayes]
     grid = ParamGridBuilder().addGrid(bayes.smoothing, smoothing).build()
     measure = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName="accuracy")
     found = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=measure, numFolds=folds, foldCol=fold_col).fit(rows)

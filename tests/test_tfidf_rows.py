@@ -161,3 +161,19 @@ def test_cross_validation_uses_the_given_folds(spark):
         top = ML.score_top_n(model, docs.where(F.col("fold") == fold), "doc_id", "text", 1, keep=["lang"])
         each.append(top.agg(F.avg((F.col("pred_code") == F.col("lang")).cast("int"))).first()[0])
     assert abs(accuracy - sum(each) / 3) < 1e-9
+
+
+def test_cross_validation_reads_each_text_once(spark):
+    from codelens.operators import ml as ML
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    rows = [(i, "apfel birne" if i % 2 else "pear apple", "de" if i % 2 else "en", i % 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, fold int").withColumn("text", read.asNondeterministic()("text"))
+    found = ML.cross_validate(docs, "text", "lang", "fold", 3, [0.1, 1.0], num_features=1 << 10)
+    assert [a for _, a in found] == [1.0, 1.0] and reads.value == 60
