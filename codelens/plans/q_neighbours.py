@@ -32,7 +32,10 @@ def recommend_base(spark, sf_dir):
     b = v.join(ct, v.vec_id == ct.doc_id).drop("doc_id")
     b = RC.reconcile(b, FX.truth(spark, sf_dir))
     b = b.where(F.col("ssic_code").isNotNull() & F.col("has_text"))
-    return b.select("vec_id", "company", C.pad_code("ssic_code").alias("ssic_code"), "embedding")
+    b = b.select("vec_id", "company", C.pad_code("ssic_code").alias("ssic_code"), "embedding")
+    # written once: every step of a search reads it, and each would run the joins, and send
+    # the driver what they broadcast, again
+    return b.checkpoint(eager=True)
 
 
 def _split(base, seed=None):
@@ -44,6 +47,7 @@ def _split(base, seed=None):
 def recommendations(spark, sf_dir, k=K_RECOMMEND):
     base = recommend_base(spark, sf_dir)
     train, test = _split(base)
+    test = test.checkpoint(eager=True)
     return RM.recommend(train, test, k, "vec_id", "company", "ssic_code")
 
 
