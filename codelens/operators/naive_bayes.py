@@ -16,15 +16,23 @@ millionths, whose sums are exact in any order and any engine.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens.functions.text import STOP_WORDS, tokenize_words
+from codelens.operators.tfidf import run_starts
+from codelens.session import shuffle_width
 
 SCALE = 1_000_000
 MIN_TOKEN_LEN = 2
+# The model's words are broadcast up to so many, with their classes up to so many (word, class) pairs.
+BROADCAST_MAX_TERMS = 2_000_000
+BROADCAST_MAX_PAIRS = 2_000_000
+# (word, class) pairs that a task sums, about: some 100 bytes each if all of them were of different rows.
+PAIRS_PER_TASK = 4_000_000
 
 
 def model_words(text: str) -> Column:
@@ -73,26 +81,48 @@ def fit(train: DataFrame, text: str, label: str) -> Model:
     return Model(classes.checkpoint(eager=True), terms)
 
 
+def _counted_words(df: DataFrame, entity: str, text: str) -> DataFrame:
+    """(_e, term, tf): a row's words, sorted and counted inside the row."""
+    rows = df.select(F.col(entity).alias("_e"), F.sort_array(F.coalesce(model_words(text), F.array().cast("array<string>"))).alias("_words"))
+    rows = rows.withColumn("_begin", run_starts("_words"))
+
+    def entry(first: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("_begin", i + 1), F.size("_words")) - first
+        return F.struct(F.get("_words", first).alias("term"), n.cast("bigint").alias("tf"))
+
+    return rows.select("_e", F.explode(F.transform("_begin", entry)).alias("w")).select("_e", "w.term", "w.tf")
+
+
 def score_top_n(model: Model, df: DataFrame, entity: str, text: str, top_n: int, keep: list[str] | None = None, out_col: str = "pred_code") -> DataFrame:
     """Per row of ``df`` (one per entity): the ``top_n`` classes with probability (6 decimals) and 1-based rank.
 
-    Texts are not shuffled: word counts of a document meet the words' classes in
-    one join, are summed by (document, class), and each document's sums, one for
-    a class at most, are put beside its row. Ties go to the smaller label. A text
-    without a known word is ranked by the priors alone.
+    Texts are not shuffled, and words are counted inside their row: the known words
+    of a text are written as (row's id, word, count), dealt by id to as many tasks as
+    their (word, class) pairs ask for, and meet the words' classes there. So a task
+    sums about ``PAIRS_PER_TASK`` pairs however large the table is. Each document's
+    sums, one for a class at most, are put beside its row. Ties go to the smaller
+    label. A text without a known word is ranked by the priors alone.
     """
     keep = keep or []
-    bag = df.select(F.col(entity).alias("_e"), F.explode(model_words(text)).alias("term")).groupBy("_e", "term").agg(F.count(F.lit(1)).alias("tf"))
+    size = model.terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("weights")), F.lit(0)).alias("pairs"), F.coalesce(F.max(F.size("weights")), F.lit(0)).alias("most")).first()
+    known = model.terms.select("term")
+    bag = _counted_words(df, entity, text).join(F.broadcast(known) if size["n"] <= BROADCAST_MAX_TERMS else known, "term")
+    bag = bag.checkpoint(eager=True)
+    tasks = max(shuffle_width(df.sparkSession), math.ceil(bag.count() * size["most"] / PAIRS_PER_TASK))
     # an entry without a label counts the words that are known
-    known = F.struct(F.lit(None).cast("string").alias("label"), F.lit(1).cast("bigint").alias("weight"))
-    hits = bag.join(model.terms, "term").select("_e", "tf", F.explode(F.concat(F.array(known), "weights")).alias("w"))
+    weights = F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(1).cast("bigint").alias("weight"))), "weights")).alias("w")
+    if size["pairs"] <= BROADCAST_MAX_PAIRS:
+        hits = bag.repartition(tasks, "_e").join(F.broadcast(model.terms), "term").select("_e", "tf", weights)
+    else:
+        hits = bag.join(model.terms, "term").select("_e", "tf", weights).repartition(tasks, "_e")
     sums = hits.groupBy("_e", F.col("w.label").alias("label")).agg(F.sum(F.col("tf") * F.col("w.weight")).alias("s"))
     own = sums.groupBy("_e").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "s")))).alias("own"),
         F.max(F.when(F.col("label").isNull(), F.col("s"))).alias("words"),
     )
     classes = model.classes.agg(F.sort_array(F.collect_list(F.struct("label", "prior", "log_total")))).scalar()
-    rows = df.select(entity, *keep).join(own, F.col(entity) == F.col("_e"), "left").withColumn("_classes", classes)
+    # a row of sums is wide, many times what it is made of: measured before, it must not be broadcast
+    rows = df.select(entity, *keep).repartition(tasks, entity).join(own.hint("merge"), F.col(entity) == F.col("_e"), "left").withColumn("_classes", classes)
     found = F.coalesce("own", F.create_map().cast("map<string,bigint>"))
     score = F.transform(
         "_classes",
