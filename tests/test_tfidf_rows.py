@@ -177,3 +177,31 @@ def test_cross_validation_reads_each_text_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, fold int").withColumn("text", read.asNondeterministic()("text"))
     found = ML.cross_validate(docs, "text", "lang", "fold", 3, [0.1, 1.0], num_features=1 << 10)
     assert [a for _, a in found] == [1.0, 1.0] and reads.value == 60
+
+
+def test_only_rare_terms_are_shuffled_beyond_the_bound(spark, monkeypatch):
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", F.col("text").alias("t")).unionByName(
+        spark.createDataFrame([(10**6 + i, t) for i, t in ODD], "doc_id long, t string"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(TF.tfidf(docs, "doc_id", "t"))
+    monkeypatch.setattr(TF, "BROADCAST_MAX_TERMS", 200)
+    threshold = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")  # nothing is broadcast for being small
+    try:
+        df = TF.tfidf(docs, "doc_id", "t")
+        assert rows(df) == want
+        # the frequent terms' idf is broadcast, their rows meet it where they are
+        assert "BroadcastHashJoin" in final_plan(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+
+
+def test_places_of_odd_texts(spark):
+    odd = [*ODD, (7, " lead\u0001mark mark"), (8, "One two.  two THREE! \u0001 two? four"), (9, "ΣΑΣ σας Straße")]
+    docs = spark.createDataFrame(odd, "id long, t string")
+    words = {r["id"]: {e["term"]: (e["tf"], e["places"]) for e in r["bag"]} for r in TF.bags(docs, "id", TF.word_tokens("t"), None).collect()}
+    assert words[7] == {"lead": (1, []), "mark": (2, [2])}
+    assert words[9] == {"σας": (2, [1]), "straße": (1, [])}
+    places = {r["id"]: {e["term"]: e["places"] for e in r["bag"]} for r in TF.bags(docs, "id", TF.sentence_tokens("t"), None).collect()}
+    assert places[8] == {"one": [0], "two": [0, 1, 3], "three": [1], "four": [4]}
+    assert places[2] == places[3] == {} and places[5] == {"aa": [0] * 400, "bb": [0]}
