@@ -205,3 +205,12 @@ def test_places_of_odd_texts(spark):
     places = {r["id"]: {e["term"]: e["places"] for e in r["bag"]} for r in TF.bags(docs, "id", TF.sentence_tokens("t"), None).collect()}
     assert places[8] == {"one": [0], "two": [0, 1, 3], "three": [1], "four": [4]}
     assert places[2] == places[3] == {} and places[5] == {"aa": [0] * 400, "bb": [0]}
+
+
+def test_one_score_a_sentence_meets_the_texts(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa. cc! 7. bb dd"), (2, ""), (3, None)], "id long, t string")
+    found = TF._gathered(TF.bags(docs, "id", TF.sentence_tokens("t"), None), "id")
+    (row,) = TF._place_sums(found, "id").collect()
+    weight = {r["term"]: r["weight"] for r in TF.tfidf(docs, "id", "t").collect()}
+    want = [(0, 2 * weight["aa"] + weight["bb"]), (1, weight["cc"]), (3, weight["bb"] + weight["dd"])]
+    assert row["id"] == 1 and [(e["place"], e["w"]) for e in row["_each"]] == [(p, pytest.approx(w)) for p, w in want]
