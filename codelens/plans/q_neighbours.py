@@ -200,7 +200,7 @@ def describe_recommendations(spark, sf_dir):
 
 def _trial_rows(spark, sf_dir):
     base = recommend_base(spark, sf_dir)
-    return S.with_trials(base, "company", TRIALS, TRAIN_PCT)
+    return S.with_trials(base, "company", TRIALS, TRAIN_PCT, packed=True)
 
 
 @register("repeat_trials", with_views(["truth", "company_text"], *_BASE_CTES,
@@ -216,12 +216,12 @@ def _trial_rows(spark, sf_dir):
     body="SELECT trial, n_entities, accuracy, round(avg(accuracy) OVER (), 6) AS mean_accuracy FROM acc"))
 def repeat_trials(spark, sf_dir):
     """Ten seeded train/test splits scored in one job; accuracy per trial and
-    their mean (no keep-until-good loop)."""
+    their mean (no keep-until-good loop). A vector is one row with its trials."""
     from pyspark.sql import Window
 
     t = _trial_rows(spark, sf_dir)
-    train = t.where("is_train")
-    test = t.where(~F.col("is_train"))
+    train = t.where(F.size("train_trials") > 0).withColumnRenamed("train_trials", "trial")
+    test = t.where(F.size("test_trials") > 0).withColumnRenamed("test_trials", "trial")
     recs = RM.recommend(train, test, K_RECOMMEND, "vec_id", "company", "ssic_code", by=["trial"])
     acc = RM.match_accuracy(recs, "company", by=["trial"]).select("trial", "n_entities", "accuracy")
     # the window spans one row per trial (ten rows)
