@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import SF_SMALL
@@ -96,3 +98,16 @@ def test_a_trial_is_a_key_not_a_copy_of_the_vectors(spark):
     for column, side in (("train_trials", F.col("is_train")), ("test_trials", ~F.col("is_train"))):
         packed = rows.select("vec_id", F.explode(column).alias("trial"))
         assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, apart.where(side).select("vec_id", "trial").collect()))
+
+
+def test_a_tile_of_floats_is_not_widened():
+    q, r = np.random.default_rng(6).normal(size=(64, 64)).astype(np.float32), np.random.default_rng(7).normal(size=(32_768, 64)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        best = N._Best(q, r, np.arange(len(r)), 5, np.full((64, 1), -np.inf))
+        best.meet(np.arange(64), 0, len(r))
+        found = best.result()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) == 5 * 64 and peak < 3 * r.nbytes  # its units, and the room of a step
