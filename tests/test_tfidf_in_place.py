@@ -14,7 +14,7 @@ def corpus(spark):
 
 def test_no_list_of_terms_is_gathered(spark):
     # the old plan collected (term, tf, weight) of every document behind its last exchange
-    plan = TF.tfidf(corpus(spark), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    plan = TF.tfidf(corpus(spark), "id", "text", in_place=True)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
 
 
@@ -25,4 +25,4 @@ def test_in_place_weights_equal_gathered_ones(spark, monkeypatch, terms, rows):
     want = flat(bag.selectExpr("id", "inline(terms)"))
     monkeypatch.setattr(TF, "BROADCAST_MAX_TERMS", terms)
     monkeypatch.setattr(TF, "BROADCAST_MAX_ROWS", rows)
-    assert flat(TF.tfidf(corpus(spark), "id", "text")) == want
+    assert flat(TF.tfidf(corpus(spark), "id", "text", in_place=True)) == want
